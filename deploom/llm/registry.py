@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, sharding, simhash, url_filter, warc_archive
+from . import bpe, exact_dedup, quality, sharding, simhash, url_filter, warc_archive
 
 QUERIES = {
     "op1_temporal_url_filter": url_filter.op1_temporal_url_filter,
     "op2_quality_gam": quality.op2_quality_gam,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op6_warc_archive": warc_archive.op6_warc_archive,
+    "op7_word_bpe": bpe.op7_word_bpe,
     "op9_jump_sharding": sharding.op9_jump_sharding,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
