@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, quality, sharding, simhash, url_filter, warc_archive
+from . import bpe, embedding_dedup, exact_dedup, quality, sharding, simhash, url_filter, warc_archive
 
 QUERIES = {
     "op1_temporal_url_filter": url_filter.op1_temporal_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op6_warc_archive": warc_archive.op6_warc_archive,
     "op7_word_bpe": bpe.op7_word_bpe,
+    "op8_itq_near_dedup": embedding_dedup.op8_itq_near_dedup,
     "op9_jump_sharding": sharding.op9_jump_sharding,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
