@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if its rows times the bytes of a row stay under this; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,9 +28,18 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Writes df once as Parquet in the shared folder and reads it again, so that later stages need none of its lineage."""
+    """Writes df once as Parquet in the shared folder and reads it again, so that later stages need none of its lineage.
+
+    Shuffle files of the write go when it ends, as nothing reads them again.
+    """
     path = f"{work_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
