@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, packing, quality, sharding, simhash, url_filter, warc_archive
+from . import bpe, embedding_dedup, exact_dedup, packing, quality, sharding, simhash, suffix_dedup, url_filter, warc_archive
 
 QUERIES = {
     "op1_temporal_url_filter": url_filter.op1_temporal_url_filter,
     "op2_quality_gam": quality.op2_quality_gam,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op4_bm25_packing": packing.op4_bm25_packing,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_warc_archive": warc_archive.op6_warc_archive,
     "op7_word_bpe": bpe.op7_word_bpe,
     "op8_itq_near_dedup": embedding_dedup.op8_itq_near_dedup,
