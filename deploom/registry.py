@@ -1,10 +1,383 @@
-"""Queries over the reference tables and their SQL."""
+"""Queries over the reference tables and, for each, SQL that DuckDB runs on the same tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+from deploom.functions import ids as I
+from deploom.functions.glob import to_regex
+from deploom.functions.storage import written
+from deploom.operators import changes, filters, finalize, selector, stats, traverse, view
+from deploom.plans import synth
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The projected graph, written once for the steps that read it again and again."""
+    return written(synth.nodes(spark, sf_dir)), written(synth.edges(spark, sf_dir))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["select_plain"](spark, sf_dir)
+
+
+# Selection -----------------------------------------------------------------------------------------------------------------------
+
+REVERSED = "SELECT callee AS caller, caller AS callee FROM edges"
+
+
+def _like(pattern: str) -> str:
+    return f"SELECT id FROM nodes WHERE regexp_matches(id, '{to_regex(pattern).replace(chr(92) + 'z', '$').replace(chr(92) + 'A', '^')}')"
+
+
+def _roots(pattern: str) -> str:
+    return f"m AS ({_like(pattern)}), roots AS (SELECT id FROM m UNION SELECT n.id FROM nodes n JOIN m ON starts_with(n.id, m.id || '.'))"
+
+
+def _reach(name: str, source: str, edges: str, hops: int | None) -> str:
+    if hops is None:
+        return f"{name} AS (SELECT id FROM {source} UNION SELECT e.callee FROM {name} r JOIN ({edges}) e ON e.caller = r.id)"
+    return f"{name}_h AS (SELECT id, 0 AS h FROM {source} UNION SELECT e.callee, h + 1 FROM {name}_h r JOIN ({edges}) e ON e.caller = r.id WHERE h < {hops}), {name} AS (SELECT DISTINCT id FROM {name}_h)"
+
+
+CLOSED = """a AS (SELECT DISTINCT n.id FROM s JOIN nodes n ON starts_with(s.id, n.id || '.') WHERE n.id NOT IN (SELECT id FROM s)),
+ms AS (SELECT n.id, max(length(s.id)) AS d FROM nodes n JOIN s ON starts_with(n.id, s.id || '.') GROUP BY n.id),
+ma AS (SELECT n.id, max(length(a.id)) AS d FROM nodes n JOIN a ON starts_with(n.id, a.id || '.') GROUP BY n.id),
+c AS (SELECT id FROM s UNION SELECT id FROM a UNION SELECT ms.id FROM ms LEFT JOIN ma ON ms.id = ma.id WHERE ma.d IS NULL OR ma.d < ms.d)"""
+
+
+def _selection(name: str, select: str, parts: str, exclude: str | None = None, exclude_sql: str = "") -> None:
+    out = f"SELECT id FROM c WHERE id NOT IN ({exclude_sql})" if exclude else "SELECT id FROM c"
+
+    @query(name, f"WITH RECURSIVE {synth.SQL}, {parts}, {CLOSED} {out}")
+    def run(spark, sf_dir, select=select, exclude=exclude):
+        nodes, edges = graph(spark, sf_dir)
+        return selector.selected_ids(nodes, edges, select, exclude)
+
+
+_selection("select_glob", "r1.n*.c1?", f"s AS ({_like('r1.n*.c1?')})")
+_selection("select_upstream", "+r0.n0", f"{_roots('r0.n0')}, {_reach('s', 'roots', 'SELECT * FROM edges', None)}")
+_selection("select_upstream_1", "1+r2.n*.c7*", f"{_roots('r2.n*.c7*')}, {_reach('s', 'roots', 'SELECT * FROM edges', 1)}")
+_selection("select_downstream", "parts.Brand11.p*+", f"{_roots('parts.Brand11.p*')}, {_reach('s', 'roots', REVERSED, None)}")
+_selection("select_downstream_1", "r3.n*.s*+1", f"{_roots('r3.n*.s*')}, {_reach('s', 'roots', REVERSED, 1)}")
+_selection("select_both", "1+r1.n*.s1*+1", f"{_roots('r1.n*.s1*')}, {_reach('u', 'roots', 'SELECT * FROM edges', 1)}, {_reach('d', 'roots', REVERSED, 1)}, s AS (SELECT id FROM m UNION SELECT id FROM u UNION SELECT id FROM d)")
+_selection("select_component", "@r0.n0.s*", f"m AS ({_like('r0.n0.s*')}), {_reach('s', 'm', 'SELECT caller, callee FROM edges UNION ALL ' + REVERSED, None)}")
+_selection("select_union", "r0.n0.c[0-4]*, parts.Brand2*", f"s AS ({_like('r0.n0.c[0-4]*')} UNION {_like('parts.Brand2*')})")
+_selection("select_exclude", "r0.**", f"s AS ({_like('r0.*')}), x AS ({_like('r0.n?')})", "r0.n?", "SELECT n.id FROM nodes n JOIN x ON n.id = x.id OR starts_with(n.id, x.id || '.')")
+
+
+@query("select_plain", f"WITH {synth.SQL}, s AS ({_like('r0.*')}), {CLOSED} SELECT e.* FROM edges e WHERE caller IN (SELECT id FROM c) AND callee IN (SELECT id FROM c)")
+def select_plain(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    return selector.select_graph(nodes, edges, "r0.*")[1]
+
+
+@query("exclude_only", f"WITH {synth.SQL} SELECT id, object_type, origin FROM nodes WHERE id <> 'parts' AND NOT starts_with(id, 'parts.')")
+def exclude_only(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    return selector.select_graph(nodes, edges, None, "parts")[0]
+
+
+@query("hierarchy_descendants", f"WITH {synth.SQL} SELECT id FROM nodes WHERE starts_with(id, 'r1.') OR starts_with(id, 'parts.Brand11.')")
+def hierarchy_descendants(spark, sf_dir):
+    nodes = synth.nodes(spark, sf_dir)
+    return traverse.descendants_of(nodes.where("id in ('r1', 'parts.Brand11')"), nodes)
+
+
+@query("components_all", f"WITH {synth.SQL} SELECT id, min(id) OVER (PARTITION BY CASE WHEN linked THEN 'x' ELSE id END) AS component FROM (SELECT id, id IN (SELECT caller FROM edges UNION SELECT callee FROM edges) AND object_type <> 'module' AS linked FROM nodes WHERE object_type <> 'module')")
+def components_all(spark, sf_dir):
+    """Without the modules: orders, suppliers and parts hang together through the line items; customers stand alone."""
+    nodes, edges = graph(spark, sf_dir)
+    return traverse.all_components(nodes.where("object_type <> 'module'"), edges.where("type <> 'imports'"))
+
+
+# Filters and catalogs --------------------------------------------------------------------------------------------------------------
+
+TREE = "kept AS (SELECT * FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes b WHERE b.origin IN ('standard', 'third-party') AND (n.id = b.id OR starts_with(n.id, b.id || '.'))))"
+
+
+@query("origin_tree", f"WITH {synth.SQL}, bad AS (SELECT id FROM nodes WHERE origin = 'third-party') SELECT id, object_type, origin FROM nodes WHERE id NOT IN (SELECT id FROM bad) AND id <> 'parts' AND NOT starts_with(id, 'parts.')")
+def origin_tree(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    return filters.origin_tree(nodes, edges)[0]
+
+
+@query("origin_tree_edges", f"WITH {synth.SQL} SELECT * FROM edges WHERE NOT starts_with(callee, 'parts') AND NOT starts_with(caller, 'parts')")
+def origin_tree_edges(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    return filters.origin_tree(nodes, edges)[1]
+
+
+@query("origin_flat", f"WITH {synth.SQL} SELECT * FROM nodes WHERE coalesce(origin, 'local') NOT IN ('standard', 'third-party')")
+def origin_flat(spark, sf_dir):
+    return filters.origin_flat(synth.nodes(spark, sf_dir))
+
+
+@query("catalog_globs", f"WITH {synth.SQL} SELECT * FROM nodes WHERE object_type <> 'assignment' AND (regexp_matches(id, '^r.*[.]s1.*$') OR id = 'parts.Brand11')")
+def catalog_globs(spark, sf_dir):
+    return filters.catalog(synth.nodes(spark, sf_dir), ["r*.s1*", "parts.Brand11"], True, True, True)
+
+
+@query("catalog_api", f"WITH {synth.SQL} SELECT * FROM nodes WHERE NOT starts_with(id, 'parts')")
+def catalog_api(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    return filters.api_catalog(nodes, edges, True, False)
+
+
+@query("flat_listing", f"WITH {synth.SQL} SELECT id, object_type AS type, origin FROM nodes")
+def flat_listing(spark, sf_dir):
+    return filters.flatten(synth.nodes(spark, sf_dir))
+
+
+STATUS = "st AS (SELECT ord.id, CASE o_orderstatus WHEN 'F' THEN 'modified' ELSE 'added' END AS status FROM orders JOIN ord ON o_orderkey = ord.k WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 7 = 0)"
+
+
+def _statuses(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus in ('F', 'O') and o_orderkey % 7 = 0")
+    ids = synth._orders(spark, sf_dir)
+    return o.select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", "modified").otherwise("added").alias("status")).join(ids, F.col("k") == ids["o_orderkey"]).select("id", "status")
+
+
+@query("state_filter", f"WITH {synth.SQL}, {STATUS}, hit AS (SELECT id FROM st WHERE status = 'modified') SELECT n.id FROM nodes n WHERE n.id IN (SELECT id FROM hit UNION SELECT array_to_string(list_slice(string_split(id, '.'), 1, g), '.') FROM hit, range(1, 4) t(g))")
+def state_filter(spark, sf_dir):
+    nodes = written(synth.nodes(spark, sf_dir).join(_statuses(spark, sf_dir).withColumnRenamed("status", "change_status"), "id", "left"))
+    return filters.state_filter(nodes, synth.edges(spark, sf_dir), ["modified"])[0].select("id")
+
+
+# Statistics -------------------------------------------------------------------------------------------------------------------------
+
+KEPT = "k AS (SELECT * FROM nodes WHERE coalesce(origin, 'local') NOT IN ('standard', 'third-party'))"
+
+
+@query("stats_summary", f"""WITH {synth.SQL}, {KEPT} SELECT 'nodes' AS metric, 'all' AS key, count(*) AS n FROM k
+  UNION ALL SELECT 'edges', 'all', count(*) FROM edges WHERE caller IN (SELECT id FROM k) AND callee IN (SELECT id FROM k)
+  UNION ALL SELECT 'type', coalesce(object_type, 'unknown'), count(*) FROM k GROUP BY ALL UNION ALL SELECT 'origin', coalesce(origin, 'local'), count(*) FROM k GROUP BY ALL""")
+def stats_summary(spark, sf_dir):
+    return stats.summary(*graph(spark, sf_dir))
+
+
+@query("graph_metadata", f"WITH {synth.SQL} SELECT 'node_count' AS key, count(*) AS n FROM nodes UNION ALL SELECT 'edge_count', count(*) FROM edges UNION ALL SELECT object_type, count(*) FROM nodes GROUP BY ALL")
+def graph_metadata(spark, sf_dir):
+    return stats.metadata(*graph(spark, sf_dir))
+
+
+@query("local_modules", f"WITH {synth.SQL} SELECT id FROM nodes WHERE object_type = 'module' AND coalesce(origin, 'local') = 'local'")
+def local_modules(spark, sf_dir):
+    return stats.local_modules(synth.nodes(spark, sf_dir))
+
+
+@query("root_modules", f"WITH {synth.SQL} SELECT id FROM nodes WHERE object_type = 'module' AND coalesce(origin, 'local') = 'local' AND NOT contains(id, '.')")
+def root_modules(spark, sf_dir):
+    return stats.local_modules(synth.nodes(spark, sf_dir), True)
+
+
+@query("event_counts", "SELECT coalesce(event_type, 'total') AS kind, count(*) AS n FROM events GROUP BY ROLLUP (event_type)")
+def event_counts(spark, sf_dir):
+    return stats.event_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type")
+
+
+# Finalisation ------------------------------------------------------------------------------------------------------------------------
+
+#: has-a edges of nations to parts are implied by those of their suppliers; a nation also reaches its own suppliers.
+RAW = "raw AS (SELECT * FROM edges UNION ALL SELECT DISTINCT sup.nid, par.brand, 'has-a' FROM lineitem JOIN sup ON l_suppkey = sup.k JOIN par ON l_partkey = par.k UNION ALL SELECT nid, id, 'calls' FROM sup UNION ALL SELECT id, 'builtins.len', 'has-a' FROM sup)"
+
+
+def _raw(spark, sf_dir):
+    e = synth.edges(spark, sf_dir)
+    has = e.where("type = 'has-a'").select(I.parent(F.col("caller")).alias("caller"), I.parent(F.col("callee")).alias("callee"), "type").distinct()
+    s = synth._owned(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s")
+    own = s.select(I.parent(F.col("id")).alias("caller"), F.col("id").alias("callee"), F.lit("calls").alias("type"))
+    return e.unionByName(has).unionByName(own).unionByName(s.select(F.col("id").alias("caller"), F.lit("builtins.len").alias("callee"), F.lit("has-a").alias("type")))
+
+
+@query("drop_general_has_a", f"WITH {synth.SQL}, {RAW}, told AS (SELECT DISTINCT array_to_string(list_slice(string_split(caller, '.'), 1, g), '.') AS x, string_split(callee, '.')[1] AS t FROM raw, range(1, 4) r(g) WHERE g < len(string_split(caller, '.'))) SELECT DISTINCT raw.* FROM raw WHERE type <> 'has-a' OR NOT EXISTS (SELECT 1 FROM told WHERE x = caller AND t = string_split(callee, '.')[1])")
+def drop_general_has_a(spark, sf_dir):
+    return finalize.drop_general_has_a(finalize.distinct_edges(written(_raw(spark, sf_dir))))
+
+
+@query("drop_ancestor_edges", f"WITH {synth.SQL}, {RAW} SELECT DISTINCT * FROM raw WHERE NOT starts_with(callee, caller || '.') AND NOT starts_with(caller, callee || '.')")
+def drop_ancestor_edges(spark, sf_dir):
+    return finalize.drop_ancestor_edges(finalize.distinct_edges(_raw(spark, sf_dir)))
+
+
+@query("hierarchy", f"WITH {synth.SQL} SELECT id, object_type, origin, CASE WHEN contains(id, '.') THEN array_to_string(string_split(id, '.')[:-2], '.') END AS parent, len(string_split(id, '.'))::INTEGER AS depth FROM nodes")
+def hierarchy(spark, sf_dir):
+    return finalize.with_parents(synth.nodes(spark, sf_dir))
+
+
+HOSTS = "h AS (SELECT DISTINCT array_to_string(list_reverse(string_split(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '.')), '.') AS id FROM pages)"
+
+
+@query("missing_ancestors", f"WITH {HOSTS} SELECT DISTINCT array_to_string(list_slice(string_split(id, '.'), 1, g), '.') AS id, 'module' AS object_type FROM h, range(1, 9) t(g) WHERE g < len(string_split(id, '.')) AND array_to_string(list_slice(string_split(id, '.'), 1, g), '.') NOT IN (SELECT id FROM h)")
+def missing_ancestors(spark, sf_dir):
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return finalize.close_ancestors(pages.select(F.array_join(F.reverse(F.split(host, r"\.")), ".").alias("id")).distinct())
+
+
+@query("origin_classes", f"WITH {HOSTS} SELECT id, CASE string_split(id, '.')[1] WHEN 'com' THEN 'standard' WHEN 'org' THEN 'local' ELSE 'third-party' END AS origin FROM h")
+def origin_classes(spark, sf_dir):
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    ids = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.array_join(F.reverse(F.split(host, r"\.")), ".").alias("id")).distinct()
+    one = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    return finalize.classify_origin(ids, one("com"), one("org", "com"))
+
+
+@query("snippet_lines", "SELECT doc_id, string_split(text, chr(10))[1 + doc_id % 3 : 2 + doc_id % 3 + doc_id % 2] AS l, CASE WHEN len(l) > 0 THEN array_to_string(l, chr(10)) END AS code_block FROM documents".replace("SELECT doc_id,", "SELECT id, file_path, code_block FROM (SELECT doc_id::VARCHAR AS id, doc_id::VARCHAR AS file_path, doc_id,") + ")")
+def snippet_lines(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("file", F.col("doc_id").cast("string"))
+    ranges = d.select(F.col("file").alias("id"), "file", (F.col("doc_id") % 3 + 1).cast("int").alias("start"), (F.col("doc_id") % 3 + F.col("doc_id") % 2 + 2).cast("int").alias("end"))
+    return finalize.snippets(d.select("file", F.split("text", "\n").alias("lines")), ranges).drop("content_hash")
+
+
+# Views ----------------------------------------------------------------------------------------------------------------------------------
+
+SHARED = "list_sum([CASE WHEN list_slice(string_split(caller, '.'), 1, i) = list_slice(string_split(callee, '.'), 1, i) THEN 1 ELSE 0 END FOR i IN range(1, least(len(string_split(caller, '.')), len(string_split(callee, '.'))) + 1)])::BIGINT"
+
+
+@query("edge_rollup_1", f"WITH {synth.SQL}, n AS (SELECT *, greatest({SHARED} + 1, 1) AS k FROM edges), l AS (SELECT DISTINCT array_to_string(list_slice(string_split(caller, '.'), 1, k), '.') AS caller, array_to_string(list_slice(string_split(callee, '.'), 1, k), '.') AS callee, type FROM n) SELECT * FROM l WHERE caller <> callee")
+def edge_rollup_1(spark, sf_dir):
+    return view.roll_up(synth.edges(spark, sf_dir), 1)
+
+
+VISIBLE = "vis AS (SELECT id FROM nodes WHERE len(string_split(id, '.')) <= 2)"
+LIFTED = "array_to_string(list_slice(string_split({0}, '.'), 1, 2), '.')"
+
+
+@query("edges_to_visible", f"WITH {synth.SQL} SELECT DISTINCT {LIFTED.format('caller')} AS caller, {LIFTED.format('callee')} AS callee, type FROM edges WHERE {LIFTED.format('caller')} <> {LIFTED.format('callee')}")
+def edges_to_visible(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    return view.to_visible(edges, nodes.where(I.depth(F.col("id")) <= 2))
+
+
+@query("best_edge", f"WITH {synth.SQL}, r AS (SELECT * FROM edges UNION ALL SELECT caller, callee, 'imports' FROM edges WHERE type = 'calls' UNION ALL SELECT caller, callee, 'is-a' FROM edges WHERE type = 'has-a'), p AS (SELECT *, row_number() OVER (PARTITION BY caller, callee ORDER BY CASE type WHEN 'calls' THEN 3 WHEN 'is-a' THEN 2 WHEN 'has-a' THEN 1 ELSE 0 END DESC, type DESC) AS n FROM r) SELECT caller, callee, type FROM p WHERE n = 1")
+def best_edge(spark, sf_dir):
+    e = synth.edges(spark, sf_dir)
+    more = e.where("type in ('calls', 'has-a')").withColumn("type", F.when(F.col("type") == "calls", "imports").otherwise("is-a"))
+    return view.best_edge(e.unionByName(more))
+
+
+@query("neighbourhood", f"""WITH {synth.SQL}, own AS (SELECT id FROM nodes WHERE id = 'r0.n0' OR starts_with(id, 'r0.n0.')),
+  x AS (SELECT callee AS id, 2 AS m FROM edges WHERE caller IN (SELECT id FROM own) UNION SELECT caller, 1 FROM edges WHERE callee IN (SELECT id FROM own)),
+  y AS (SELECT id, CASE WHEN count(DISTINCT m) > 1 THEN 3 ELSE max(m) END AS m FROM x WHERE id NOT IN (SELECT id FROM own) GROUP BY id),
+  z AS (SELECT n.id, max(m) AS m FROM nodes n JOIN y ON y.id = n.id OR starts_with(y.id, n.id || '.') GROUP BY n.id)
+  SELECT id, ['downstream', 'upstream', 'path'][m] AS highlight FROM z WHERE id NOT IN (SELECT id FROM own) AND NOT starts_with('r0.n0', id || '.')""")
+def neighbourhood(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    return view.neighbourhood(nodes, edges, "r0.n0")
+
+
+@query("highlighted_edges", f"WITH {synth.SQL}, k AS (SELECT id FROM nodes WHERE starts_with(id, 'r0.') OR starts_with(id, 'r1.')) SELECT * FROM edges WHERE caller IN (SELECT id FROM k) AND callee IN (SELECT id FROM k)")
+def highlighted_edges(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    return view.highlighted_edges(edges, nodes.where("startswith(id, 'r0.') or startswith(id, 'r1.')"))
+
+
+@query("dependencies", f"WITH {synth.SQL} SELECT DISTINCT callee AS target, type FROM edges WHERE (caller = 'r0.n0' OR starts_with(caller, 'r0.n0.')) AND callee <> 'r0.n0' AND NOT starts_with(callee, 'r0.n0.') AND NOT starts_with(callee, 'parts')")
+def dependencies(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    return view.dependencies(edges, "r0.n0", nodes.where("not startswith(id, 'parts')"))
+
+
+@query("dependents", f"WITH {synth.SQL} SELECT DISTINCT caller AS target, type FROM edges WHERE (callee = 'parts' OR starts_with(callee, 'parts.')) AND NOT starts_with(caller, 'parts')")
+def dependents(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    return view.dependencies(edges, "parts", nodes, True)
+
+
+@query("type_ahead", f"WITH {synth.SQL} SELECT id FROM nodes WHERE contains(lower(id), 'brand1')")
+def type_ahead(spark, sf_dir):
+    return view.type_ahead(synth.nodes(spark, sf_dir), "r0.*, @BRAND1+")
+
+
+@query("tree_search", f"WITH {synth.SQL}, h AS (SELECT id FROM nodes WHERE contains(lower(id), 's11')) SELECT DISTINCT array_to_string(list_slice(string_split(id, '.'), 1, g), '.') AS id FROM h, range(1, 6) t(g) WHERE g <= len(string_split(id, '.'))")
+def tree_search(spark, sf_dir):
+    return view.tree_search(written(synth.nodes(spark, sf_dir)), "S11")
+
+
+@query("view_nodes", f"WITH {synth.SQL}, k AS (SELECT array_to_string(string_split(id, '.')[:-2], '.') AS p, count(*) AS n FROM nodes WHERE contains(id, '.') GROUP BY 1) SELECT id, object_type AS kind, coalesce(origin, 'local') AS origin, true AS collapsed, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN k ON id = p")
+def view_nodes(spark, sf_dir):
+    return view.view_nodes(synth.nodes(spark, sf_dir))
+
+
+@query("open_chain", f"WITH {synth.SQL}, k AS (SELECT array_to_string(string_split(id, '.')[:-2], '.') AS p, count(*) AS n FROM nodes WHERE contains(id, '.') GROUP BY 1) SELECT id FROM nodes m WHERE object_type = 'module' AND coalesce(origin, 'local') = 'local' AND NOT EXISTS (SELECT 1 FROM k WHERE n > 1 AND starts_with(m.id, k.p || '.'))")
+def open_chain(spark, sf_dir):
+    return view.open_chain(synth.nodes(spark, sf_dir))
+
+
+@query("code_matches", "SELECT doc_id::VARCHAR AS id, ((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3)::BIGINT AS n FROM documents WHERE contains(lower(text), 'the')")
+def code_matches(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return view.code_matches(d.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("code_block")), "The")
+
+
+@query("fallback_origin", f"WITH {HOSTS} SELECT id, CASE WHEN starts_with(id, 'org') THEN 'local' WHEN string_split(id, '.')[1] = 'net' THEN 'standard' ELSE 'third-party' END AS origin FROM h")
+def fallback_origin(spark, sf_dir):
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    ids = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.array_join(F.reverse(F.split(host, r"\.")), ".").alias("id")).distinct()
+    return view.fallback_origin(ids.withColumn("origin", F.lit(None).cast("string")), ["net"], "org")
+
+
+# Changes ------------------------------------------------------------------------------------------------------------------------------
+
+SNAPSHOTS = """old AS (SELECT o_orderkey::VARCHAR AS id, md5(o_orderstatus || o_orderpriority) AS hash FROM orders WHERE o_orderkey % 10 < 8),
+new AS (SELECT o_orderkey::VARCHAR AS id, md5(CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE o_orderstatus END || o_orderpriority) AS hash FROM orders WHERE o_orderkey % 10 > 1),
+prior AS (SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 10 >= 8 THEN 'deleted' ELSE 'added' END AS status, o_orderkey % 10 >= 8 AS is_ghost, CASE WHEN o_orderkey % 10 >= 8 AND o_orderkey % 3 = 0 THEN md5(o_orderstatus || o_orderpriority) ELSE 'other' END AS hash FROM orders WHERE o_orderkey % 17 = 0)"""
+
+
+@query("node_diff", f"""WITH {SNAPSHOTS}, j AS (SELECT coalesce(o.id, n.id, p.id) AS id, o.id IS NOT NULL AS io, n.id IS NOT NULL AS i, o.hash AS oh, n.hash AS nh, p.status AS ps, coalesce(p.is_ghost, false) AS pg, p.hash AS ph
+  FROM old o FULL JOIN new n ON o.id = n.id FULL JOIN prior p ON p.id = coalesce(o.id, n.id)),
+  k AS (SELECT id, CASE WHEN pg AND i AND ph IS NOT DISTINCT FROM nh THEN NULL WHEN pg AND i THEN 'modified' WHEN i AND NOT io AND ps IS NULL THEN 'added' WHEN io AND NOT i THEN 'deleted' WHEN io AND i AND oh IS DISTINCT FROM nh AND coalesce(ps, '') NOT IN ('added', 'deleted') THEN 'modified' ELSE ps END AS status, CASE WHEN i THEN false ELSE (io AND NOT i) OR pg END AS is_ghost FROM j)
+  SELECT * FROM k WHERE status IS NOT NULL""")
+def node_diff(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string").alias("id")
+    md = lambda s: F.md5(F.concat(s, F.col("o_orderpriority")).cast("binary"))
+    old = o.where(k % 10 < 8).select(key, md(F.col("o_orderstatus")).alias("hash"))
+    new = o.where(k % 10 > 1).select(key, md(F.when(k % 13 == 0, "x").otherwise(F.col("o_orderstatus"))).alias("hash"))
+    prior = o.where(k % 17 == 0).select(key, F.when(k % 10 >= 8, "deleted").otherwise("added").alias("status"), (k % 10 >= 8).alias("is_ghost"), F.when((k % 10 >= 8) & (k % 3 == 0), md(F.col("o_orderstatus"))).otherwise("other").alias("hash"))
+    return changes.node_diff(old, new, prior)
+
+
+@query("edge_diff", f"WITH {synth.SQL}, o AS (SELECT DISTINCT caller, callee FROM edges WHERE type <> 'has-a' AND length(caller) % 3 > 0), n AS (SELECT DISTINCT caller, callee FROM edges WHERE type <> 'has-a' AND length(callee) % 3 > 0) SELECT caller, callee, 'deleted' AS status FROM (SELECT * FROM o EXCEPT SELECT * FROM n) UNION ALL SELECT caller, callee, 'added' FROM (SELECT * FROM n EXCEPT SELECT * FROM o)")
+def edge_diff(spark, sf_dir):
+    e = written(synth.edges(spark, sf_dir).where("type <> 'has-a'"))
+    return changes.edge_diff(e.where(F.length("caller") % 3 > 0), e.where(F.length("callee") % 3 > 0))
+
+
+@query("bubble_up", f"WITH {synth.SQL}, {STATUS} SELECT id, status FROM st UNION ALL SELECT DISTINCT array_to_string(list_slice(string_split(id, '.'), 1, g), '.'), 'modified' FROM st, range(1, 4) t(g)")
+def bubble_up(spark, sf_dir):
+    return changes.bubble_up(synth.nodes(spark, sf_dir), _statuses(spark, sf_dir))
+
+
+@query("flatten_origin", f"WITH {synth.SQL} SELECT id, CASE WHEN starts_with(id, 'parts') THEN 'third-party' ELSE 'local' END AS origin FROM nodes")
+def flatten_origin(spark, sf_dir):
+    return changes.flatten_origin(written(synth.nodes(spark, sf_dir)))
+
+
+@query("coalesce_events", "SELECT user_id, CASE WHEN bool_or(event_type = 'signup') THEN 'created' ELSE arg_max(event_type, event_id) END AS kind FROM events GROUP BY user_id")
+def coalesce_events(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("kind", F.when(F.col("event_type") == "signup", "created").otherwise(F.col("event_type")))
+    return changes.coalesce_events(e, "user_id", "kind", "event_id")
+
+
+@query("debounce_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
+  SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM g GROUP BY user_id, s""")
+def debounce_sessions(spark, sf_dir):
+    return changes.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "10 minutes")
