@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 DATA = "/root/testdata"
 
 
@@ -34,9 +34,3 @@ def duck():
         return con
 
     return over
-
-
-def rows(df):
-    """Rows of a pandas frame as sorted tuples of text, columns by name."""
-    columns = sorted(df.columns)
-    return sorted(tuple("None" if x is None or x != x else str(x) for x in r) for r in df[columns].itertuples(index=False))
