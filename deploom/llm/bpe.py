@@ -12,16 +12,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_of
+from .common import discard, expand, materialize, squeeze, table, text_of, written_apart
 
 #: Bytes of text in a batch, about; one text is never split over batches.
-BATCH_BYTES = 24 << 20
-#: Word positions of one piece of a text, so that no row grows with its text.
-PIECE_WORDS = 1 << 20
+BATCH_BYTES = 32 << 20
+#: Word positions in one row, so that no row grows with its text.
+PIECE_WORDS = 1 << 19
+#: Words of a task that go back to their batches at once.
+FLUSH_WORDS = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,68 +40,68 @@ def encoder(ranks: dict[bytes, int], pattern: str):
 
 
 def pack(codes: np.ndarray) -> bytes:
-    """Non-negative numbers as two compressed planes of 16 bits (common words have small numbers)."""
+    """Non-negative numbers below 2**32 as four compressed planes of bytes (common words have small numbers)."""
     import zstandard
 
-    low, high = (codes & 0xFFFF).astype("<u2").tobytes(), (codes >> 16).astype("<u2").tobytes()
-    return zstandard.compress(low + high, 3)
+    return zstandard.compress(np.ascontiguousarray(codes, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
 def unpack(data: bytes) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.decompress(data), "<u2")
-    n = len(planes) // 2
-    return planes[:n].astype(np.int64) | (planes[n:].astype(np.int64) << 16)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def split_words(texts: DataFrame, pattern: str) -> DataFrame:
-    """texts (id, text) as rows (batch, word, at, id, piece, codes): a word of a batch's list with its place, or a piece of a text's positions."""
-    kind = f"batch long, word string, at int, id {texts.dtypes[0][1]}, row int, piece int, codes binary"
+    """texts (id, text) as rows of three kinds: a word of a batch's list with its place; a text with its row and count of words; and a piece of
+    the batch's positions, one text after the other."""
+    names = ["batch", "word", "at", "id", "row", "n", "piece", "codes"]
 
     def run(batches):
         import regex
 
         findall = regex.compile(pattern).findall
         first = TaskContext.get().partitionId() << 24
-        id_type = pa.int64()
-        done = 0
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        done = held = 0
         words: dict[str, int] = {}
-        rows: list[tuple] = []
-        held = 0
+        ids: list = []
+        found: list[np.ndarray] = []
+
+        def rows(count: int, **columns):
+            given = {"batch": [first + done] * count, **columns}
+            return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(count, t) for c, t in zip(names, kinds, strict=True)], names)
 
         def flush():
-            nonlocal words, rows, held, done
-            batch = first + done
-            names = list(words)
-            for a in range(0, len(names), 50_000):
-                part = names[a : a + 50_000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([batch] * n, pa.int64()), pa.array(part, pa.string()), pa.array(range(a, a + n), pa.int32()), pa.nulls(n, id_type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["batch", "word", "at", "id", "row", "piece", "codes"])
-            for a in range(0, len(rows), 2000):
-                part = rows[a : a + 2000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([batch] * n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.array([r[0] for r in part], id_type), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.int32()), pa.array([r[3] for r in part], pa.binary())], ["batch", "word", "at", "id", "row", "piece", "codes"])
-            words, rows, held, done = {}, [], 0, done + 1
-
-        count = 0
+            nonlocal words, ids, found, held, done
+            flat = np.concatenate(found)
+            by = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # common words get small numbers
+            rank = np.empty(len(by), np.uint32)
+            rank[by] = np.arange(len(by), dtype=np.uint32)
+            listed = list(words)
+            for a in range(0, len(by), 50_000):
+                part = [listed[k] for k in by[a : a + 50_000].tolist()]
+                yield rows(len(part), word=part, at=range(a, a + len(part)))
+            yield rows(len(ids), id=ids, row=range(len(ids)), n=[len(x) for x in found])
+            for k, a in enumerate(range(0, len(flat), PIECE_WORDS)):
+                yield rows(1, piece=[k], codes=[pack(rank[flat[a : a + PIECE_WORDS]])])
+            words, ids, found, held, done = {}, [], [], 0, done + 1
+
         for arrow in batches:
-            id_type = arrow.schema.field(0).type
+            kinds[3] = arrow.schema.field(0).type
             for i, t in zip(arrow.column(0).to_pylist(), arrow.column(1), strict=True):
                 text = t.as_py()
                 get = words.setdefault
-                codes = np.fromiter((get(w, len(words)) for w in findall(text)), np.int64)
-                for k, a in enumerate(range(0, max(1, len(codes)), PIECE_WORDS)):
-                    rows.append((i, count, k, pack(codes[a : a + PIECE_WORDS])))
-                count += 1
+                ids.append(i)
+                found.append(np.fromiter((get(w, len(words)) for w in findall(text)), np.int32))
                 held += len(text)
                 if held >= BATCH_BYTES:
                     yield from flush()
-                    count = 0
-        if rows:
+        if ids:
             yield from flush()
 
-    return texts.mapInArrow(run, kind)
+    return texts.mapInArrow(run, f"batch long, word string, at int, id {texts.dtypes[0][1]}, row int, n long, piece int, codes binary")
 
 
 def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, out_schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,42 +110,78 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
     Null texts are empty: they have no words. Null and repeated ids each keep their row. Only id_col and text_col are read.
     """
     texts = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
-    split = materialize(split_words(texts, pattern), "bpe-split")
-    listed = split.where("word is not null").select("word", "batch", "at")
+    spark = docs.sparkSession
+    path, schema = written_apart(split_words(texts, pattern).withColumn("part", F.when(F.col("word").isNotNull(), 0).otherwise(1)), "bpe-split", "part")
+    split = spark.read.schema(schema)
+    if texts.isEmpty():  # nothing was written
+        return spark.createDataFrame([], out_schema)
+    listed = split.parquet(f"{path}/part=0").select("word", "batch", "at") if has_words(spark, f"{path}/part=0") else spark.createDataFrame([], "word string, batch long, at int")
+
+    wide = "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
+    width = np.dtype(wide).itemsize
 
     def encode(batches):
+        """Rows sorted by word: each distinct word is encoded once, and its ids go to every batch that lists it, packed by batch."""
         enc = encoder(ranks, pattern)
-        for batch in batches:
-            ids = [np.array(enc.encode_ordinary(w.as_py()), "<i4").tobytes() for w in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
+        last, ids = None, b""
+        to, at, found = [], [], []
 
-    distinct = listed.select("word").distinct().mapInArrow(encode, "word string, ids binary")
-    known = listed.join(distinct, "word").select(F.col("batch").alias("held_by"), "at", "ids")
-    pieces = split.where("word is null").select("batch", "id", "row", "piece", "codes")
+        def flush():
+            by, places = np.argsort(np.array(to), kind="stable"), np.array(at, np.int64)
+            owner = np.array(to)[by]
+            cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
+            blobs = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                mine = by[a:b][np.argsort(places[by[a:b]])]
+                own = [found[k] for k in mine.tolist()]
+                blobs.append(squeeze(np.diff(places[mine], prepend=0).astype("<u4"), np.array([len(x) // width for x in own], "<u4"), np.frombuffer(b"".join(own), wide)))
+            return pa.RecordBatch.from_arrays([pa.array(owner[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], ["held_by", "ids"])
+
+        for batch in batches:
+            to += batch.column(1).to_pylist()
+            at += batch.column(2).to_pylist()
+            for word in batch.column(0).to_pylist():
+                if word != last:
+                    last, ids = word, np.array(enc.encode_ordinary(word), wide).tobytes()
+                found.append(ids)
+            if len(to) >= FLUSH_WORDS:
+                yield flush()
+                to, at, found = [], [], []
+        if to:
+            yield flush()
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_words = listed.repartition(n, "word").sortWithinPartitions("word")
+    known = materialize(sorted_words.mapInArrow(encode, "held_by long, ids binary"), "bpe-known")
+    discard(spark, f"{path}/part=0")
+    pieces = split.parquet(f"{path}/part=1").select("batch", "id", "row", "n", "piece", "codes")
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = left.num_rows
-        at = left.column("at").to_numpy()
-        ids: list = [b""] * n
-        for k, v in zip(at.tolist(), left.column("ids").to_pylist(), strict=True):
-            ids[k] = v
+        blobs = [expand(x, "<u4", "<u4", wide) for x in left.column("ids").to_pylist()]
+        ids: list = [b""] * sum(len(x[0]) for x in blobs)
+        for steps, sizes, data in blobs:
+            raw, end = data.astype("<u4").tobytes(), 0
+            for k, size in zip(np.cumsum(steps).tolist(), (sizes.astype(np.int64) * 4).tolist(), strict=True):
+                ids[k] = raw[end : end + size]
+                end += size
         lookup = finish.prepare(ids)
-        order = np.lexsort([right.column("piece").to_numpy(), right.column("row").to_numpy()])
-        keys, rows, codes = right.column("id").to_pylist(), right.column("row").to_pylist(), right.column("codes")
-        out, i = [], 0
-        while i < len(order):
-            j = i
-            while j < len(order) and rows[order[j]] == rows[order[i]]:
-                j += 1
-            parts = [unpack(codes[int(order[k])].as_py()) for k in range(i, j)]
-            out.append(finish(keys[order[i]], np.concatenate(parts) if len(parts) > 1 else parts[0], lookup))
-            i = j
+        listed = right.filter(pa.compute.is_valid(right.column("row"))).sort_by("row")
+        packed = right.filter(pa.compute.is_valid(right.column("piece"))).sort_by("piece").column("codes").to_pylist()
+        codes = np.concatenate([np.zeros(0, np.int32), *[unpack(x) for x in packed]])
+        ends = np.cumsum(listed.column("n").to_numpy())
+        cuts = zip(listed.column("id").to_pylist(), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)
+        out = [finish(i, codes[a:b], lookup) for i, a, b in cuts]
         types = finish.types(right.schema.field("id").type)
         return pa.table({name: pa.array([r[k] for r in out], t) for k, (name, t) in enumerate(types)})
 
     return known.groupBy("held_by").cogroup(pieces.groupBy("batch")).applyInArrow(join_back, out_schema)
 
 
+def has_words(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 class TokenIds:
     """Finisher: the ids of each text as an array."""
 

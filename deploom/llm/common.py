@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,19 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_apart(df: DataFrame, tag: str, by: str) -> tuple[str, dict]:
+    """df written once with a folder for each value of a column, which is not in the files; (path, schema of the files)."""
+    path = f"{work_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(by).parquet(path)
+    return path, df.drop(by).schema
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared storage that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if its counted rows fit the bound; df must be cheap to count (a written table)."""
     n = df.count() if rows is None else rows
@@ -56,3 +70,32 @@ def partitions(spark: SparkSession) -> int:
 def text_of(df: DataFrame, column: str = "text"):
     """The text as a string that is never null."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
+
+
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value."""
+    import zstandard
+
+    head = np.array([len(arrays), *[len(a.tobytes()) for a in arrays]], "<i8").tobytes()
+    return zstandard.compress(head + b"".join(a.tobytes() for a in arrays), 1)
+
+
+def expand(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays of a value made by squeeze, whose kinds are as named."""
+    import zstandard
+
+    raw = zstandard.decompress(data)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    sizes = np.frombuffer(raw, "<i8", n, 8)
+    at, out = 8 * (n + 1), []
+    for size, kind in zip(sizes.tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches cut into pieces of a few rows, so that a task's Python objects are those of one piece."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
