@@ -41,3 +41,9 @@ def event_counts(events: DataFrame, kind: str = "kind") -> DataFrame:
     """(kind, n) with a row of kind `total`."""
     counted = events.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"))
     return counted.unionByName(counted.agg(F.lit("total").alias("kind"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
+
+
+def health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: status, nodes, edges."""
+    n, e = nodes.agg(F.count("*").alias("n"), F.lit(0).alias("m")), edges.agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("m"))
+    return n.union(e).agg(F.lit("ok").alias("status"), F.max("n").alias("nodes"), F.max("m").alias("edges"))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from deploom.functions import ids as I
 from deploom.functions.glob import to_regex
 from deploom.functions.storage import written
-from deploom.operators import changes, filters, finalize, selector, stats, traverse, view
-from deploom.plans import synth
+from deploom.operators import changes, filters, finalize, flow, resolve, selector, stats, traverse, view
+from deploom.plans import sample, synth
+from deploom.sources import parse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -381,3 +382,102 @@ def coalesce_events(spark, sf_dir):
   SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM g GROUP BY user_id, s""")
 def debounce_sessions(spark, sf_dir):
     return changes.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "10 minutes")
+
+
+@query("inject_ghosts", f"WITH {synth.SQL}, g AS (SELECT id || '.gone' AS id FROM nodes WHERE object_type = 'class' AND length(id) % 3 = 0), a AS (SELECT id, false AS is_ghost FROM nodes UNION ALL SELECT id, true FROM g), c AS (SELECT id, 'deleted' AS status FROM g UNION ALL SELECT DISTINCT array_to_string(list_slice(string_split(id, '.'), 1, k), '.'), 'modified' FROM g, range(1, 4) t(k)) SELECT a.id, is_ghost, status AS change_status, CASE WHEN contains(a.id, '.') THEN array_to_string(string_split(a.id, '.')[:-2], '.') END AS parent FROM a LEFT JOIN c ON a.id = c.id")
+def inject_ghosts(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    ghosts = nodes.where("object_type = 'class' and length(id) % 3 = 0").select(F.concat("id", F.lit(".gone")).alias("id"))
+    gone = edges.select("caller", "callee").where("false")
+    shown = changes.inject(nodes, edges, ghosts.withColumn("status", F.lit("deleted")), ghosts, gone)[0]
+    return shown.select("id", "is_ghost", "change_status", "parent")
+
+
+@query("dismiss_node", f"WITH {synth.SQL}, {STATUS}, f AS (SELECT min(id) AS id FROM st) SELECT * FROM st WHERE id <> (SELECT id FROM f)")
+def dismiss_node(spark, sf_dir):
+    s = written(_statuses(spark, sf_dir))
+    none = synth.edges(spark, sf_dir).select("caller", "callee").where("false")
+    return changes.dismiss(s, none, s.agg(F.min("id")).first()[0])[0]
+
+
+@query("change_overview", f"WITH {synth.SQL}, {STATUS} SELECT array_to_string(string_split(id, '.')[:-2], '.') AS parent, count(*) AS n_changed, 0::BIGINT AS n_ghosts FROM st GROUP BY 1")
+def change_overview(spark, sf_dir):
+    s = _statuses(spark, sf_dir).withColumnRenamed("status", "change_status")
+    return view.change_overview(s, s.select("id").where("false"))
+
+
+# Resolution and parsed sources ----------------------------------------------------------------------------------------------------------
+
+
+@query("health", f"WITH {synth.SQL} SELECT 'ok' AS status, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges")
+def health(spark, sf_dir):
+    return stats.health(*graph(spark, sf_dir))
+
+
+@query("call_text", "SELECT o_orderkey, o_orderstatus || '.Deal' AS fn, 'k=' || o_orderpriority AS first_arg, 2 AS n_args FROM orders")
+def call_text(spark, sf_dir):
+    text = F.concat(F.lit(" "), "o_orderstatus", F.lit(".Deal.new(k="), "o_orderpriority", F.lit(", "), F.col("o_custkey").cast("string"), F.lit(" )"))
+    args = resolve.arguments_of(F.col("text"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("text", text).select("o_orderkey", resolve.callable_of(F.col("text")).alias("fn"), args[0].alias("first_arg"), F.size(args).alias("n_args"))
+
+
+@query("fnv_hash", "SELECT n_name, lower(lpad(format('{:x}', list_reduce(list_prepend(14695981039346656037::HUGEINT, [ascii(c)::HUGEINT FOR c IN string_split(n_name, '')]), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)), 16, '0')) AS hash FROM nation")
+def fnv_hash(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", I.fnv1a(F.col("n_name")).alias("hash"))
+
+
+@query("resolve_names", f"WITH {synth.SQL} SELECT DISTINCT ord.id AS scope, 's' || sup.k AS name, sup.id AS resolved FROM lineitem JOIN ord ON l_orderkey = ord.k JOIN sup ON l_suppkey = sup.k WHERE ord.nid = sup.nid")
+def resolve_names(spark, sf_dir):
+    """Suppliers' short names, seen from orders: an order's nation is an enclosing scope, so those of the same nation resolve."""
+    nodes, edges = graph(spark, sf_dir)
+    refs = edges.where("type = 'calls'").select(F.col("caller").alias("scope"), I.last(F.col("callee")).alias("name"))
+    none = spark.createDataFrame([], "key string, value string")
+    return resolve.resolve_names(refs, resolve.Names(nodes.select("id", "object_type"), none, none.select(F.col("key").alias("name"))))
+
+
+@query("sample_edges", sample.values(sample.EDGES, "caller, type, callee"))
+def sample_edges(spark, sf_dir):
+    return resolve.build(parse.events_of(sample.files(spark)))[1]
+
+
+@query("sample_nodes", sample.values([(i, k) for k, ids in sample.NODES.items() for i in ids.split()], "id, object_type"))
+def sample_nodes(spark, sf_dir):
+    return resolve.build(parse.events_of(sample.files(spark)))[0].select("id", "object_type")
+
+
+@query("sample_imports", sample.values([("app.py", "math", 0), ("web/box.ts", "path", 1), ("krate/src/wheel.rs", "std", 1)], "file, source_module, n"))
+def sample_imports(spark, sf_dir):
+    return parse.imports(parse.events_of(sample.files(spark))).select("file", "source_module", F.size("imported_names").alias("n"))
+
+
+@query("sample_scopes")
+def sample_scopes(spark, sf_dir):
+    return parse.scopes(parse.events_of(sample.files(spark)))
+
+
+@query("sample_bindings")
+def sample_bindings(spark, sf_dir):
+    return parse.bindings(parse.events_of(sample.files(spark)))
+
+
+@query("sample_snippets", sample.values([("app.Motor.run", '    def run(self):\n        print("on")'), ("krate.wheel.turn", "fn turn(r: u32) -> u32 { r }")], "id, code_block").replace("\\n", "' || chr(10) || '"))
+def sample_snippets(spark, sf_dir):
+    return parse.code(parse.events_of(sample.files(spark))).where("id in ('app.Motor.run', 'krate.wheel.turn')").select("id", "code_block")
+
+
+@query("sample_event_counts", sample.values([("ImportStatement", 3)], "kind, n"))
+def sample_event_counts(spark, sf_dir):
+    return stats.event_counts(parse.events_of(sample.files(spark))).where("kind = 'ImportStatement'").select("kind", F.col("n").cast("int").alias("n"))
+
+
+@query("sample_flow_edges", sample.values([("LIMIT > 3", "self.halt()", "true_branch")], '"from", "to", type'))
+def sample_flow_edges(spark, sf_dir):
+    nodes, edges = flow.flow_graphs(parse.events_of(sample.files(spark)))
+    text = nodes.where("owner = 'app.Wagon.go'").select("id", "text")
+    a, b = text.toDF("from", "a"), text.toDF("to", "b")
+    return edges.join(a, "from").join(b, "to").select(F.col("a").alias("from"), F.col("b").alias("to"), "type")
+
+
+@query("sample_flow_nodes")
+def sample_flow_nodes(spark, sf_dir):
+    return flow.flow_graphs(parse.events_of(sample.files(spark)))[0]
