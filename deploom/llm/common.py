@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch of whole texts.
+TEXT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,19 +31,22 @@ def work_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "zstd", batch_rows: int | None = None) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it again, so that later stages need none of its lineage.
 
-    Shuffle files of the write go when it ends, as nothing reads them again.
+    Shuffle files of the write go when it ends, as nothing reads them again. batch_rows bounds the rows of its Arrow batches, for long texts.
     """
     path = f"{work_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
+    before = {k: conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            conf.set(k, v)
         df.write.option("compression", codec).parquet(path)
     finally:
-        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
