@@ -135,6 +135,16 @@ def test_suffix_cases(spark):
     assert suffix_dedup.removed_report(df.limit(0)).count() == 0
 
 
+def test_long_texts_are_cut_into_segments(monkeypatch):
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 100, 5000, dtype=np.uint8).tobytes() + b"a" * 300 + b"xyz" * 100
+    starts, ends = np.array([0, 1000, 1030, 1100]), np.array([1000, 1030, 1100, len(data)])
+    whole = suffix_dedup.anchors(data, starts, ends)
+    for size in (64, 333, 1000):
+        monkeypatch.setattr(suffix_dedup, "SEGMENT", size)
+        assert all((a == b).all() for a, b in zip(whole, suffix_dedup.anchors(data, starts, ends), strict=True))
+
+
 def test_multikey_order():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 3000, dtype=np.uint8).tobytes() + b"ab" * 200
