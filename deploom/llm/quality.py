@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import slices, table, text_of
 
 #: Labelled rows that the model is fitted on at most: a bounded sample, taken by hashes of doc_id.
 MAX_FIT_ROWS = 20_000
@@ -184,7 +184,7 @@ def score_rows(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", te
     """(id, score) for each row; a null text scores as an empty one."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([features(t.as_py()) for t in batch.column(1)], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["id", "score"])
 
@@ -199,7 +199,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRE
         return docs
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             x = np.array([features("" if t is None else t) for t in texts], float).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= threshold))
