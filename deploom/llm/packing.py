@@ -81,8 +81,8 @@ class Bm25Index:
         token, piece = key // n, key % n
         tf = tf.astype(np.float32)
         norm = K1 * (1 - B + B * lengths[piece] / max(1.0, lengths.mean()))
-        self.weight = (idf[token] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
-        self.piece = piece.astype(np.int32)
+        self.weight = (idf[token] * tf * (K1 + 1) / (tf + norm)).astype(np.float64)
+        self.piece = piece.astype(np.intp)
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
         ends = np.r_[first[1:], len(token)]
         row = np.repeat(np.arange(len(first)), ends - first)
@@ -102,6 +102,19 @@ class Bm25Index:
         return np.bincount(self.piece[at], self.weight[at], self.n)
 
 
+def best_first(scores: np.ndarray, left: np.ndarray, room: int) -> list[int]:
+    """Pieces by falling score, as many as fill the room; pieces without a score are none."""
+    k = 16
+    while True:
+        best = np.argpartition(-scores, k)[:k] if k < len(scores) else np.arange(len(scores))
+        best = best[scores[best] > 0]
+        best = best[np.lexsort((best, -scores[best]))]
+        full = int(np.searchsorted(np.cumsum(left[best]), room)) + 1
+        if full <= len(best) or len(best) < k:
+            return best[:full].tolist()
+        k *= 4
+
+
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of the pieces; every id of every document is in one piece."""
     out, seq = [], 0
@@ -132,9 +145,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, window: int = WINDOW) ->
             if not queue:
                 if not scored:
                     scored = True
-                    s = np.where(unused, index.scores(first_seed), 0.0)
-                    best = np.argsort(-s, kind="stable")[: int((s > 0).sum())]
-                    queue = best[: max(1, int(np.searchsorted(np.cumsum(left[best]), room)) + 1)].tolist() if len(best) else []
+                    queue = best_first(index.scores(first_seed) * unused, left, room)
                 if not queue:
                     while not unused[now]:
                         now += 1
