@@ -107,6 +107,29 @@ def test_near_text(spark):
     assert near_text.near_groups(df.limit(0)).count() == 0
 
 
+def jaccard_closure(texts):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    return closure(np.array([[len(a & b) / len(a | b) >= 0.8 for b in sets] for a in sets]))
+
+
+@pytest.mark.parametrize("block", [2048, 60])
+def test_near_text_joins_all_of_a_large_group(spark, monkeypatch, block):
+    """Variants are similar to their base alone; each must be joined, by whatever place the base has and across blocks."""
+    monkeypatch.setattr(near_text, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(base)]
+    for v in range(300):
+        c = list(base)
+        for k in rng.choice(190, 4, replace=False):
+            c[k + 5] = f"v{v}x{k}"
+        texts.append(" ".join(c))
+    texts = [texts[k] for k in rng.permutation(len(texts))]
+    label = jaccard_closure(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in near_text.near_groups(df).collect()} == dict(enumerate(label.tolist()))
+
+
 def brute(vectors):
     good = {}
     for k, (i, v, label) in enumerate(vectors):
