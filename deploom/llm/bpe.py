@@ -33,10 +33,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def encoder(ranks: dict[bytes, int], pattern: str):
+def encoder(ranks: dict[bytes, int], pattern: str, added: dict[str, int] | None = None):
     import tiktoken
 
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
 
 
 def pack(codes: np.ndarray) -> bytes:

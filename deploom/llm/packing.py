@@ -12,7 +12,9 @@ but for a shard's last, which is dealt to sequences whose lengths are powers of
 
 from __future__ import annotations
 
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +40,20 @@ def signature(ids: np.ndarray) -> int:
     return int((int(x.min()) * 0x9E3779B97F4A7C15 >> 40) % SIGNATURES) if len(x) else 0
 
 
-def tokenise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str) -> DataFrame:
+def highest(ranks: dict[bytes, int], added: dict[str, int]) -> int:
+    return max([*ranks.values(), *added.values()], default=0)
+
+
+def tokenise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str, added: dict[str, int]) -> DataFrame:
     """Rows (id, ids, n, sig) of documents, ids as little-endian 16-bit numbers with END_ID at the end, and rows (n, token) of token counts by document."""
-    wide = "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
+    top = highest(ranks, added)
+    wide = "<u2" if top < 1 << 16 else "<u4"
     rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
     names = ["id", "ids", "n", "sig", "token"]
 
     def run(batches):
-        enc = encoder(ranks, pattern)
-        seen = np.zeros(max(ranks.values(), default=0) + 2, np.int64)
+        enc = encoder(ranks, pattern, added)
+        seen = np.zeros(top + 2, np.int64)
         kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field(0).type
@@ -54,7 +61,8 @@ def tokenise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
                 part = batch.slice(a, 500)
                 blobs, sizes, signs = [], [], []
                 for t in part.column(1):
-                    ids = enc.encode_ordinary(t.as_py())
+                    text = t.as_py()
+                    ids = enc.encode(text, allowed_special="all") if any(x in text for x in added) else enc.encode_ordinary(text)
                     ids.append(END_ID)
                     ids = np.array(ids, wide)
                     seen[np.unique(ids)] += 1
@@ -182,19 +190,20 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, window: int = WINDOW) ->
     return out
 
 
-def pack_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids themselves.
 
     Null texts are empty: one piece of the closing id. Repeated rows and null ids are packed like any other row. Very long texts are cut
-    into whole windows. Only id_col and text_col are read.
+    into whole windows. Only id_col and text_col are read. added: tokens that are cut out of a text before all else, and their ids.
     """
-    tokens = materialize(tokenise(docs, ranks, pattern, id_col, text_col), "pack-tokens")
+    added = added or {}
+    tokens = materialize(tokenise(docs, ranks, pattern, id_col, text_col, added), "pack-tokens")
     texts = tokens.where("token is null")
     # Bounded by the vocabulary and by SIGNATURES.
     counts = tokens.where("token is not null").groupBy("token").agg(F.sum("n").alias("df")).toArrow()
     layout = texts.groupBy("sig").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")).orderBy("sig").toPandas()
     n_docs = int(layout["docs"].sum())
-    df = np.zeros(max(ranks.values(), default=0) + 2)
+    df = np.zeros(highest(ranks, added) + 2)
     df[counts.column("token").to_numpy()] = counts.column("df").to_numpy()
     idf = np.maximum(0.0, np.log((n_docs - df + 0.5) / (df + 0.5))).astype(np.float32)
     before = np.r_[0, np.cumsum(layout["tokens"].to_numpy(np.int64))]
@@ -206,7 +215,7 @@ def pack_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_co
     placed = texts.join(F.broadcast(places), "sig").select(shard.alias("shard"), "id", "n", "ids")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.repartition(n, "shard").sortWithinPartitions("shard", "id", "n")
-    wide = "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
+    wide = "<u2" if highest(ranks, added) < 1 << 16 else "<u4"
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def run(batches):
@@ -235,14 +244,24 @@ def pack_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_co
     return dealt.mapInArrow(run, f"{id_col} {dict(texts.dtypes)['id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-def pack_with_public_vocabulary(docs: DataFrame) -> DataFrame:
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer file, which tokenizers matches in texts; those with options that the rank encoder lacks raise."""
+    tokens = json.loads(Path(path).read_text())["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
+        raise ValueError(f"added tokens of {path} are matched by other rules than their text")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def pack_with_public_vocabulary(docs: DataFrame, match_added: bool = False) -> DataFrame:
     """Packing by the ids of byte_bpe_50k. The rank file holds the vocabulary of byte_bpe_50k.json, and the rank encoder gives the same ids
-    (the tests compare them) about four times faster; special tokens' strings in a text are ordinary text."""
+    (the tests compare them) about four times faster. match_added: the added tokens of the JSON file are matched in texts as tokenizers does
+    by default (op4 and the pipeline); else their strings are ordinary text, as with its encode_special_tokens."""
     import public_tokenizers
 
-    packed = pack_documents(docs, load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json")) if match_added else {}
+    packed = pack_documents(docs, load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, added=added)
     return packed.drop("ids")
 
 
 def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_with_public_vocabulary(table(spark, sf_dir, "documents"))
+    return pack_with_public_vocabulary(table(spark, sf_dir, "documents"), match_added=True)

@@ -88,6 +88,18 @@ def test_both_encoders_agree():
     assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [enc.encode_ordinary(x) for x in texts]
 
 
+def test_packing_matches_added_tokens(spark, tmp_path):
+    """Ids are those of tokenizers with the JSON file as it is: the string of an added token is that token."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "  <|endoftext|><|endoftext|>\n x", "<|endoftext|", "a  <|endoftext|>  b", "plain it's  text\n\n", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {k: e.ids + [1] for k, e in enumerate(t.encode_batch(texts, add_special_tokens=False))}
+    assert 50256 in ids[0]
+    checked_pieces(packing.op4_bm25_packing(spark, str(tmp_path)).collect(), ids)
+
+
 def test_neighbours_share_words():
     idf = np.ones(100, np.float32)
     docs = [np.array([1, 2, 3] * 5), np.array([50, 51] * 5), np.array([1, 2, 4] * 5), np.array([60] * 10)]
