@@ -130,6 +130,32 @@ def test_near_text_joins_all_of_a_large_group(spark, monkeypatch, block):
     assert {r.doc_id: r.group_id for r in near_text.near_groups(df).collect()} == dict(enumerate(label.tolist()))
 
 
+def edited(base, kind, size, tag):
+    new = [f"{tag}{kind}{k}" for k in range(size)]
+    return {"append": base + new, "cut": base[: len(base) - size], "replace": base[:80] + new + base[80 + size :]}[kind]
+
+
+def test_near_text_decides_block_edits_at_the_limit(spark):
+    """Of 196 shingles each: an edit of the first size has a similarity of 0.8 or just above, of the second just below."""
+    sizes = {"append": (49, 50), "cut": (39, 40), "replace": (17, 18)}
+    texts, want = [], []
+    for b in range(60):
+        base, root = [f"b{b}w{k}" for k in range(200)], len(texts)
+        texts.append(" ".join(base))
+        want.append(root)
+        for kind, at in sizes.items():
+            for size, inside in zip(at, (True, False), strict=True):
+                # A cut of more is near a cut of less, so each has a base of its own.
+                own = base if kind != "cut" or inside else [f"c{b}w{k}" for k in range(200)]
+                if own is not base:
+                    want.append(len(texts))
+                    texts.append(" ".join(own))
+                want.append(root if inside else len(texts))
+                texts.append(" ".join(edited(own, kind, size, f"{b}s{size}")))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in near_text.near_groups(df).collect()} == dict(enumerate(want))
+
+
 def brute(vectors):
     good = {}
     for k, (i, v, label) in enumerate(vectors):
