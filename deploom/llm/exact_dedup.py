@@ -135,9 +135,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies of an earlier text; columns as they are. Repeated rows of a kept id leave one row."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """docs without the copies of an earlier text; columns as they are.
+
+    Rows are told apart by id and text: a repeated id doesn't take a unique text along, and copies with a null id go if another row of their
+    group has an id. Rows that repeat both the kept id and its text all stay, as exact_groups keeps them all.
+    """
+    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha"))
+    sha = F.sha2(F.encode(normalised(text_of(docs, text_col)), "utf-8"), 256)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (sha == gone["_sha"]), "left_anti")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,13 @@ def test_exact_groups(spark):
     assert exact_dedup.exact_groups(df.limit(0)).count() == 0
 
 
+def test_exact_copies_go_by_row(spark):
+    """A repeated id takes no unique text along; a copy with a null id goes, a unique text with a null id stays."""
+    data = [(1, "a"), (2, "a"), (2, "unique"), (None, "a"), (None, "other"), (3, "a  b"), (4, "a b")]
+    kept = exact_dedup.drop_exact_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in kept), key=str) == sorted([(1, "a"), (2, "unique"), (None, "other"), (3, "a  b")], key=str)
+
+
 def test_exact_query(spark, duck):
     got = exact_dedup.op10_exact_dedup(spark, f"{DATA}/sf0.001").toPandas()
     assert rows(got) == rows(duck().sql(exact_dedup.ORACLE).df())

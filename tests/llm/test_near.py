@@ -130,6 +130,15 @@ def test_near_text_joins_all_of_a_large_group(spark, monkeypatch, block):
     assert {r.doc_id: r.group_id for r in near_text.near_groups(df).collect()} == dict(enumerate(label.tolist()))
 
 
+def test_near_text_drops_by_row(spark):
+    """A repeated id takes no unique text along, and of two near copies under one id one stays."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(200)) for x in "abc")
+    data = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c + " more"), (None, a)]
+    kept = [tuple(r) for r in near_text.drop_near_texts(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    assert {(1, a), (2, b), (None, a)} <= set(kept) and (2, a + " more") not in kept
+    assert sorted(str(r[0]) for r in kept) == ["1", "2", "3", "None"]
+
+
 def edited(base, kind, size, tag):
     new = [f"{tag}{kind}{k}" for k in range(size)]
     return {"append": base + new, "cut": base[: len(base) - size], "replace": base[:80] + new + base[80 + size :]}[kind]
