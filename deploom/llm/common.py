@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,6 +11,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if its rows times the bytes of a row stay under this; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
 
+#: Hashes are cut into so many parts to take a share of rows, which stays above none for any count of rows.
+SPREAD = 1 << 50
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch of whole texts.
@@ -23,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one is made only where the session names none (tests)."""
+    """The shared folder of the session, which must name one: a folder of the driver's own is not seen by executors elsewhere."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="deploom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"{spark.sparkContext._jvm.java.lang.System.getProperty('java.io.tmpdir')}/deploom-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -47,7 +51,9 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd", batch_rows: int |
     finally:
         for k, v in before.items():
             conf.unset(k) if v is None else conf.set(k, v)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
 
 
 def written_apart(df: DataFrame, tag: str, by: str) -> tuple[str, dict]:
@@ -57,10 +63,11 @@ def written_apart(df: DataFrame, tag: str, by: str) -> tuple[str, dict]:
     return path, df.drop(by).schema
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes a folder of the shared storage that nothing reads any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def discard(spark: SparkSession, *written: DataFrame | str) -> None:
+    """Removes folders of the shared storage, or those of materialised tables, that nothing reads any more."""
+    for x in written:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x.folder)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:

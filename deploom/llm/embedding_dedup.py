@@ -1,12 +1,13 @@
 """Embedding near-dedup with iterative quantisation (Gong et al., 2013) and multi-index Hamming tables (Norouzi et al., 2012).
 
 A rotation of the principal components is learned so that signs lose little; signs of rotated vectors are balanced binary codes. The code
-is cut into substrings of 16 bits, each with a table of its own. Vectors of one label that agree in a substring are candidates, and their
+is cut into substrings of up to 16 bits, each with a table of its own. Vectors of one label that agree in a substring are candidates, and their
 cosine is taken from the original vectors in double precision. A pair found in several tables counts in the first.
 
-One code of d bits gives d / 16 tables; further rotations from other starts give further tables until there are TABLES of them. With 16
-tables the chance of finding a pair is above 0.99 at cosine 0.975 and about 0.9 at 0.93 if signs were those of random planes; the tests
-measure it against brute force.
+One code of d bits gives d / 16 tables; further rotations from other starts give further tables. How many, and how wide a substring is, is
+measured: pairs are made at the limit from vectors of the fitted sample, apart by differences of other vectors of it, and tables are added
+until RECALL of these, and of the sample's own pairs near the limit, share a substring. Where MOST_TABLES are not enough (vectors with a large
+common part, of which all are near each other), substrings become narrower. The tests measure recall against brute force.
 
 Equal vectors of a label are one class with a count from the beginning. Buckets emit a count for each member and a forest of links, never
 their pairs. A bucket over BLOCK members is cut into blocks, and each pair of blocks is a group of its own.
@@ -19,17 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table
+from .common import SPREAD, discard, materialize, small, table
 from .components import components, local_components
 
 #: Vectors that the rotations are fitted on at most, about: a bounded sample, taken by hash.
 MAX_FIT_VECTORS = 20_000
-TABLES, WIDTH = 16, 16
+TABLES, MOST_TABLES, WIDTHS = 16, 64, (16, 12, 8, 6, 4)
+#: Share of the sample's pairs at the limit that tables must find; sampled vectors that pairs are made from or looked for among, at most.
+RECALL, TRIALS = 0.97, 4000
 BLOCK = 4096
 RUN = 32
 
 
-def fit_rotations(x: np.ndarray, tables: int = TABLES, steps: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def fit_rotations(x: np.ndarray, bits: int, steps: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """(mean, matrix): signs of (v - mean) @ matrix are the code. Each block of columns is one rotation of the principal components."""
     d = x.shape[1]
     if not len(x):
@@ -39,20 +42,53 @@ def fit_rotations(x: np.ndarray, tables: int = TABLES, steps: int = 30, seed: in
     axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1]
     v = centred @ axes
     out, rng = [], np.random.default_rng(seed)
-    for _ in range(-(-tables * WIDTH // d)):
+    for _ in range(-(-bits // d)):
         r = np.linalg.qr(rng.standard_normal((d, d)))[0]
         for _ in range(steps):
             b = np.where(v @ r >= 0, 1.0, -1.0)
             left, _, right = np.linalg.svd(b.T @ v)
             r = (left @ right).T
         out.append(axes @ r)
-    return mean, np.concatenate(out, axis=1)[:, : tables * WIDTH]
-
-
-def codes(x: np.ndarray, mean: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """(n, tables) substrings of 16 bits, of vectors scaled to length 1."""
-    bits = ((x - mean) @ matrix >= 0).reshape(len(x), -1, WIDTH)
-    return np.packbits(bits, axis=2, bitorder="little").view("<u2").reshape(len(x), -1)
+    return mean, np.concatenate(out, axis=1)[:, :bits]
+
+
+def codes(x: np.ndarray, mean: np.ndarray, matrix: np.ndarray, width: int) -> np.ndarray:
+    """(n, tables) substrings of `width` bits, of vectors scaled to length 1."""
+    bits = ((x - mean) @ matrix >= 0).reshape(len(x), -1, width)
+    return (bits @ (1 << np.arange(width))).astype(np.uint16)
+
+
+def pairs_at(x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of x and, for each, one at the limit from it, in the direction of a difference between two others; then pairs of x
+    whose cosine is little above the limit."""
+    n = min(len(x), TRIALS)
+    rng = np.random.default_rng(5)
+    a, y, z = (x[rng.integers(0, len(x), n)] for _ in range(3))
+    away = y - z
+    away -= (away * a).sum(axis=1, keepdims=True) * a
+    size = np.sqrt((away * away).sum(axis=1))
+    ok = size > 1e-9
+    a, away = a[ok], away[ok] / size[ok, None]
+    own = x[:TRIALS]
+    close = own @ own.T
+    i, j = np.nonzero(np.triu((close >= limit) & (close < limit + (1 - limit) / 4), 1))
+    return np.concatenate([a, own[i]]), np.concatenate([limit * a + np.sqrt(1 - limit * limit) * away, own[j]])
+
+
+def fitted_tables(x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(mean, matrix, width): as many tables, and substrings as wide, as find RECALL of pairs_at(x, limit)."""
+    d = x.shape[1]
+    if limit <= -1 or not len(x):
+        return *fit_rotations(x, TABLES * WIDTHS[0]), WIDTHS[0]
+    a, b = pairs_at(x, limit)
+    mean, matrix = fit_rotations(x, MOST_TABLES * WIDTHS[0])
+    for width in WIDTHS:
+        same = codes(a, mean, matrix[:, : MOST_TABLES * width], width) == codes(b, mean, matrix[:, : MOST_TABLES * width], width)
+        found = np.logical_or.accumulate(same, axis=1).mean(axis=0) if len(a) else np.ones(MOST_TABLES)
+        if found[-1] >= RECALL:
+            tables = max(TABLES, int(np.argmax(found >= RECALL)) + 1)
+            return mean, matrix[:, : tables * width], width
+    return mean, matrix[:, : MOST_TABLES * WIDTHS[-1]], WIDTHS[-1]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -112,8 +148,8 @@ def near_vectors(vectors: DataFrame, limit: float = 0.93, id_col: str = "vec_id"
     classes = rows.where(usable).groupBy("label", "v").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "itq-classes")
     total, d = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    share = int(1_000_000 * min(1.0, MAX_FIT_VECTORS / max(1, total)))
-    sample = classes.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < share).select("v").limit(2 * MAX_FIT_VECTORS).toArrow().column("v")
+    share = max(1, int(min(1.0, MAX_FIT_VECTORS / max(1, total)) * SPREAD))
+    sample = classes.where(F.pmod(F.xxhash64("v"), F.lit(SPREAD)) < share).select("v").limit(2 * MAX_FIT_VECTORS).toArrow().column("v")
 
     def padded(column) -> np.ndarray:
         lengths = np.diff(column.offsets.to_numpy())
@@ -126,16 +162,17 @@ def near_vectors(vectors: DataFrame, limit: float = 0.93, id_col: str = "vec_id"
 
     fit_on = np.concatenate([padded(c) for c in sample.chunks if len(c)] or [np.zeros((0, d))])
     order = np.lexsort(fit_on.T[:8]) if len(fit_on) else []
-    mean, matrix = fit_rotations(unit(fit_on[order]) if len(fit_on) else fit_on)
+    mean, matrix, width = fitted_tables(unit(fit_on[order]) if len(fit_on) else fit_on, limit)
+    tables = matrix.shape[1] // width
 
     def index(batches):
         for batch in batches:
             if batch.num_rows:
                 raw = batch.column(1)
-                c = codes(unit(padded(raw)), mean, matrix)
+                c = codes(unit(padded(raw)), mean, matrix, width)
                 lengths = np.diff(raw.offsets.to_numpy()).astype(np.int64)
-                keys = (lengths[:, None] << 32) | (np.arange(TABLES, dtype=np.int64) << 16) | c.astype(np.int64)
-                offsets = pa.array(np.arange(0, keys.size + 1, TABLES), pa.int32())
+                keys = (lengths[:, None] << 32) | (np.arange(tables, dtype=np.int64) << 16) | c.astype(np.int64)
+                offsets = pa.array(np.arange(0, keys.size + 1, tables), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["cid", "label", "keys"])
 
     label_type = dict(rows.dtypes)["label"]
@@ -157,7 +194,7 @@ def near_vectors(vectors: DataFrame, limit: float = 0.93, id_col: str = "vec_id"
             t = t.combine_chunks()
             x = unit(padded(t.column("v").chunk(0) if t.num_rows else t.column("v").combine_chunks()))
             keys = t.column("keys").combine_chunks()
-            code = keys.flatten().to_numpy().reshape(-1, TABLES)
+            code = keys.flatten().to_numpy().reshape(-1, tables)
             key = t.column("key").to_numpy()
             b1, b2 = t.column("b1").to_numpy(), t.column("b2").to_numpy()
             edge = edges_of(t)
@@ -192,8 +229,9 @@ def near_vectors(vectors: DataFrame, limit: float = 0.93, id_col: str = "vec_id"
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     linked = classes.join(links, classes["cid"] == links["lc"], "left").join(roots, classes["cid"] == roots["node"], "left")
     linked = materialize(linked.select("cid", "label", "v", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")), "itq-linked")
-    named = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")), "itq-named")
     by_class = materialize(linked.join(named, "root").select(F.col("label").alias("_l"), F.col("v").alias("_v"), "n_links", "component_id"), "itq-components")
+    discard(vectors.sparkSession, classes, coded, large, found, linked, named)
     yes = rows.where(usable).join(by_class, (F.col("label") == F.col("_l")) & (F.col("v") == F.col("_v"))).select("id", "n_links", "component_id")
     no = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return yes.unionByName(no).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -201,3 +239,19 @@ def near_vectors(vectors: DataFrame, limit: float = 0.93, id_col: str = "vec_id"
 
 def op8_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of a label: the same rows where every pair at the limit is found.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT vec_id, label, e, len(e) AS d, sqrt(list_dot_product(e, e)) AS size FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.d = b.d AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) >= 0.93 * a.size * b.size),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a, least(a, min(b)) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(least.component_id, v.vec_id) AS component_id, coalesce(least.component_id, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN n ON v.vec_id = n.a LEFT JOIN least ON v.vec_id = least.a
+"""

@@ -11,8 +11,6 @@ from .common import table, text_of
 MULTIPLIER = 2862933555777941757
 HIGH, LOW = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
 MASK = 0xFFFFFFFF
-#: Jumps are strictly rising, so as many steps as shards always suffice; the chance of over 200 jumps is below 1e-90 for any count of shards below 2**31.
-MAX_JUMPS = 200
 #: Rows that one numbering task gets at most, about.
 ROWS_PER_RUN = 200_000
 
@@ -23,7 +21,7 @@ def digest(column: Column, digits: int) -> Column:
 
 
 def jump_path(key: Column, shards: int) -> Column:
-    """struct(now, last): the shards of a 64-bit key with shards + 1 and with shards shards.
+    """struct(now, last): the shards of a 64-bit key with shards + 1 and with shards shards. Jumps rise strictly, so shards + 1 steps suffice.
 
     The generator's 64-bit product is kept as two non-negative halves, as ANSI arithmetic raises on overflow.
     """
@@ -57,7 +55,7 @@ def jump_path(key: Column, shards: int) -> Column:
 
         return F.when(s["at"] > F.lit(shards), s).otherwise(F.transform(F.array(drawn), jump)[0])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(min(shards + 1, MAX_JUMPS))), start, step)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(shards + 1)), start, step)
 
 
 def shard_rows(df: DataFrame, key: str, shards: int) -> DataFrame:
@@ -78,18 +76,15 @@ def number_slots(df: DataFrame, shard: str, order: list[str], total: int) -> Dat
 
     A shard may hold any number of rows, so each is numbered in runs: a run is a range of hashes, its rows are numbered by a window,
     and the rows before it come from the counts of the runs, which are few. total: rows of df, for the number of runs.
-    Ties (rows equal in all of `order`) get successive slots in any order.
+    Ties (rows equal in all of `order`) get successive slots in any order. A column named slot is replaced; a null shard has slot null.
     """
     runs = max(16, total // ROWS_PER_RUN)
-    spread = df.withColumn("_run", F.pmod(digest(F.col(order[0]), 7), F.lit(runs)).cast("int"))
-    counts = spread.groupBy(shard, "_run").agg(F.count("*").alias("_n"))
-    before = counts.select(
-        F.col(shard).alias("_s"), F.col("_run").alias("_r"),
-        F.expr(f"sum(_n) over (partition by `{shard}` order by _run rows between unbounded preceding and current row) - _n").alias("_before"),
-    )
-    numbered = spread.withColumn("_at", F.expr(f"row_number() over (partition by `{shard}`, _run order by {', '.join(f'`{c}`' for c in order)})"))
-    joined = numbered.join(before, (numbered[shard] == before["_s"]) & (numbered["_run"] == before["_r"]))
-    return joined.withColumn("slot", (F.col("_before") + F.col("_at") - 1).cast("long")).drop("_run", "_s", "_r", "_before", "_at")
+    # Columns of df travel in a struct, so that none can clash with those made here.
+    spread = df.select(F.struct(*[df[c] for c in df.columns if c != "slot"]).alias("row"), df[shard].alias("s"), F.pmod(digest(df[order[0]], 7), F.lit(runs)).cast("int").alias("r"))
+    counts = spread.groupBy("s", "r").agg(F.count("*").alias("n"))
+    before = counts.select("s", "r", F.expr("sum(n) over (partition by s order by r rows between unbounded preceding and current row) - n").alias("before"))
+    numbered = spread.withColumn("at", F.expr(f"row_number() over (partition by s, r order by {', '.join(f'row.`{c}`' for c in order)})"))
+    return numbered.join(before, ["s", "r"]).select("row.*", (F.col("before") + F.col("at") - 1).cast("long").alias("slot"))
 
 
 def op9_jump_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:

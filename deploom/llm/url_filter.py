@@ -51,15 +51,17 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     kept = [c for c in captures.columns if c not in ("matched_pattern", "listed_since", "blocked")]
     timeline = validity_intervals(entries).groupBy(F.col("pattern").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("valid_from", "valid_to", "action"))).alias("_spans"))
     timeline = small(materialize(timeline, "url-timeline"), 400)
-    asked = captures.select(F.col(url).alias("_u"), F.col(fetched).alias("_t")).where("_u is not null and _t is not null").distinct()
+    asked = captures.select(captures[url].alias("_u"), captures[fetched].alias("_t")).where("_u is not null and _t is not null").distinct()
     keyed = asked.select("_u", "_t", F.explode(lookup_keys(F.col("_u"))).alias("_key"))
     active = F.filter("_spans", lambda s: (s["valid_from"] <= F.col("_t")) & (s["valid_to"].isNull() | (s["valid_to"] > F.col("_t"))))
     hits = keyed.join(timeline, "_key").select("_u", "_t", "_key", active.alias("_on")).where(F.size("_on") > 0)
     best = hits.groupBy("_u", "_t").agg(F.max(F.struct(F.length("_key").alias("n"), F.col("_key").alias("key"), F.col("_on")[0]["valid_from"].alias("since"), F.col("_on")[0]["action"].alias("action"))).alias("_b"))
+    # Columns of captures travel in a struct, so that none can clash with those of the join.
+    held = captures.select(captures[url].alias("_u"), captures[fetched].alias("_t"), F.struct(*[captures[c] for c in kept]).alias("_row"))
     best = best.select(F.col("_u").alias("_bu"), F.col("_t").alias("_bt"), "_b")
-    out = captures.select(*kept).join(best, (F.col(url) == F.col("_bu")) & (F.col(fetched) == F.col("_bt")), "left")
+    out = held.join(best, (F.col("_u") == F.col("_bu")) & (F.col("_t") == F.col("_bt")), "left")
     return out.select(
-        *kept, F.col("_b.key").alias("matched_pattern"), F.col("_b.since").alias("listed_since"),
+        "_row.*", F.col("_b.key").alias("matched_pattern"), F.col("_b.since").alias("listed_since"),
         F.coalesce(F.col("_b.action") == "block", F.lit(False)).alias("blocked"),
     )
 

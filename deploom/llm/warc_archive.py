@@ -1,7 +1,8 @@
 """Content-addressed WARC archive.
 
 Payload bytes are stored once, under a strong digest that is computed again from the bytes when they are read back. Each record's
-exact header block is kept separately. A join of headers with payloads by digest gives back the original records, byte for byte.
+exact header block is kept separately. A join of headers with payloads by digest gives back the original records, byte for byte; what is
+reported of a record is parsed from these bytes.
 
 Layout below one folder:  payloads/  WARC 1.1 files with one resource record for each distinct payload;
                           headers/   Parquet: page_id, digest and the exact WARC and HTTP header bytes of each record.
@@ -17,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table, text_of, work_dir
+from .common import BROADCAST_BYTES, discard, materialize, slices, small, table, text_of, work_dir
 
-#: Payload records in one archive file at most, so that a reader's task holds one file of bounded size.
-RECORDS_PER_FILE = 1000
-END = b"\r\n\r\n"
+#: Bytes of an archive file before compression, about (a longer record has a file of its own), so that a reader's task holds a bounded file.
+FILE_BYTES = 32 << 20
+END_TEXT = "\r\n\r\n"
+END = END_TEXT.encode()
 
 
 def payload_head(sha256: str, sha1: str, size: int) -> str:
@@ -65,95 +67,147 @@ def b32_sha1(data) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def write_archive(pages: DataFrame, path: str, min_revisit: int = 0) -> None:
+def base32_of_hex(sha1):
+    """Base32 of 40 hex digits, as a column."""
+    parts = [F.lpad(F.conv(F.substring(sha1, 1 + 10 * k, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+def write_archive(pages: DataFrame, path: str, min_revisit: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Writes the archive of pages (page_id, url, html) below path.
 
     Of records with equal payloads of at least min_revisit bytes, the one with the smallest page_id is a response and the others are
     revisits of it. Null html: an empty payload. Null url: urn:none. Null page_ids are preferred last; a group of only null ids is
     all responses. Rows that repeat the smallest page_id are all responses. Columns besides the three are ignored.
     """
-    rows = pages.select("page_id", "url", text_of(pages, "html").alias("html"))
-
-    def heads(batches):
-        for batch in batches:
-            ids, urls, texts = (batch.column(i).to_pylist() for i in range(3))
-            out = [[], [], [], [], []]
-            for i, u, t in zip(ids, urls, texts, strict=True):
-                data = t.encode()
-                for column, x in zip(out, (i, u, hashlib.sha256(data).hexdigest(), b32_sha1(data), len(data)), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "digest", "sha1", "size"])
-
-    id_type = dict(pages.dtypes)["page_id"]
-    facts = rows.mapInArrow(heads, f"page_id {id_type}, url string, digest string, sha1 string, size long")
+    data = F.encode(text_of(pages, "html"), "utf-8")
+    rows = pages.select("page_id", text_of(pages, "html").alias("html"), F.sha2(data, 256).alias("digest"))
     # Groups are made of digests alone: payloads do not move here, and a hot payload is combined before the shuffle.
+    facts = pages.select("page_id", "url", F.sha2(data, 256).alias("digest"), base32_of_hex(F.sha1(data)).alias("sha1"), F.length(data).cast("long").alias("size"))
     facts = materialize(facts, "warc-facts")
-    first = facts.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    joined = facts.join(first, "digest").withColumn("revisit", F.coalesce((F.col("size") >= min_revisit) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id"))) & F.col("first_id").isNotNull(), F.lit(False)))
+    # Written, so that the join's side is a table, which a hot digest's rows are dealt over.
+    first = materialize(facts.groupBy("digest").agg(F.min("page_id").alias("first_id")), "warc-first")
+    revisit = (F.col("size") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull()
+    joined = facts.join(small(first, 100), "digest").withColumn("revisit", revisit)
+    id_type = dict(pages.dtypes)["page_id"]
 
     def blocks(batches):
         for batch in batches:
             c = batch.to_pydict()
-            kinds = ["revisit" if r else "response" for r in c["revisit"]]
-            head = [record_head(p, u, s, k, f, n) for p, u, s, k, f, n in zip(c["page_id"], c["url"], c["sha1"], kinds, c["first_id"], c["size"], strict=True)]
-            refers = [f if r else None for f, r in zip(c["first_id"], c["revisit"], strict=True)]
-            t = batch.schema.field("page_id").type
-            yield pa.RecordBatch.from_arrays([pa.array(c["page_id"], t), pa.array(c["digest"]), pa.array(kinds), pa.array(refers, t), pa.array(head, pa.binary())], ["page_id", "digest", "record_type", "refers_to", "head"])
-
-    joined.mapInArrow(blocks, f"page_id {id_type}, digest string, record_type string, refers_to {id_type}, head binary").write.parquet(f"{path}/headers")
-    # One copy of each payload: rows behind the first of their digest are left out, by key; digests of which several rows could be first
-    # (repeated rows, null ids) are few and are cut to one row by a shuffle of their own.
-    later = materialize(joined.where("not (page_id <=> first_id)").select("page_id", "digest"), "warc-later")
-    unclear = materialize(joined.where("page_id <=> first_id").groupBy("digest").count().where("count > 1").select("digest"), "warc-unclear")
-    base = rows.select("html", "page_id", F.sha2(F.encode("html", "utf-8"), 256).alias("digest"))
-    clear = base.join(small(later, 100), ["page_id", "digest"], "left_anti").join(small(unclear, 100), "digest", "left_anti")
-    rest = base.join(small(unclear, 100), "digest", "left_semi").dropDuplicates(["digest"])
-    many = clear.select("digest", "html").union(rest.select("digest", "html"))
+            facts_of = zip(c["page_id"], c["url"], c["sha1"], c["revisit"], c["first_id"], c["size"], strict=True)
+            head = [record_head(p, u, s, "revisit" if r else "response", f, n) for p, u, s, r, f, n in facts_of]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(head, pa.binary())], ["page_id", "digest", "head"])
+
+    shown = joined.select("page_id", "digest", "url", "sha1", "revisit", "first_id", "size")
+    shown.mapInArrow(blocks, f"page_id {id_type}, digest string, head binary").write.parquet(f"{path}/headers")
+    # One copy of each payload. If the rows behind the first of their digest are few, they are left out where they are, and digests of which
+    # several rows could be first (repeated rows, null ids) are cut to one row by a shuffle of their own; else all payloads move once.
+    behind = ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    later = materialize(joined.where(behind).select(F.col("page_id").alias("later_id"), F.col("digest").alias("later_digest")), "warc-later")
+    unclear = materialize(joined.where(~behind).groupBy("digest").count().where("count > 1").select("digest"), "warc-unclear")
+    n_later, n_unclear = later.count(), unclear.count()
+    if max(n_later, n_unclear) * 100 <= BROADCAST_BYTES:
+        clear = rows.join(F.broadcast(later), rows["page_id"].eqNullSafe(later["later_id"]) & (rows["digest"] == later["later_digest"]), "left_anti")
+        rest = clear.join(F.broadcast(unclear), "digest", "left_semi").dropDuplicates(["digest"])
+        many = clear.join(F.broadcast(unclear), "digest", "left_anti").select("digest", "html").union(rest.select("digest", "html"))
+    else:
+        many = rows.dropDuplicates(["digest"]).select("digest", "html")
 
     def records(batches):
+        held, size = [], 0
         for batch in batches:
-            out = []
-            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
                 data = text.encode()
-                out.append(payload_head(digest, b32_sha1(data), len(data)) + text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                held.append(payload_head(digest, b32_sha1(data), len(data)) + text)
+                size += len(data) + 400
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([END_TEXT.join(held)], pa.string())], ["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([END_TEXT.join(held)], pa.string())], ["value"])
 
-    (many.mapInArrow(records, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE)
-        .option("compression", "gzip").text(f"{path}/payloads"))
+    # A row is a file's records.
+    many.mapInArrow(records, "value string").write.option("lineSep", END_TEXT).option("maxRecordsPerFile", 1).option("compression", "gzip").text(f"{path}/payloads")
+    discard(pages.sparkSession, facts, first, later, unclear)
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(digest, sha1, payload) of the stored payloads, each digest computed again from the bytes; a mismatch raises."""
+    """(digest, payload) of the stored payloads, each digest computed again from the bytes; a mismatch raises."""
 
     def parse(batches):
         import zlib
 
         for batch in batches:
             for content in batch.column(0):
-                rows = []
+                digests, payloads, size = [], [], 0
                 for headers, block in parse_records(zlib.decompress(content.as_py(), 31)):
                     digest = hashlib.sha256(block).hexdigest()
                     if headers["WARC-Record-ID"] != f"<urn:sha256:{digest}>":
                         raise ValueError(f"payload {headers['WARC-Record-ID']} does not match its digest")
-                    rows.append((digest, b32_sha1(block), bytes(block)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))], ["digest", "sha1", "payload"])
+                    digests.append(digest)
+                    payloads.append(bytes(block))
+                    size += len(block)
+                    if size >= 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(payloads, pa.binary())], ["digest", "payload"])
+                        digests, payloads, size = [], [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(payloads, pa.binary())], ["digest", "payload"])
 
     files = spark.read.format("binaryFile").load(f"{path}/payloads").select("content")
-    return files.mapInArrow(parse, "digest string, sha1 string, payload binary")
+    return files.mapInArrow(parse, "digest string, payload binary")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Each archived record: page_id, record_type, refers_to, head (exact header bytes), digest, sha1 and the full payload."""
-    return spark.read.parquet(f"{path}/headers").join(read_payloads(spark, path), "digest")
+def rebuilt(head: bytes, payload: bytes) -> tuple[bytes, dict[str, str]]:
+    """The record's bytes, put together from its header block and payload, and its WARC headers as parsed from them.
 
+    Raises ValueError where the record does not parse, its lengths are not those of its bytes, or its digest is not that of the payload.
+    """
+    kind = head[: head.index(END)].decode().split("\r\n")
+    record = head + (payload if "WARC-Type: response" in kind else b"") + END
+    ((headers, block),) = parse_records(record)
+    http = bytes(block[: len(head)]).split(END, 1)[0].decode().split("\r\n")
+    if f"Content-Length: {len(payload)}" not in http or headers["WARC-Payload-Digest"] != f"sha1:{b32_sha1(payload)}":
+        raise ValueError(f"record {headers['WARC-Record-ID']} does not fit its payload")
+    return record, headers
+
+
+def read_records(spark: SparkSession, path: str, with_bytes: bool = True) -> DataFrame:
+    """Each archived record by joining headers with payloads: page_id, record_type, refers_to (the id named in the header, as text),
+    payload_bytes, payload_digest, and, unless with_bytes is off, the record's original bytes."""
+    headers = spark.read.parquet(f"{path}/headers")
+    kind = dict(headers.dtypes)["page_id"]
+    names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["record"] * with_bytes
+
+    def rebuild(batches):
+        for batch in slices(batches, 200):
+            out = []
+            for head, payload in zip(batch.column(1), batch.column(2), strict=True):
+                payload = payload.as_py()
+                record, found = rebuilt(head.as_py(), payload)
+                refers = found.get("WARC-Refers-To")
+                row = (found["WARC-Type"], refers and refers.removeprefix("<urn:page:").removesuffix(">"), len(payload), found["WARC-Payload-Digest"].removeprefix("sha1:"))
+                out.append((*row, record) if with_bytes else row)
+            types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()][: len(names) - 1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in out], t) for k, t in enumerate(types)]], names)
 
-def original_record(head: "F.Column", payload: "F.Column", record_type: "F.Column"):
-    """The bytes of the WARC record as a crawler would have written it."""
-    return F.concat(head, F.when(record_type == "response", payload).otherwise(F.lit(b"")), F.lit(END))
+    joined = headers.join(read_payloads(spark, path), "digest").select("page_id", "head", "payload")
+    schema = f"page_id {kind}, record_type string, refers_to string, payload_bytes long, payload_digest string" + ", record binary" * with_bytes
+    return joined.mapInArrow(rebuild, schema)
 
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
     path = f"{work_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    write_archive(table(spark, sf_dir, "pages"), path)
-    stored = read_payloads(spark, path).select("digest", F.length("payload").cast("long").alias("payload_bytes"), F.col("sha1").alias("payload_digest"))
-    return spark.read.parquet(f"{path}/headers").join(stored, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write_archive(pages, path)
+    return read_records(spark, path, with_bytes=False).withColumn("refers_to", F.col("refers_to").cast(dict(pages.dtypes)["page_id"]))
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+     f AS (SELECT payload, min(page_id) AS first_id, sha1(payload) AS h FROM p GROUP BY payload),
+     d AS (SELECT payload, first_id, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       1 + ((('0x' || substr(h, (1 + 10 * (i // 8))::INTEGER, 10))::BIGINT >> (35 - 5 * (i % 8))::INTEGER) & 31), 1)), 'string_agg', '') AS digest FROM f)
+SELECT p.page_id, octet_length(p.payload) AS payload_bytes, d.digest AS payload_digest,
+  CASE WHEN p.page_id = d.first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> d.first_id THEN d.first_id END AS refers_to
+FROM p JOIN d ON p.payload = d.payload
+"""

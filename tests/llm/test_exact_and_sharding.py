@@ -19,18 +19,22 @@ def docs(spark):
 
 def test_filter_is_lossless():
     rng = np.random.default_rng(1)
-    values = rng.integers(0, 2**63, 5000).astype(np.uint64)
-    values = np.concatenate([values, values[:700], values[:50], np.array([0, 0, 2**64 - 1], np.uint64)])
-    parts = [CountingQuotientFilter(32, p) for p in np.array_split(rng.permutation(values), 7)]
-    by_block = collections.defaultdict(list)
-    for p in parts:
-        for block, arrays in p.blocks(6):
-            by_block[block].append(arrays)
-    got = {}
-    for blocks in by_block.values():
-        f = CountingQuotientFilter.merged(32, blocks)
-        got |= dict(zip(f.fingerprints().tolist(), f.counts.tolist(), strict=True))
-    assert got == collections.Counter(values.tolist())
+    values = np.concatenate([rng.integers(0, 2**48, 5000), rng.integers(0, 40, 900) << 16, rng.integers(0, 1 << 18, 3000)]).astype(np.uint64)
+    values = np.concatenate([values, values[:700], values[:50], np.array([0, 0, 2**48 - 1], np.uint64)])
+    parts = [CountingQuotientFilter.of(p) for p in np.array_split(rng.permutation(values), 7)]
+    for bits in (0, 6, 32):
+        by_block = collections.defaultdict(list)
+        for p in parts:
+            for block, packed in p.blocks(bits):
+                by_block[block].append(CountingQuotientFilter.unpack(packed))
+        got = {}
+        for blocks in by_block.values():
+            f = exact_dedup.merge_all(blocks)
+            assert (np.diff(f.fingerprints().astype(np.int64)) > 0).all() and len(f.occupied) == f.ends.sum()
+            got |= dict(zip(f.fingerprints().tolist(), f.counts().tolist(), strict=True))
+        assert got == collections.Counter(values.tolist())
+    spread = CountingQuotientFilter.of(rng.integers(0, 2**48, 100_000).astype(np.uint64))
+    assert sum(len(x) for _, x in spread.blocks(0)) < 6.5 * 100_000
 
 
 def expected_groups(pairs):
@@ -91,12 +95,14 @@ def test_sharding_query(spark, duck):
 
 
 def test_sharding_cases(spark):
-    df = spark.createDataFrame([(1, "a", "z"), (1, "a", "z"), (None, None, "z"), (None, "", "z"), (2, "é", "z")], "doc_id long, text string, shard string")
+    data = [(1, "a", "z"), (1, "a", "z"), (None, None, "z"), (None, "", "z"), (2, "é", "z")]
+    df = spark.createDataFrame([(*d, 6, 7, 8) for d in data], "doc_id long, text string, shard string, _run int, r int, before int")
     out = sharding.number_slots(sharding.shard_rows(df, "doc_id", 3), "shard", ["doc_id", "text"], 5).collect()
     by = collections.defaultdict(list)
     for r in out:
         by[r.shard].append(r.slot)
         assert r.grown_shard in (r.shard, 3)
+        assert (r._run, r.r, r.before) == (6, 7, 8)
     assert len(out) == 5 and all(sorted(v) == list(range(len(v))) for v in by.values())
     assert sharding.shard_rows(df.limit(0), "doc_id", 3).count() == 0
     big = spark.range(3000).withColumnRenamed("id", "doc_id")
@@ -118,7 +124,8 @@ def test_url_cases(spark):
         [(1, "http://a.com/y", "2023-12-31"), (2, "http://A.com:80/y", "2024-01-01"), (3, "https://u@a.com/x/z?q", "2024-01-10"), (4, "http://b.a.com", "2024-01-09"), (5, "http://a.com/", "2024-02-01"),
          (6, None, "2024-01-05"), (7, "http://a.com/", None), (8, "no url", "2024-01-05"), (9, "http://t.com/", "2024-01-05"), (9, "http://t.com/", "2024-01-05"), (10, "http://xa.com/", "2024-01-05"), (11, "http://a.com/xx", "2024-01-11")],
         "id int, url string, d string",
-    ).selectExpr("id", "url", "cast(d as date) fetched_on", "'c' as blocked", "1 as _key")
+    ).selectExpr("id", "url", "cast(d as date) fetched_on", "'c' as blocked", "1 as _key", "2 as _b", "3 as _bu", "4 as _u", "5 as _row")
     out = url_filter.judge(captures, entries).select("id", "blocked", "matched_pattern").collect()
     assert sorted(map(tuple, out)) == [(1, False, None), (2, True, "a.com"), (3, False, "a.com/x"), (4, True, "b.a.com"), (5, False, None), (6, False, None), (7, False, None), (8, False, None), (9, True, "t.com"), (9, True, "t.com"), (10, False, None), (11, True, "a.com")]
+    assert url_filter.judge(captures, entries).columns == ["id", "url", "fetched_on", "_key", "_b", "_bu", "_u", "_row", "matched_pattern", "listed_since", "blocked"]
     assert url_filter.judge(captures.limit(0), entries.limit(0)).count() == 0

@@ -201,22 +201,41 @@ def test_embeddings(spark, monkeypatch, block):
     assert all(ids(got)[k] == (k, 0, k, True) for k in (2000, 2001, 2002, 2003, 2004, 2007)) and ids(got)[2006][1:3] == (1, 2005)
 
 
-def test_embedding_recall_at_the_threshold():
+@pytest.mark.parametrize("kind", ["plain", "offset", "unequal"])
+def test_embedding_recall_at_the_threshold(kind):
+    """Pairs made at the limit in directions of the vectors' own spread; a common part that makes all vectors near, and unequal axes."""
     rng = np.random.default_rng(3)
-    base = embedding_dedup.unit(rng.standard_normal((4000, 64)))
-    other = rng.standard_normal((4000, 64))
+    scale = np.linspace(0.1, 3, 64) if kind == "unequal" else np.ones(64)
+    base = embedding_dedup.unit(rng.standard_normal((6000, 64)) * scale + (2 if kind == "offset" else 0))
+    other = rng.standard_normal((6000, 64)) * scale
     other = embedding_dedup.unit(other - (other * base).sum(axis=1, keepdims=True) * base)
-    c = np.linspace(0.93, 0.97, 4000)[:, None]
-    mean, matrix = embedding_dedup.fit_rotations(base)
-    a, b = embedding_dedup.codes(base, mean, matrix), embedding_dedup.codes(c * base + np.sqrt(1 - c * c) * other, mean, matrix)
-    assert (a == b).any(axis=1).mean() >= 0.9
+    mean, matrix, width = embedding_dedup.fitted_tables(base[:4000], 0.93)
+    for c in (0.93, 0.935, 0.95):
+        a, b = (embedding_dedup.codes(x, mean, matrix, width) for x in (base[4000:], c * base[4000:] + np.sqrt(1 - c * c) * other[4000:]))
+        assert (a == b).any(axis=1).mean() >= 0.94
+    assert (matrix.shape[1] // width, width) in ([(24, 16)] if kind != "offset" else [(k, 8) for k in range(16, 65)])
+
+
+def test_offset_embeddings_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((300, 64)) + 2
+    data = [(k, [float(x) for x in base[k % 300] + (k >= 300) * rng.standard_normal(64) * 0.55], 0) for k in range(600)]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()}
+    want = {r[0]: r[1] for r in brute(data)}
+    assert sum(want.values()) > 200 and sum(got.values()) >= 0.93 * sum(want.values()) and all(got[k] <= n for k, n in want.items())
+
+
+def test_share_of_vectors_is_never_none():
+    assert int(embedding_dedup.MAX_FIT_VECTORS / 10**15 * embedding_dedup.SPREAD) > 0
 
 
 def test_empty_embeddings(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_query_reports_every_vector(spark):
+def test_query_reports_every_vector(spark, duck):
     out = embedding_dedup.op8_itq_near_dedup(spark, f"{DATA}/sf0.001").collect()
     vectors = [tuple(r) for r in spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert collections.Counter(tuple(r) for r in out) == collections.Counter(brute(vectors))
+    found = duck().sql(embedding_dedup.ORACLE).select("vec_id, n_links, component_id, kept").fetchall()
+    assert collections.Counter(tuple(r) for r in found) == collections.Counter(brute(vectors))

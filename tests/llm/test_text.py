@@ -5,7 +5,6 @@ import zlib
 import numpy as np
 import pytest
 from helpers import DATA
-from pyspark.sql import functions as F
 
 from deploom.llm import bpe, packing, quality, suffix_dedup, warc_archive
 
@@ -168,36 +167,54 @@ def test_multikey_order():
 
 
 def test_archive_round_trip(spark, tmp_path):
-    data = [(1, "u", ""), (2, None, None), (3, "x", "ab\r\n\r\ncd"), (4, "x", "ab\r\n\r\ncd"), (4, "x", "ab\r\n\r\ncd"), (None, "x", "z"), (None, "x", "z"), (7, "a\r\nb", "é" * 100_000)]
-    df = spark.createDataFrame([(*d, "k") for d in data], "page_id long, url string, html string, digest string")
-    path = str(tmp_path / "archive")
-    warc_archive.write_archive(df, path)
-    out = warc_archive.read_records(spark, path).withColumn("record", warc_archive.original_record(F.col("head"), F.col("payload"), F.col("record_type"))).collect()
-    assert sorted([(r.page_id, r.record_type, r.refers_to) for r in out], key=str) == sorted([(1, "response", None), (2, "revisit", 1), (3, "response", None), (4, "revisit", 3), (4, "revisit", 3), (7, "response", None), (None, "response", None), (None, "response", None)], key=str)
-    assert warc_archive.read_payloads(spark, path).count() == 4
-    for r in out:
-        (headers, block), = warc_archive.parse_records(bytes(r.record))
-        assert headers["WARC-Type"] == r.record_type and len(block) == int(headers["Content-Length"])
-        body = bytes(block).split(b"\r\n\r\n", 1)[1]
-        assert body == (bytes(r.payload) if r.record_type == "response" else b"")
-        assert headers["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode()
-    with pytest.raises(ValueError):
-        list(warc_archive.parse_records(bytes(out[0].record)[:-1]))
+    data = [(1, "u", ""), (2, None, None), (3, "x", "ab\r\n\r\ncd"), (4, "x", "ab\r\n\r\ncd"), (4, "x", "ab\r\n\r\ncd"), (None, "x", "z"), (None, "x", "z"), (7, "a\r\nb", "é" * 100_000), (None, "n", "ab\r\n\r\ncd")]
+    df = spark.createDataFrame([(*d, "k", "d") for d in data], "page_id long, url string, html string, digest string, first_id string")
+    html = {i: (t or "").encode() for i, _, t in data if i}
+    for name, size, bound in (("one", 32 << 20, 16 << 20), ("small", 10, 0)):
+        path = str(tmp_path / name)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(warc_archive, "BROADCAST_BYTES", bound)
+            warc_archive.write_archive(df, path, file_bytes=size)
+        out = warc_archive.read_records(spark, path).collect()
+        want = [(1, "response", None), (2, "revisit", "1"), (3, "response", None), (4, "revisit", "3"), (4, "revisit", "3"), (7, "response", None), (None, "response", None), (None, "response", None), (None, "revisit", "3")]
+        assert sorted([(r.page_id, r.record_type, r.refers_to) for r in out], key=str) == sorted(want, key=str)
+        assert warc_archive.read_payloads(spark, path).count() == 4
+        for r in out:
+            (headers, block), = warc_archive.parse_records(bytes(r.record))
+            assert headers["WARC-Type"] == r.record_type and len(block) == int(headers["Content-Length"])
+            body = bytes(block).split(b"\r\n\r\n", 1)[1]
+            if r.page_id:
+                assert body == (html[r.page_id] if r.record_type == "response" else b"") and r.payload_bytes == len(html[r.page_id])
+                assert r.payload_digest == base64.b32encode(hashlib.sha1(html[r.page_id]).digest()).decode()
+        with pytest.raises(ValueError):
+            list(warc_archive.parse_records(bytes(out[0].record)[:-1]))
+
+
+def test_altered_records_raise():
+    head = warc_archive.record_head(1, "u", warc_archive.b32_sha1(b"abc"), "response", None, 3)
+    assert warc_archive.rebuilt(head, b"abc")[0] == head + b"abc" + warc_archive.END
+    for bad_head, payload in ((head, b"abd"), (head, b"abcd"), (head.replace(b"Length: 3", b"Length: 4"), b"abc"), (head[:-2], b"abc")):
+        with pytest.raises(ValueError):
+            warc_archive.rebuilt(bad_head, payload)
 
 
 def test_archive_least_size_and_empty(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     warc_archive.write_archive(df, str(tmp_path / "a"), min_revisit=3)
     assert sorted((r.page_id, r.record_type) for r in warc_archive.read_records(spark, str(tmp_path / "a")).collect()) == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]
+    warc_archive.write_archive(df.limit(0), str(tmp_path / "none"))
+    assert warc_archive.read_records(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_archive_query(spark):
+def test_archive_query(spark, duck):
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     first = {}
     for i in sorted(pages):
         first.setdefault(pages[i], i)
     want = {(i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if first[p] == i else "revisit", None if first[p] == i else first[p]) for i, p in pages.items()}
-    assert {tuple(r) for r in warc_archive.op6_warc_archive(spark, SMALL).collect()} == want
+    out = warc_archive.op6_warc_archive(spark, SMALL)
+    assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out.collect()} == want
+    assert {tuple(r) for r in duck().sql(warc_archive.ORACLE).select("page_id, payload_bytes, payload_digest, record_type, refers_to").fetchall()} == want
 
 
 def test_quality_held_out(spark):
