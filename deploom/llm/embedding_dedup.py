@@ -32,8 +32,8 @@ BLOCK = 4096
 RUN = 32
 
 
-def fit_rotations(x: np.ndarray, bits: int, steps: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, matrix): signs of (v - mean) @ matrix are the code. Each block of columns is one rotation of the principal components."""
+def fit_rotations(x: np.ndarray, steps: int = 20, seed: int = 11):
+    """(mean, matrices): signs of (v - mean) @ matrix are a code. matrices gives one rotation of the principal components after the other."""
     d = x.shape[1]
     if not len(x):
         x = np.zeros((1, d))
@@ -41,15 +41,18 @@ def fit_rotations(x: np.ndarray, bits: int, steps: int = 30, seed: int = 11) ->
     centred = x - mean
     axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1]
     v = centred @ axes
-    out, rng = [], np.random.default_rng(seed)
-    for _ in range(-(-bits // d)):
-        r = np.linalg.qr(rng.standard_normal((d, d)))[0]
-        for _ in range(steps):
-            b = np.where(v @ r >= 0, 1.0, -1.0)
-            left, _, right = np.linalg.svd(b.T @ v)
-            r = (left @ right).T
-        out.append(axes @ r)
-    return mean, np.concatenate(out, axis=1)[:, :bits]
+
+    def matrices():
+        rng = np.random.default_rng(seed)
+        while True:
+            r = np.linalg.qr(rng.standard_normal((d, d)))[0]
+            for _ in range(steps):
+                b = np.where(v @ r >= 0, 1.0, -1.0)
+                left, _, right = np.linalg.svd(b.T @ v)
+                r = (left @ right).T
+            yield axes @ r
+
+    return mean, matrices()
 
 
 def codes(x: np.ndarray, mean: np.ndarray, matrix: np.ndarray, width: int) -> np.ndarray:
@@ -78,17 +81,19 @@ def pairs_at(x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
 def fitted_tables(x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, int]:
     """(mean, matrix, width): as many tables, and substrings as wide, as find RECALL of pairs_at(x, limit)."""
     d = x.shape[1]
-    if limit <= -1 or not len(x):
-        return *fit_rotations(x, TABLES * WIDTHS[0]), WIDTHS[0]
-    a, b = pairs_at(x, limit)
-    mean, matrix = fit_rotations(x, MOST_TABLES * WIDTHS[0])
+    a, b = pairs_at(x, limit) if len(x) and limit > -1 else (x[:0], x[:0])
+    mean, more = fit_rotations(x)
+    columns = np.zeros((d, 0))
     for width in WIDTHS:
-        same = codes(a, mean, matrix[:, : MOST_TABLES * width], width) == codes(b, mean, matrix[:, : MOST_TABLES * width], width)
-        found = np.logical_or.accumulate(same, axis=1).mean(axis=0) if len(a) else np.ones(MOST_TABLES)
-        if found[-1] >= RECALL:
-            tables = max(TABLES, int(np.argmax(found >= RECALL)) + 1)
-            return mean, matrix[:, : tables * width], width
-    return mean, matrix[:, : MOST_TABLES * WIDTHS[-1]], WIDTHS[-1]
+        tables = TABLES
+        while tables <= MOST_TABLES:
+            while columns.shape[1] < tables * width:
+                columns = np.concatenate([columns, next(more)], axis=1)
+            matrix = columns[:, : tables * width]
+            if not len(a) or (codes(a, mean, matrix, width) == codes(b, mean, matrix, width)).any(axis=1).mean() >= RECALL:
+                return mean, matrix, width
+            tables += 4
+    return mean, matrix, WIDTHS[-1]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
