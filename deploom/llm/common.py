@@ -80,6 +80,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def number_of(df: DataFrame, column: str):
+    """The column as a long; a column of another kind than whole numbers raises."""
+    kind = dict(df.dtypes)[column]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{column} must hold whole numbers, not {kind}")
+    return df[column].cast("long")
+
+
 def text_of(df: DataFrame, column: str = "text"):
     """The text as a string that is never null."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_temporal_url_filter": url_filter.ORACLE,
+    "op5_suffix_dedup": suffix_dedup.ORACLE,
     "op6_warc_archive": warc_archive.ORACLE,
     "op8_itq_near_dedup": embedding_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,

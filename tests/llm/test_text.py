@@ -128,22 +128,39 @@ def removed(pairs):
     return sorted(out, key=str)
 
 
-def test_suffix_query(spark, monkeypatch):
+def test_suffix_query(spark, duck, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "RANGE_ANCHORS", 3000)
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 20_000)
     monkeypatch.setattr(suffix_dedup, "BLOCK_ANCHORS", 5000)
     pairs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     assert sorted([tuple(r) for r in suffix_dedup.op5_suffix_dedup(spark, SMALL).collect()], key=str) == removed(pairs)
+    assert sorted([tuple(r) for r in duck().sql(suffix_dedup.ORACLE).fetchall()], key=str) == removed(pairs)
+
+
+def test_common_passage_is_split_over_ranges(spark, monkeypatch):
+    """A passage of most documents is sampled as several splitters: its strings are on both sides of their boundaries."""
+    monkeypatch.setattr(suffix_dedup, "RANGE_ANCHORS", 20)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_ANCHORS", 40)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_CONTEXTS", 30)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 400)
+    rng = np.random.default_rng(6)
+    p = "a common passage that nearly all of the documents hold somewhere in the midst of their own words "
+    own = lambda: "".join(map(chr, rng.integers(97, 123, int(rng.integers(0, 60)))))
+    pairs = [(int(i), own() + p[int(rng.integers(0, 12)) :] + own()) for i in rng.permutation(200)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(7)
+    assert sorted([tuple(r) for r in suffix_dedup.removed_report(df).collect()], key=str) == removed(pairs)
 
 
 def test_suffix_cases(spark):
     p = "the quick brown fox jumps over the lazy dog and runs away from it all, é ü again "
     pairs = [(5, p), (3, p * 2), (3, "x" + p), (None, p), (None, p + "z"), (9, None), (10, ""), (11, "a" * 500), (12, "a" * 60 + "b"), (13, "short"), (5, p), (14, p[:50]), (15, p[:49]), (16, "q" * 30 + p[10:70] + "w" * 30)]
-    df = spark.createDataFrame([(i, t, 1) for i, t in pairs], "doc_id long, text string, rank int")
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in pairs], "doc_id long, text string, rank int, _spans int, spans int, copy int")
     assert sorted([tuple(r) for r in suffix_dedup.removed_report(df).collect()], key=str) == removed(pairs)
     cut = suffix_dedup.drop_repeated_passages(df)
     assert cut.columns == df.columns and {r.doc_id: r.text for r in cut.collect()}[16] == "q" * 30 + "w" * 30
     assert suffix_dedup.removed_report(df.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        suffix_dedup.removed_report(df.withColumn("doc_id", df["text"]))
 
 
 def test_long_texts_are_cut_into_segments(monkeypatch):
