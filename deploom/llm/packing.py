@@ -61,10 +61,9 @@ def tokenise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
                 part = batch.slice(a, 500)
                 blobs, sizes, signs = [], [], []
                 for t in part.column(1):
-                    text = t.as_py()
-                    ids = enc.encode(text, allowed_special="all") if any(x in text for x in added) else enc.encode_ordinary(text)
-                    ids.append(END_ID)
-                    ids = np.array(ids, wide)
+                    found = enc.encode_to_numpy(t.as_py(), allowed_special="all")
+                    ids = np.empty(len(found) + 1, wide)
+                    ids[:-1], ids[-1] = found, END_ID
                     seen[np.unique(ids)] += 1
                     blobs.append(ids.tobytes())
                     sizes.append(len(ids))
@@ -85,7 +84,9 @@ class Bm25Index:
         owner = np.repeat(np.arange(n), lengths)
         token = np.concatenate(pieces).astype(np.int64)
         useful = idf[token] > 0
-        key, tf = np.unique(token[useful] * n + owner[useful], return_counts=True)
+        key = token[useful] * n + owner[useful]
+        key, tf = np.unique(key.astype(np.uint32) if len(idf) * n < 1 << 32 else key, return_counts=True)
+        key = key.astype(np.int64)
         token, piece = key // n, key % n
         tf = tf.astype(np.float32)
         norm = K1 * (1 - B + B * lengths[piece] / max(1.0, lengths.mean()))
@@ -96,18 +97,17 @@ class Bm25Index:
         row = np.repeat(np.arange(len(first)), ends - first)
         order = np.argsort(piece, kind="stable")
         self.rows, self.row_ends = row[order], np.searchsorted(piece[order], np.arange(n + 1))
-        self.first, self.count = first, ends - first
+        self.first, self.ends = first, ends
         self.n = n
 
     def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every piece for the distinct tokens of the seed, but for tokens that no other piece has."""
         rows = self.rows[self.row_ends[seed] : self.row_ends[seed + 1]]
-        rows = rows[self.count[rows] > 1]
-        size = self.count[rows]
-        total = int(size.sum())
-        if not total:
+        rows = rows[self.ends[rows] > self.first[rows] + 1]
+        if not len(rows):
             return np.zeros(self.n)
-        at = np.arange(total) + np.repeat(self.first[rows] - np.r_[0, np.cumsum(size)[:-1]], size)
-        return np.bincount(self.piece[at], self.weight[at], self.n)
+        lists = [slice(a, b) for a, b in zip(self.first[rows].tolist(), self.ends[rows].tolist(), strict=True)]
+        return np.bincount(np.concatenate([self.piece[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), self.n)
 
 
 def best_first(scores: np.ndarray, left: np.ndarray, room: int) -> list[int]:

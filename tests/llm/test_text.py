@@ -62,7 +62,6 @@ def test_packing_query(spark, monkeypatch, shard):
 
     monkeypatch.setattr(packing, "SHARD_TOKENS", shard)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     ids = {r.doc_id: e.ids + [1] for r, e in zip(docs, t.encode_batch([r.text for r in docs], add_special_tokens=False), strict=True)}
     checked_pieces(packing.op4_bm25_packing(spark, SMALL).collect(), ids)
@@ -81,7 +80,6 @@ def test_both_encoders_agree():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     enc = bpe.encoder(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
     texts = ["".join(f"a{chr(c)}{chr(c)}1 {chr(c)}b" for c in range(k, min(k + 64, 0x30000)) if not 0xD800 <= c < 0xE000) for k in range(0, 0x30000, 64)]
     assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == [enc.encode_ordinary(x) for x in texts]
@@ -108,6 +106,47 @@ def test_neighbours_share_words():
     assert first[:2] == [0, 2]
 
 
+def plain_bm25(docs, idf, seed):
+    mean = sum(map(len, docs)) / len(docs)
+    out = []
+    for d in docs:
+        score = 0.0
+        for t in set(docs[seed].tolist()):
+            tf = int((d == t).sum())
+            if idf[t] > 0 and tf:
+                score += float(idf[t]) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+        out.append(score)
+    return out
+
+
+def test_windows_are_filled_in_order_of_bm25():
+    """Against scores by the formula: each window has its seed, then the best unused documents, then, without a score, the first ones."""
+    rng = np.random.default_rng(12)
+    docs = [np.concatenate([rng.integers(0, 30, 3), (k % 6) * 10 + 40 + rng.integers(0, 10, int(rng.integers(2, 14)))]) for k in range(60)]
+    df = np.array([sum(t in d for d in docs) for t in range(100)])
+    idf = np.maximum(0.0, np.log((60 - df + 0.5) / (df + 0.5))).astype(np.float32)
+    window = 40
+    pieces = packing.pack_shard(docs, idf, window)
+    total = sum(map(len, docs))
+    left, unused, seed = [len(d) for d in docs], set(range(60)), None
+    for seq in range(total // window):
+        seed = min(unused) if seed is None else seed
+        scores, want, room = plain_bm25(docs, idf, seed), [], window
+        queue = [seed, *sorted((k for k in unused - {seed} if scores[k] > 0), key=lambda k: (-round(scores[k], 4), k)), *sorted(k for k in unused - {seed} if scores[k] <= 0)]
+        seed = None
+        for k in queue:
+            take = min(room, left[k])
+            want.append((k, take))
+            left[k] -= take
+            room -= take
+            unused.discard(k)
+            seed = k if left[k] else None
+            if not room:
+                break
+        assert [(k, n) for k, _, n, q, _ in pieces if q == seq] == want
+    assert total // window > 10
+
+
 def removed(pairs):
     first = {}
     rank = lambda d: suffix_dedup.LAST if d is None else d
