@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,15 +50,18 @@ def components(edges: DataFrame) -> DataFrame:
     left = materialize(forest(edges.where("a is not null and b is not null and a <> b").select("a", "b")), "cc-edges")
     rounds: list[DataFrame] = []
     while not left.isEmpty():
+        before = left
         both = left.union(left.select("b", "a"))
         up = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")).select(F.col("a").alias("n"), "p"), "cc-up")
         for _ in range(2):
-            over = up.select(F.col("n").alias("m"), F.col("p").alias("q"))
+            over, last = up.select(F.col("n").alias("m"), F.col("p").alias("q")), up
             up = materialize(up.join(over, up["p"] == over["m"]).select("n", F.col("q").alias("p")), "cc-up")
+            discard(edges.sparkSession, last)
         rounds.append(up)
         pa_, pb_ = up.select(F.col("n").alias("a"), F.col("p").alias("x")), up.select(F.col("n").alias("b"), F.col("p").alias("y"))
         left = left.join(pa_, "a").join(pb_, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         left = materialize(forest(left), "cc-edges")
+        discard(edges.sparkSession, before)
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = rounds[0].select(F.col("n").alias("node"), F.col("p").alias("root"))

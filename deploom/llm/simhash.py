@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import materialize, table, text_of
+from .common import discard, materialize, small, table, text_of
 from .components import components, local_components
 
 SEED = 42
@@ -146,17 +147,30 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(keyed.mapInArrow(links, "a long, b long"))
     linked = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = materialize(linked, "simhash-roots")
-    named = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = materialize(linked.join(named, "root").select(F.col("fp").alias("_fp"), "component_id"), "simhash-components")
-    return prints.join(by_print, prints["fp"] == by_print["_fp"]).select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    # Written, so that the rows of a large component are dealt over several tasks.
+    named = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-named")
+    by_print = materialize(linked.join(small(named, 40), "root").select("fp", "component_id"), "simhash-components")
+    discard(spark, classes, linked, named)
+    return prints.join(small(by_print, 40), "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest id of each component only; rows with null ids stay if nothing names their component."""
-    gone = near_components(docs, id_col, text_col).where(f"component_id is not null and ({id_col} is null or {id_col} <> component_id)").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """docs with the smallest id of each component only; columns as they are.
+
+    Rows are told apart by id and fingerprint, so a repeated id takes no other text along. Rows with a null id stay if nothing names their
+    component. Rows that repeat the kept id and whose fingerprints are in its component all stay.
+    """
+    keyed = near_components(docs, id_col, text_col).where(f"component_id is not null and not {id_col} <=> component_id")
+    gone = keyed.select(F.col(id_col).alias("id"), F.conv("fingerprint", 16, 10).alias("fp")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            found = [str(words_fingerprint(t.as_py().encode().lower().split())) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["row", "id", "fp"])
+
+    printed = rows.mapInArrow(run, StructType([rows.schema["row"], rows.schema["id"], StructField("fp", StringType())]))
+    return printed.join(gone, printed["id"].eqNullSafe(gone["id"]) & (printed["fp"] == gone["fp"]), "left_anti").select("row.*")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
