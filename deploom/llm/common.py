@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
@@ -53,9 +54,27 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd", batch_rows: int |
             conf.unset(k) if v is None else conf.set(k, v)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.folder = path
+    for folders in _open:
+        folders.add(path)
     return out
 
 
+#: Folders written inside each block of scratch() that is open.
+_open: list[set[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes the folders that materialize wrote inside the block when it ends, but for those taken out of the set that it gives."""
+    folders: set[str] = set()
+    _open.append(folders)
+    try:
+        yield folders
+    finally:
+        _open.remove(folders)
+        discard(spark, *folders)
+
+
 def written_apart(df: DataFrame, tag: str, by: str) -> tuple[str, dict]:
     """df written once with a folder for each value of a column, which is not in the files; (path, schema of the files)."""
     path = f"{work_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
