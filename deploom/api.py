@@ -7,11 +7,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from deploom.operators import filters, finalize, selector, stats
-from deploom.operators.flow import flow_graphs
+from deploom.operators.flow import attach, flow_graphs
 from deploom.operators.resolve import build
 from deploom.functions.storage import shared_dir, written
 from deploom.sources.parse import events_of
-from deploom.sources.scan import Config, fingerprint, scan
+from deploom.sources.scan import Config, fingerprint, load_config, scan
 
 
 class Project:
@@ -19,10 +19,11 @@ class Project:
 
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None, cache: str | None = None):
         self.spark = spark
+        config = config or load_config(path)
         files = scan(spark, path, config)
         self.files = written(files)
         self.events = written(events_of(self.files))
-        mark = fingerprint(self.files).first()[0]
+        mark = fingerprint(self.files, more=repr(config)).first()[0]
         folder = f"{(cache or shared_dir(spark)).rstrip('/')}/graph-{mark}"
         try:
             self.nodes, self.edges = spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
@@ -49,6 +50,19 @@ class Project:
     def flow(self) -> tuple[DataFrame, DataFrame]:
         return flow_graphs(self.events)
 
+    def with_flow(self) -> DataFrame:
+        """Nodes with the flow graphs of functions and modules."""
+        return attach(self.nodes, *self.flow())
+
+    def export(self, output: str | None = None, pretty: bool = False, edges_only: bool = False, **options) -> str:
+        """The JSON of graph(**options), without flow graphs; written to a file as well if one is named."""
+        nodes, edges = self.graph(**options)
+        text = to_json(filters.strip_flow(nodes), edges, pretty, edges_only)
+        if output:
+            with open(output, "w", encoding="utf-8") as f:
+                f.write(text)
+        return text
+
 
 def to_json(nodes: DataFrame, edges: DataFrame, pretty: bool = False, edges_only: bool = False) -> str:
     """The nested document of a graph that fits the driver: what an export is for. Null fields are left out."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,9 @@ BROADCAST_BYTES = 16 << 20
 def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="deploom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"{spark.sparkContext._jvm.java.lang.System.getProperty('java.io.tmpdir')}/deploom-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -27,6 +28,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *folders: str) -> None:
+    """Removes folders of the shared storage that nothing reads any more."""
+    for x in folders:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(x)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     """df with a broadcast hint if it is small; df must be a written table, as it is counted."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -206,6 +206,16 @@ def flow_graphs(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where("id is not null").drop("from", "to"), both.where("id is null").select("owner", "from", "to", "type")
 
 
+def attach(nodes: DataFrame, flow_nodes: DataFrame, flow_edges: DataFrame) -> DataFrame:
+    """nodes with `pdg`, the flow graph of a function or module as arrays of its nodes and edges; null for other types and where there is none.
+    The graph of one owner is one value."""
+    n = flow_nodes.groupBy("owner").agg(F.collect_list(F.struct(*[c for c in flow_nodes.columns if c != "owner"])).alias("nodes"))
+    e = flow_edges.groupBy("owner").agg(F.collect_list(F.struct("from", "to", "type")).alias("edges"))
+    both = n.join(e, "owner", "left").select(F.col("owner").alias("id"), F.struct("nodes", F.coalesce("edges", F.array().cast(e.schema["edges"].dataType)).alias("edges")).alias("pdg"))
+    holds = nodes.where("object_type in ('function', 'module')").select("id").join(both, "id")
+    return nodes.drop("pdg").join(holds, "id", "left")
+
+
 def nested_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with their ends moved to the blocks that hold them, where the other end is outside; edges between two blocks go."""
     b = nodes.select("id", "block_id")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from deploom.functions import ids as I
 from deploom.functions.storage import small, written
 
+#: Frontiers that a traversal keeps apart before it writes what it has seen as one table.
+FRONTIERS = 8
+
 
 def reach(seeds: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
     """Distinct ids within `hops` edges (None: any number) of the seeds, seeds included, following caller to callee.
@@ -23,6 +26,8 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFr
         frontier = written(found.join(seen, "id", "left_anti"))
         seen = seen.unionByName(frontier)
         step += 1
+        if step % FRONTIERS == 0:
+            seen = written(seen)
     return seen
 
 
@@ -37,19 +42,30 @@ def component(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def all_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) for every node, component being the smallest id reachable; pointers halve their distance each round."""
-    both = written(edges.select("caller", "callee").unionByName(reversed_edges(edges)).where("caller is not null and callee is not null and caller <> callee").distinct())
-    label = written(nodes.select("id", F.col("id").alias("component")).distinct())
-    while True:
-        near = both.join(label, both["callee"] == label["id"]).groupBy("caller").agg(F.min("component").alias("low"))
-        hooked = label.join(near, label["id"] == near["caller"], "left").select("id", "component", F.least("component", "low").alias("low"))
-        # A root takes the smallest label that any member of its tree has met, so whole trees move at once.
-        roots = hooked.groupBy(F.col("component").alias("root")).agg(F.min("low").alias("to"))
-        new = hooked.join(roots, hooked["component"] == roots["root"]).select("id", F.least("low", "to").alias("component"), F.col("component").alias("old"))
-        new = written(new)
-        if new.where("component <> old").isEmpty():
-            return new.select("id", "component")
-        label = new.select("id", "component")
+    """(id, component) for every node, component being the smallest id reachable.
+
+    Each round every id that still has links points to its smallest neighbour, pointers are followed to their ends, and links are drawn
+    between the ends; links inside a tree go, so that rounds shrink fast. Nodes take their labels from written tables with one row an id,
+    which leaves Spark free to split a component that holds most of them.
+    """
+    label = nodes.select("id", F.col("id").alias("component")).distinct()
+    pairs = edges.select("caller", "callee").where("caller is not null and callee is not null and caller <> callee")
+    inside = label.select("id")
+    pairs = pairs.join(inside.withColumnRenamed("id", "caller"), "caller", "left_semi").join(inside.withColumnRenamed("id", "callee"), "callee", "left_semi")
+    links = written(pairs.unionByName(reversed_edges(pairs)).distinct())
+    while not links.isEmpty():
+        to = written(links.groupBy(F.col("caller").alias("v")).agg(F.min("callee").alias("low")).select("v", F.least("v", "low").alias("to")))
+        while True:
+            ends = small(to).select(F.col("v").alias("m"), F.col("to").alias("end"))
+            jumped = written(to.join(ends, to["to"] == ends["m"]).select("v", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")))
+            to = jumped.select("v", "to")
+            if jumped.where("moved").isEmpty():
+                break
+        known = small(to)
+        label = written(label.join(known, F.col("component") == F.col("v"), "left").select("id", F.coalesce("to", "component").alias("component")))
+        a, b = known.toDF("caller", "a"), known.toDF("callee", "b")
+        links = written(links.join(a, "caller").join(b, "callee").where("a <> b").select(F.col("a").alias("caller"), F.col("b").alias("callee")).distinct())
+    return label
 
 
 def ancestors_of(chosen: DataFrame, nodes: DataFrame) -> DataFrame:

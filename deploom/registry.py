@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from deploom.functions import ids as I
 from deploom.functions.glob import to_regex
 from deploom.functions.storage import written
 from deploom.operators import changes, filters, finalize, flow, resolve, selector, stats, traverse, view
-from deploom.plans import sample, synth
+from deploom.plans import feature_events, features, sample, synth
 from deploom.sources import parse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,9 +101,10 @@ def hierarchy_descendants(spark, sf_dir):
     return traverse.descendants_of(nodes.where("id in ('r1', 'parts.Brand11')"), nodes)
 
 
-@query("components_all", f"WITH {synth.SQL} SELECT id, min(id) OVER (PARTITION BY CASE WHEN linked THEN 'x' ELSE id END) AS component FROM (SELECT id, id IN (SELECT caller FROM edges UNION SELECT callee FROM edges) AND object_type <> 'module' AS linked FROM nodes WHERE object_type <> 'module')")
+@query("components_all", f"WITH RECURSIVE {synth.SQL}, n AS (SELECT id FROM nodes WHERE object_type <> 'module'), e AS (SELECT caller, callee FROM edges WHERE type <> 'imports' UNION SELECT callee, caller FROM edges WHERE type <> 'imports'), r AS (SELECT min(caller) AS id FROM e UNION SELECT callee FROM r JOIN e ON caller = r.id) SELECT id, CASE WHEN id IN (SELECT id FROM r) THEN (SELECT min(id) FROM r) ELSE id END AS component FROM n")
 def components_all(spark, sf_dir):
-    """Without the modules: orders, suppliers and parts hang together through the line items; customers stand alone."""
+    """Without the modules: orders, suppliers and parts hang together through the line items; customers stand alone. The SQL follows links from
+    one of them, so it would disagree if they were several components."""
     nodes, edges = graph(spark, sf_dir)
     return traverse.all_components(nodes.where("object_type <> 'module'"), edges.where("type <> 'imports'"))
 
@@ -145,11 +147,12 @@ def flat_listing(spark, sf_dir):
     return filters.flatten(synth.nodes(spark, sf_dir))
 
 
-STATUS = "st AS (SELECT ord.id, CASE o_orderstatus WHEN 'F' THEN 'modified' ELSE 'added' END AS status FROM orders JOIN ord ON o_orderkey = ord.k WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 7 = 0)"
+#: Orders that are done or open have a status; those being worked on have none.
+STATUS = "st AS (SELECT ord.id, CASE o_orderstatus WHEN 'F' THEN 'modified' ELSE 'added' END AS status FROM orders JOIN ord ON o_orderkey = ord.k WHERE o_orderstatus IN ('F', 'O'))"
 
 
 def _statuses(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus in ('F', 'O') and o_orderkey % 7 = 0")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus in ('F', 'O')")
     ids = synth._orders(spark, sf_dir)
     return o.select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", "modified").otherwise("added").alias("status")).join(ids, F.col("k") == ids["o_orderkey"]).select("id", "status")
 
@@ -336,9 +339,9 @@ def fallback_origin(spark, sf_dir):
 
 # Changes ------------------------------------------------------------------------------------------------------------------------------
 
-SNAPSHOTS = """old AS (SELECT o_orderkey::VARCHAR AS id, md5(o_orderstatus || o_orderpriority) AS hash FROM orders WHERE o_orderkey % 10 < 8),
-new AS (SELECT o_orderkey::VARCHAR AS id, md5(CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE o_orderstatus END || o_orderpriority) AS hash FROM orders WHERE o_orderkey % 10 > 1),
-prior AS (SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 10 >= 8 THEN 'deleted' ELSE 'added' END AS status, o_orderkey % 10 >= 8 AS is_ghost, CASE WHEN o_orderkey % 10 >= 8 AND o_orderkey % 3 = 0 THEN md5(o_orderstatus || o_orderpriority) ELSE 'other' END AS hash FROM orders WHERE o_orderkey % 17 = 0)"""
+SNAPSHOTS = """old AS (SELECT o_orderkey::VARCHAR AS id, md5(o_orderstatus || o_orderpriority) AS hash FROM orders WHERE o_orderpriority <> '1-URGENT'),
+new AS (SELECT o_orderkey::VARCHAR AS id, md5(CASE WHEN o_orderdate >= TIMESTAMP '1996-01-01' THEN 'x' ELSE o_orderstatus END || o_orderpriority) AS hash FROM orders WHERE o_orderpriority <> '5-LOW'),
+prior AS (SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'deleted' ELSE 'added' END AS status, o_orderpriority = '1-URGENT' AS is_ghost, CASE WHEN o_orderstatus = 'O' THEN md5(o_orderstatus || o_orderpriority) ELSE 'other' END AS hash FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority <> '2-HIGH')"""
 
 
 @query("node_diff", f"""WITH {SNAPSHOTS}, j AS (SELECT coalesce(o.id, n.id, p.id) AS id, o.id IS NOT NULL AS io, n.id IS NOT NULL AS i, o.hash AS oh, n.hash AS nh, p.status AS ps, coalesce(p.is_ghost, false) AS pg, p.hash AS ph
@@ -347,18 +350,20 @@ prior AS (SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 10 >= 8 THEN
   SELECT * FROM k WHERE status IS NOT NULL""")
 def node_diff(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string").alias("id")
+    key = F.col("o_orderkey").cast("string").alias("id")
     md = lambda s: F.md5(F.concat(s, F.col("o_orderpriority")).cast("binary"))
-    old = o.where(k % 10 < 8).select(key, md(F.col("o_orderstatus")).alias("hash"))
-    new = o.where(k % 10 > 1).select(key, md(F.when(k % 13 == 0, "x").otherwise(F.col("o_orderstatus"))).alias("hash"))
-    prior = o.where(k % 17 == 0).select(key, F.when(k % 10 >= 8, "deleted").otherwise("added").alias("status"), (k % 10 >= 8).alias("is_ghost"), F.when((k % 10 >= 8) & (k % 3 == 0), md(F.col("o_orderstatus"))).otherwise("other").alias("hash"))
+    urgent, late = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderdate") >= F.to_timestamp(F.lit("1996-01-01"))
+    old = o.where(~urgent).select(key, md(F.col("o_orderstatus")).alias("hash"))
+    new = o.where("o_orderpriority <> '5-LOW'").select(key, md(F.when(late, "x").otherwise(F.col("o_orderstatus"))).alias("hash"))
+    told = F.when(F.col("o_orderstatus") == "O", md(F.col("o_orderstatus"))).otherwise("other").alias("hash")
+    prior = o.where("o_orderstatus <> 'P' and o_orderpriority <> '2-HIGH'").select(key, F.when(urgent, "deleted").otherwise("added").alias("status"), urgent.alias("is_ghost"), told)
     return changes.node_diff(old, new, prior)
 
 
-@query("edge_diff", f"WITH {synth.SQL}, o AS (SELECT DISTINCT caller, callee FROM edges WHERE type <> 'has-a' AND length(caller) % 3 > 0), n AS (SELECT DISTINCT caller, callee FROM edges WHERE type <> 'has-a' AND length(callee) % 3 > 0) SELECT caller, callee, 'deleted' AS status FROM (SELECT * FROM o EXCEPT SELECT * FROM n) UNION ALL SELECT caller, callee, 'added' FROM (SELECT * FROM n EXCEPT SELECT * FROM o)")
+@query("edge_diff", f"WITH {synth.SQL}, o AS (SELECT DISTINCT caller, callee FROM edges WHERE type <> 'imports'), n AS (SELECT DISTINCT caller, callee FROM edges WHERE type <> 'has-a') SELECT caller, callee, 'deleted' AS status FROM (SELECT * FROM o EXCEPT SELECT * FROM n) UNION ALL SELECT caller, callee, 'added' FROM (SELECT * FROM n EXCEPT SELECT * FROM o)")
 def edge_diff(spark, sf_dir):
-    e = written(synth.edges(spark, sf_dir).where("type <> 'has-a'"))
-    return changes.edge_diff(e.where(F.length("caller") % 3 > 0), e.where(F.length("callee") % 3 > 0))
+    e = written(synth.edges(spark, sf_dir))
+    return changes.edge_diff(e.where("type <> 'imports'"), e.where("type <> 'has-a'"))
 
 
 @query("bubble_up", f"WITH {synth.SQL}, {STATUS} SELECT id, status FROM st UNION ALL SELECT DISTINCT array_to_string(list_slice(string_split(id, '.'), 1, g), '.'), 'modified' FROM st, range(1, 4) t(g)")
@@ -384,10 +389,10 @@ def debounce_sessions(spark, sf_dir):
     return changes.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "10 minutes")
 
 
-@query("inject_ghosts", f"WITH {synth.SQL}, g AS (SELECT id || '.gone' AS id FROM nodes WHERE object_type = 'class' AND length(id) % 3 = 0), a AS (SELECT id, false AS is_ghost FROM nodes UNION ALL SELECT id, true FROM g), c AS (SELECT id, 'deleted' AS status FROM g UNION ALL SELECT DISTINCT array_to_string(list_slice(string_split(id, '.'), 1, k), '.'), 'modified' FROM g, range(1, 4) t(k)) SELECT a.id, is_ghost, status AS change_status, CASE WHEN contains(a.id, '.') THEN array_to_string(string_split(a.id, '.')[:-2], '.') END AS parent FROM a LEFT JOIN c ON a.id = c.id")
+@query("inject_ghosts", f"WITH {synth.SQL}, g AS (SELECT id || '.gone' AS id FROM nodes WHERE object_type = 'class' AND contains(id, '.s')), a AS (SELECT id, false AS is_ghost FROM nodes UNION ALL SELECT id, true FROM g), c AS (SELECT id, 'deleted' AS status FROM g UNION ALL SELECT DISTINCT array_to_string(list_slice(string_split(id, '.'), 1, k), '.'), 'modified' FROM g, range(1, 4) t(k)) SELECT a.id, is_ghost, status AS change_status, CASE WHEN contains(a.id, '.') THEN array_to_string(string_split(a.id, '.')[:-2], '.') END AS parent FROM a LEFT JOIN c ON a.id = c.id")
 def inject_ghosts(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
-    ghosts = nodes.where("object_type = 'class' and length(id) % 3 = 0").select(F.concat("id", F.lit(".gone")).alias("id"))
+    ghosts = nodes.where("object_type = 'class' and contains(id, '.s')").select(F.concat("id", F.lit(".gone")).alias("id"))
     gone = edges.select("caller", "callee").where("false")
     shown = changes.inject(nodes, edges, ghosts.withColumn("status", F.lit("deleted")), ghosts, gone)[0]
     return shown.select("id", "is_ghost", "change_status", "parent")
@@ -400,10 +405,11 @@ def dismiss_node(spark, sf_dir):
     return changes.dismiss(s, none, s.agg(F.min("id")).first()[0])[0]
 
 
-@query("change_overview", f"WITH {synth.SQL}, {STATUS} SELECT array_to_string(string_split(id, '.')[:-2], '.') AS parent, count(*) AS n_changed, 0::BIGINT AS n_ghosts FROM st GROUP BY 1")
+@query("change_overview", f"WITH {synth.SQL}, {STATUS}, g AS (SELECT id, 1 AS c, 0 AS g FROM st UNION ALL SELECT id || '.gone', 0, 1 FROM sup) SELECT array_to_string(string_split(id, '.')[:-2], '.') AS parent, sum(c)::BIGINT AS n_changed, sum(g)::BIGINT AS n_ghosts FROM g GROUP BY 1")
 def change_overview(spark, sf_dir):
     s = _statuses(spark, sf_dir).withColumnRenamed("status", "change_status")
-    return view.change_overview(s, s.select("id").where("false"))
+    gone = synth._owned(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s").select(F.concat("id", F.lit(".gone")).alias("id"))
+    return view.change_overview(s, gone)
 
 
 # Resolution and parsed sources ----------------------------------------------------------------------------------------------------------
@@ -450,34 +456,69 @@ def sample_imports(spark, sf_dir):
     return parse.imports(parse.events_of(sample.files(spark))).select("file", "source_module", F.size("imported_names").alias("n"))
 
 
-@query("sample_scopes")
+@query("sample_scopes", sample.values(sample.SCOPES, "file, qualname, parent_qualname, scope_type, parameters, bases, line, end_line"))
 def sample_scopes(spark, sf_dir):
-    return parse.scopes(parse.events_of(sample.files(spark)))
+    s = parse.scopes(parse.events_of(sample.files(spark)))
+    return s.select("file", "qualname", "parent_qualname", "scope_type", F.array_join("parameters", ",").alias("parameters"), F.array_join("bases", ",").alias("bases"), "line", "end_line")
 
 
-@query("sample_bindings")
+@query("sample_bindings", sample.values(sample.BINDINGS, "file, relationship, scope, line, source, target"))
 def sample_bindings(spark, sf_dir):
-    return parse.bindings(parse.events_of(sample.files(spark)))
+    return parse.bindings(parse.events_of(sample.files(spark))).drop("seq")
 
 
-@query("sample_snippets", sample.values([("app.Motor.run", '    def run(self):\n        print("on")'), ("krate.wheel.turn", "fn turn(r: u32) -> u32 { r }")], "id, code_block").replace("\\n", "' || chr(10) || '"))
+@query("sample_snippets", sample.values(sample.snippets(), "id, code_block"))
 def sample_snippets(spark, sf_dir):
-    return parse.code(parse.events_of(sample.files(spark))).where("id in ('app.Motor.run', 'krate.wheel.turn')").select("id", "code_block")
+    return parse.code(parse.events_of(sample.files(spark))).select("id", "code_block")
 
 
-@query("sample_event_counts", sample.values([("ImportStatement", 3)], "kind, n"))
+@query("sample_event_counts", sample.values(sample.EVENT_COUNTS, "kind, n"))
 def sample_event_counts(spark, sf_dir):
-    return stats.event_counts(parse.events_of(sample.files(spark))).where("kind = 'ImportStatement'").select("kind", F.col("n").cast("int").alias("n"))
+    return stats.event_counts(parse.events_of(sample.files(spark))).select("kind", F.col("n").cast("int").alias("n"))
 
 
-@query("sample_flow_edges", sample.values([("LIMIT > 3", "self.halt()", "true_branch")], '"from", "to", type'))
-def sample_flow_edges(spark, sf_dir):
-    nodes, edges = flow.flow_graphs(parse.events_of(sample.files(spark)))
-    text = nodes.where("owner = 'app.Wagon.go'").select("id", "text")
+@query("sample_flow_nodes", sample.values(sample.FLOW_NODES, "owner, type, text, line, block"))
+def sample_flow_nodes(spark, sf_dir):
+    nodes = flow.flow_graphs(parse.events_of(sample.files(spark)))[0]
+    blocks = nodes.select(F.col("id").alias("block_id"), F.col("text").alias("block"))
+    return nodes.join(blocks, "block_id", "left").select("owner", "type", "text", "line", "block")
+
+
+def _flow_edges(events: DataFrame) -> DataFrame:
+    nodes, edges = flow.flow_graphs(events)
+    text = nodes.select("id", "text")
     a, b = text.toDF("from", "a"), text.toDF("to", "b")
-    return edges.join(a, "from").join(b, "to").select(F.col("a").alias("from"), F.col("b").alias("to"), "type")
+    return edges.join(a, "from").join(b, "to").select("owner", F.col("a").alias("from"), F.col("b").alias("to"), "type")
 
 
-@query("sample_flow_nodes")
-def sample_flow_nodes(spark, sf_dir):
-    return flow.flow_graphs(parse.events_of(sample.files(spark)))[0]
+@query("sample_flow_edges", sample.values(sample.FLOW_EDGES, 'owner, "from", "to", type'))
+def sample_flow_edges(spark, sf_dir):
+    return _flow_edges(parse.events_of(sample.files(spark)))
+
+
+@query("sample_flow_attached", sample.values([(i, n) for i, n in Counter(owner for owner, *_ in sample.FLOW_NODES).items()], "id, n"))
+def sample_flow_attached(spark, sf_dir):
+    """Functions and modules with the number of nodes of the flow graph that they carry."""
+    events = written(parse.events_of(sample.files(spark)))
+    nodes = flow.attach(resolve.build(events)[0], *flow.flow_graphs(events))
+    return nodes.where("pdg is not null").select("id", F.size("pdg.nodes").alias("n"))
+
+
+# Features of languages -------------------------------------------------------------------------------------------------------------------
+
+
+def _feature_queries(lang: str, table: dict) -> None:
+    @query(f"{lang}_features", sample.values(features.expected(table), "feature, n, event"))
+    def run(spark, sf_dir):
+        return features.events(spark, lang, table)
+
+
+_feature_queries("python", feature_events.PYTHON)
+_feature_queries("typescript", feature_events.TYPESCRIPT)
+_feature_queries("rust", feature_events.RUST)
+
+
+@query("flow_features", sample.values(features.expected_flow(feature_events.FLOW), 'owner, "from", "to", type'))
+def flow_features(spark, sf_dir):
+    """The flow graph of one function for each feature of control flow."""
+    return _flow_edges(parse.events_of(features.flow_files(spark, feature_events.FLOW)))

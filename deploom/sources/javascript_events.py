@@ -36,9 +36,20 @@ def import_path(path: str, module: str, is_index: bool) -> str:
     return path.replace("/", ".") if path.startswith("@") else path
 
 
+def aliased(path: str, aliases: dict[str, str] | None) -> str | None:
+    """Dotted name of a path under one of the project's own prefixes (see scan.import_aliases), the first that fits; None for others."""
+    for prefix, target in () if path.startswith(".") else (aliases or {}).items():
+        if prefix.endswith("/") and path.startswith(prefix):
+            return ".".join([target, *[p for p in path[len(prefix) :].split("/") if p]])
+        if path == prefix:
+            return target
+    return None
+
+
 class JavaScript(Walker):
-    def __init__(self, module: str, source: str, rel: str):
+    def __init__(self, module: str, source: str, rel: str, aliases: dict[str, str] | None = None):
         super().__init__(module, source)
+        self.aliases = aliases
         self.is_index = bool(re.search(r"(^|/)index\.\w+$", rel))
 
     def doc(self, i: int) -> str | None:
@@ -189,7 +200,9 @@ class JavaScript(Walker):
         self.import_from(c.next().text, names, aliases, line)
 
     def import_from(self, quoted: str, names: list[str], aliases: dict, line: int) -> None:
-        self.emit("ImportStatement", line, module=import_path(quoted.strip("\"'`"), self.module, self.is_index), names=names, aliases=aliases, is_flag=False)
+        path = quoted.strip("\"'`")
+        own = aliased(path, self.aliases)
+        self.emit("ImportStatement", line, module=import_path(path, self.module, self.is_index) if own is None else own, names=names, aliases=aliases, is_flag=False)
 
     def exported(self, end: int) -> None:
         c, line = self.c, self.c.next().line
@@ -304,8 +317,6 @@ class JavaScript(Walker):
                 while c.peek().kind == "id" and c.peek().text != "implements" or c.peek().text == ".":
                     c.at += 1
                 bases = [c.text(a, c.at)] if c.at > a else []
-                for t in c.tokens[a : c.at : 2][:1]:
-                    self.emit("UseName", t.line, name=t.text)
         end = c.close.get(c.at, c.at)
         self.define(name, "class", line)
         opened = self.enter("Class", name, line, self.last_line(end), bases=bases, docstring=doc)
@@ -367,6 +378,7 @@ class JavaScript(Walker):
             if c.tokens[a].kind == "id":
                 self.define(c.tokens[a].text, "variable", c.tokens[a].line)
                 c.at = a + 1
+                self.parameters()
                 self.expression(b)
         c.at = stop + 1
         self.leave(opened)
@@ -610,6 +622,9 @@ class JavaScript(Walker):
             if t.kind in ("num", "str", "regex"):
                 self.emit("Literal", t.line, value=t.text, value_type="string" if t.kind != "num" else "float" if "." in t.text else "integer")
                 c.at += 1
+            elif t.text in ("true", "false", "null"):
+                self.emit("Literal", t.line, value=t.text, value_type="null" if t.text == "null" else "boolean")
+                c.at += 1
             elif t.kind == "id" and (t.text in ("function", "class") and c.peek(-1).text not in (".", "?.")):
                 c.at += 1
                 while c.at < end and c.peek().text not in ("(", "{"):
@@ -658,15 +673,15 @@ class JavaScript(Walker):
         c.at = end + 1
 
     def chain(self, end: int) -> None:
-        """A name with its members and calls: arguments come before the call, members are no uses."""
+        """A name with its members and calls: arguments come before the call; what is called is neither a use nor an access of members."""
         c, t = self.c, self.c.next()
         a = c.at - 1
-        called = False
+        called, members = False, []
         while c.at < end:
             n = c.peek()
             if n.text in (".", "?.") and c.peek(1).kind == "id":
                 if not called:
-                    self.emit("AttributeAccess", n.line, object=c.text(a, c.at), attribute=c.peek(1).text)
+                    members.append((n.line, c.text(a, c.at), c.peek(1).text))
                 c.at += 2
             elif n.text in ("!",) and c.peek(1).text == ".":
                 c.at += 1
@@ -674,8 +689,6 @@ class JavaScript(Walker):
                 c.at += n.text == "?."
                 callee, stop = c.text(a, c.at).replace("?.", "."), c.close[c.at]
                 args = c.split(c.at + 1, stop)
-                if not called and "." in callee and t.text not in ("this", "super", "import"):
-                    self.emit("UseName", t.line, name=t.text)
                 for x, y in args:
                     c.at = x
                     self.expression(y)
@@ -692,15 +705,18 @@ class JavaScript(Walker):
                 c.at = stop + 1
             else:
                 break
-        if not called and t.text not in ("this", "super", "import") and c.peek().text != "=>":
-            self.emit("UseName", t.line, name=t.text)
+        if not called:
+            for line, of, attribute in reversed(members):
+                self.emit("AttributeAccess", line, object=of, attribute=attribute)
+            if t.text not in ("this", "super", "import") and c.peek().text != "=>":
+                self.emit("UseName", t.line, name=t.text)
 
 
-def javascript_events(module: str, source: str, rel: str) -> tuple[list[dict], str | None]:
+def javascript_events(module: str, source: str, rel: str, aliases: dict[str, str] | None = None) -> tuple[list[dict], str | None]:
     """(events, error). A text that the walker can't follow gives its module scope and lines only."""
     lines = source_lines(module, source)
     try:
-        return lines + JavaScript(module, source, rel).run(), None
+        return lines + JavaScript(module, source, rel, aliases).run(), None
     except (IndexError, KeyError, RecursionError) as e:
         return lines + JavaScript(module, "", rel).run(), f"{type(e).__name__}: {e}"
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .javascript_events import javascript_events
 from .python_events import python_events
 from .rust_events import rust_events
+from .scan import changed_files
 
 FIELDS = [
     ("kind", "string"), ("scope", "string"), ("name", "string"), ("qualname", "string"), ("node_type", "string"), ("scope_type", "string"),
@@ -20,12 +21,12 @@ FIELDS = [
 SCHEMA = "file string, lang string, file_module string, seq int, " + ", ".join(f"{n} {t}" for n, t in FIELDS) + ", error string"
 ARROW = {"string": pa.string(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string()), "boolean": pa.bool_(), "int": pa.int32()}
 
-#: Parsers by language; register another with the same signature to add a language.
+#: Parsers by language: (module, source, path), and the import aliases of the file where it has some. Register another to add a language.
 PARSERS = {
     "python": lambda module, source, rel: python_events(module, source, rel.endswith("__init__.py")),
-    "javascript": lambda module, source, rel: javascript_events(module, source, rel),
-    "typescript": lambda module, source, rel: javascript_events(module, source, rel),
-    "tsx": lambda module, source, rel: javascript_events(module, source, rel),
+    "javascript": javascript_events,
+    "typescript": javascript_events,
+    "tsx": javascript_events,
     "rust": lambda module, source, rel: rust_events(module, source, rel),
 }
 
@@ -37,10 +38,10 @@ def events_of(files: DataFrame, parsers: dict | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for rel, lang, module, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for rel, lang, module, source, aliases in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if source is None or lang not in parsers:
                     continue
-                events, error = parsers[lang](module, source, rel)
+                events, error = parsers[lang](module, source, rel, *([dict(aliases)] if aliases else []))
                 for a in range(0, len(events), 20_000):
                     part = events[a : a + 20_000]
                     n = len(part)
@@ -53,7 +54,16 @@ def events_of(files: DataFrame, parsers: dict | None = None) -> DataFrame:
                     columns.append(pa.array([error] * n, pa.string()))
                     yield pa.RecordBatch.from_arrays(columns, ["file", "lang", "file_module", "seq", *[f for f, _ in FIELDS], "error"])
 
-    return files.select("rel_path", "lang", "module", "source").mapInArrow(run, SCHEMA)
+    aliases = F.col("aliases") if "aliases" in files.columns else F.lit(None).cast("map<string,string>").alias("aliases")
+    return files.select("rel_path", "lang", "module", "source", aliases).mapInArrow(run, SCHEMA)
+
+
+def updated_events(events: DataFrame, files: DataFrame, seen: DataFrame) -> DataFrame:
+    """Events after a new scan: those of files that are as in `seen` (path, source_hash) stay, files that are new or differ are parsed, and
+    files that are gone have none."""
+    changed = changed_files(files, seen).select("rel_path", "lang", "module", "source", *[c for c in ("aliases",) if c in files.columns])
+    same = files.join(changed.select("rel_path"), "rel_path", "left_anti").select(F.col("rel_path").alias("file"))
+    return events.join(same, "file", "left_semi").unionByName(events_of(changed))
 
 
 def scopes(events: DataFrame) -> DataFrame:

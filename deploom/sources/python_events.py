@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 LITERALS = {str: "string", bytes: "string", int: "integer", float: "float", complex: "float", bool: "boolean", type(None): "none", type(...): "none"}
 
@@ -19,6 +20,7 @@ class PythonEvents(ast.NodeVisitor):
         self.module, self.source, self.is_package, self.self_attributes = module, source, is_package, self_attributes
         self.scope, self.named = module, [module]  # scope of events; enclosing names that qualify definitions
         self.checking = 0
+        self.lines = re.findall(rb"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+", source.encode())  # as the syntax tree counts them
 
     def emit(self, kind: str, node=None, **more) -> None:
         more.setdefault("line", getattr(node, "lineno", 0))
@@ -26,7 +28,13 @@ class PythonEvents(ast.NodeVisitor):
         self.events.append({"kind": kind, "scope": self.scope, **more})
 
     def text(self, node) -> str:
-        return ast.get_source_segment(self.source, node) or ast.unparse(node)
+        if getattr(node, "end_lineno", None) is None:
+            return ast.unparse(node)
+        first, last = node.lineno - 1, node.end_lineno - 1
+        if first == last:
+            return self.lines[first][node.col_offset : node.end_col_offset].decode()
+        parts = [self.lines[first][node.col_offset :], *self.lines[first + 1 : last], self.lines[last][: node.end_col_offset]]
+        return b"".join(parts).decode()
 
     def qualified(self, name: str) -> str:
         return ".".join([*self.named, name])
@@ -83,13 +91,14 @@ class PythonEvents(ast.NodeVisitor):
         self.decorate(node)
         self.define(node.name, "class", node)
         bases = [self.text(b) for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))]
-        for b in [*node.bases, *[k.value for k in node.keywords]]:
-            self.visit(b)
-        self.body_scope("Class", node.name, node, bases=bases, docstring=clean_doc(node))
+        heads = [*node.bases, *[k.value for k in node.keywords]]
+        self.body_scope("Class", node.name, node, lambda: self.statements(heads), bases=bases, docstring=clean_doc(node))
 
-    def body_scope(self, kind: str, name: str, node, **more) -> None:
+    def body_scope(self, kind: str, name: str, node, head, **more) -> None:
+        """A scope whose head (superclasses; parameters) belongs to it."""
         outer, q = self.scope, self.qualified(name)
         self.enter(kind, name, q, node, **more)
+        head()
         self.named.append(name)
         for child in node.body:
             self.visit(child)
@@ -109,10 +118,25 @@ class PythonEvents(ast.NodeVisitor):
         for p in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]:
             self.annotation(p.annotation)
         self.annotation(node.returns)
-        for d in [*a.defaults, *[k for k in a.kw_defaults if k]]:
-            self.visit(d)
         self.define(node.name, "function", node)
-        self.body_scope("Function", node.name, node, parameters=self.parameters(a), docstring=clean_doc(node))
+
+        def head():
+            self.parameter_uses(a)
+            self.annotation(node.returns)
+
+        self.body_scope("Function", node.name, node, head, parameters=self.parameters(a), docstring=clean_doc(node))
+
+    def parameter_uses(self, a: ast.arguments) -> None:
+        """Names, types and defaults of parameters, in order."""
+        plain = [*a.posonlyargs, *a.args]
+        defaults = [None] * (len(plain) - len(a.defaults)) + a.defaults
+        rest = [(a.vararg, None), *zip(a.kwonlyargs, a.kw_defaults, strict=True), (a.kwarg, None)]
+        for p, default in [*zip(plain, defaults, strict=True), *rest]:
+            if p is not None:
+                self.emit("UseName", p, name=p.arg)
+                self.annotation(p.annotation)
+                if default is not None:
+                    self.visit(default)
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
@@ -121,6 +145,7 @@ class PythonEvents(ast.NodeVisitor):
         self.define(name, "function", node)
         outer, q = self.scope, self.qualified(name)
         self.enter("Lambda", name, q, node, parameters=self.parameters(node.args))
+        self.parameter_uses(node.args)
         self.visit(node.body)
         self.leave(q, "Lambda", outer)
 
@@ -228,8 +253,10 @@ class PythonEvents(ast.NodeVisitor):
         self.emit("CallExpression", node, callee=self.text(node.func), arguments=args)
 
     def visit_Attribute(self, node) -> None:
+        """A name right before the dot is no use of its own."""
         self.emit("AttributeAccess", node, object=self.text(node.value), attribute=node.attr)
-        self.visit(node.value)
+        if not isinstance(node.value, ast.Name):
+            self.visit(node.value)
 
     def visit_Constant(self, node) -> None:
         self.emit("Literal", node, value=self.text(node), value_type=LITERALS.get(type(node.value), "string"))
@@ -255,7 +282,7 @@ class PythonEvents(ast.NodeVisitor):
         self.statements(node.body)
         rest = node.orelse
         while rest:
-            if len(rest) == 1 and isinstance(rest[0], ast.If) and self.source.splitlines()[rest[0].lineno - 1].lstrip().startswith("elif"):
+            if len(rest) == 1 and isinstance(rest[0], ast.If) and self.lines[rest[0].lineno - 1].lstrip().startswith(b"elif"):
                 self.emit("ElseBlock", rest[0], block_type="elif", condition=self.text(rest[0].test))
                 self.visit(rest[0].test)
                 self.statements(rest[0].body)
@@ -308,20 +335,29 @@ class PythonEvents(ast.NodeVisitor):
         self.block("try", node)
         self.statements(node.body)
         for h in node.handlers:
-            self.emit("ElseBlock", h, block_type="except", condition=self.text(h.type) if h.type else "")
             if h.name:
                 self.define(h.name, "variable", h)
-            if h.type is not None:
-                self.visit(h.type)
+            self.type_uses(h.type)
             self.statements(h.body)
-        for name, body in (("else", node.orelse), ("finally", node.finalbody)):
-            if body:
-                self.emit("ElseBlock", body[0], block_type=name, condition="")
-                self.statements(body)
+        if node.orelse:
+            self.emit("ElseBlock", node.orelse[0], block_type="else", condition="")
+            self.statements(node.orelse)
+        self.statements(node.finalbody)
         self.end("try", node)
 
     visit_TryStar = visit_Try
 
+    def type_uses(self, node) -> None:
+        """Every name in the types of a handler, members included."""
+        if isinstance(node, ast.Attribute):
+            self.type_uses(node.value)
+            self.emit("UseName", node, name=node.attr)
+        elif isinstance(node, ast.Name):
+            self.emit("UseName", node, name=node.id)
+        elif node is not None:
+            for child in ast.iter_child_nodes(node):
+                self.type_uses(child)
+
     def visit_Match(self, node) -> None:
         self.block("match", node, self.text(node.subject))
         self.visit(node.subject)

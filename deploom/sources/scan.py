@@ -6,7 +6,9 @@ File listing runs on the driver, since Spark's own file sources leave out names
 from __future__ import annotations
 
 import fnmatch
+import json
 import os
+import posixpath
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 
 from deploom.functions.languages import EXTENSIONS
 
-FILES = "path string, rel_path string, lang string, module string, source string, source_hash long, mtime_ns long, error string"
+FILES = "path string, rel_path string, lang string, module string, aliases map<string,string>, source string, source_hash long, mtime_ns long, error string"
+JS_MANIFESTS, RS_MANIFESTS = {"package.json", "tsconfig.json"}, {"Cargo.toml"}
 
 
 @dataclass
@@ -40,17 +43,27 @@ def load_config(project: str, names: tuple[str, ...] = (".deploom.yml", "deploom
     return Config()
 
 
-def find_files(project: str, config: Config | None = None) -> list[str]:
-    """Sorted paths relative to the project; parts that are hidden or excluded are judged below the project only."""
-    config = config or Config()
-    out = []
+def walk(project: str, config: Config) -> tuple[list[str], set[str], set[str]]:
+    """Sorted paths relative to the project, and the folders (the project itself: empty) that hold manifests of JavaScript and of Rust."""
+    out, js, rs = [], set(), set()
     for top, dirs, names in os.walk(project):
         dirs[:] = [d for d in dirs if not d.startswith(".") and d not in config.exclude_dirs]
+        here = os.path.relpath(top, project).replace(os.sep, "/")
+        here = "" if here == "." else here
+        if JS_MANIFESTS & set(names):
+            js.add(here)
+        if RS_MANIFESTS & set(names):
+            rs.add(here)
         for n in names:
-            rel = os.path.relpath(os.path.join(top, n), project).replace(os.sep, "/")
+            rel = posixpath.join(here, n)
             if not n.startswith(".") and n.endswith(tuple(config.extensions)) and not any(fnmatch.fnmatch(rel, p) for p in config.exclude_patterns):
                 out.append(rel)
-    return sorted(out)
+    return sorted(out), js, rs
+
+
+def find_files(project: str, config: Config | None = None) -> list[str]:
+    """Sorted paths relative to the project; parts that are hidden or excluded are judged below the project only."""
+    return walk(project, config or Config())[0]
 
 
 def python_module(rel: str, files: set[str]) -> str:
@@ -79,6 +92,36 @@ def javascript_module(rel: str, manifests: set[str], project_name: str) -> str:
     return ".".join([name, *folder[at:], *tail])
 
 
+def import_aliases(project: str, folder: str, manifests: set[str], project_name: str) -> dict[str, str]:
+    """Import prefixes that the folder's tsconfig.json maps, in order of name, to dotted names: `x/` for what lies below x, `x` for itself.
+
+    The first target counts. An alias that is empty or a bare `@` is left out, and so are targets outside the project and files that aren't
+    plain JSON.
+    """
+    try:
+        found = json.loads(Path(project, folder, "tsconfig.json").read_text())["compilerOptions"]["paths"]
+        pairs = sorted((a.removesuffix("/*"), t[0]) for a, t in found.items() if isinstance(t, list) and t and isinstance(t[0], str))
+    except (OSError, ValueError, KeyError, TypeError, AttributeError):
+        return {}
+    out, root = {}, posixpath.basename(folder) or project_name
+    for prefix, target in pairs:
+        target = target.removesuffix("/*").rstrip("/")
+        stem, ext = posixpath.splitext(target)
+        target = stem if ext in (".ts", ".tsx", ".js", ".jsx", ".mjs") else target
+        if prefix in ("", "@"):
+            continue
+        if target == ".." or target.startswith("../"):
+            path = posixpath.normpath(posixpath.join(folder, target))
+            if path.startswith(".."):
+                continue
+            path = "" if path == "." else path
+            out[prefix + "/"] = javascript_module(posixpath.join(path, "x.ts"), manifests, project_name).removesuffix(".x")
+            out[prefix] = javascript_module(f"{path}.ts", manifests, project_name) if path else project_name
+        else:
+            out[prefix + "/"] = out[prefix] = ".".join([root, *[p for p in target.split("/") if p not in ("", ".")]])
+    return out
+
+
 def rust_module(rel: str, manifests: set[str], project_name: str) -> str:
     """The crate's folder (`-` as `_`) and the path below its src; main, lib and mod stand for their folder."""
     parts = rel.split("/")
@@ -94,17 +137,33 @@ def rust_module(rel: str, manifests: set[str], project_name: str) -> str:
 def scan(spark: SparkSession, project: str, config: Config | None = None) -> DataFrame:
     """One row for each file with its text; a file that can't be read as UTF-8 has an error and no text."""
     config = config or load_config(project)
-    found = find_files(project, config)
+    found, js, rs = walk(project, config)
     known, rows = set(found), []
     name = os.path.basename(os.path.abspath(project))
-    holds = lambda *files: {os.path.relpath(top, project).replace(os.sep, "/").replace(".", "", 1) if top == project else os.path.relpath(top, project).replace(os.sep, "/") for top, _, names in os.walk(project) if set(files) & set(names)}
-    js, rs = holds("package.json", "tsconfig.json"), holds("Cargo.toml")
+    aliases = {folder: import_aliases(project, folder, js, name) for folder in js}
     for rel in found:
         lang = EXTENSIONS.get(rel.rsplit(".", 1)[-1])
         if lang:
             module = python_module(rel, known) if lang == "python" else rust_module(rel, rs, name) if lang == "rust" else javascript_module(rel, js, name)
-            rows.append((os.path.abspath(os.path.join(project, rel)), rel, lang, module))
-    listed = spark.createDataFrame(rows, "path string, rel_path string, lang string, module string").repartition(max(1, len(rows) // 64 + 1))
+            above = rel.split("/")[:-1]
+            own = next((aliases[f] for f in ("/".join(above[:k]) for k in range(len(above), -1, -1)) if f in js), {}) if lang not in ("python", "rust") else {}
+            rows.append((os.path.abspath(os.path.join(project, rel)), rel, lang, module, own))
+    return read_files(spark, rows)
+
+
+def open_file(spark: SparkSession, project: str, rel: str, config: Config | None = None) -> DataFrame:
+    """The row of one file; an extension that no language has raises ValueError."""
+    if rel.rsplit(".", 1)[-1] not in EXTENSIONS:
+        raise ValueError(f"Unsupported language: {rel}")
+    config = config or load_config(project)
+    one = Config(["/" + rel.rsplit("/", 1)[-1], rel.rsplit("/", 1)[-1]], config.exclude_dirs, config.exclude_patterns)
+    return scan(spark, project, one).where(F.col("rel_path") == rel)
+
+
+def read_files(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """FILES of (path, rel_path, lang, module, aliases); contents are read in tasks."""
+    head = "path string, rel_path string, lang string, module string, aliases map<string,string>"
+    listed = spark.createDataFrame(rows, head).repartition(max(1, len(rows) // 64 + 1))
 
     def read(batches):
         for batch in batches:
@@ -120,8 +179,8 @@ def scan(spark: SparkSession, project: str, config: Config | None = None) -> Dat
                     errors.append(str(e))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sources, pa.string()), pa.array(times, pa.int64()), pa.array(errors, pa.string())], [*batch.schema.names, "source", "mtime_ns", "error"])
 
-    out = listed.mapInArrow(read, "path string, rel_path string, lang string, module string, source string, mtime_ns long, error string")
-    return out.select("path", "rel_path", "lang", "module", "source", F.xxhash64("source").alias("source_hash"), "mtime_ns", "error")
+    out = listed.mapInArrow(read, head + ", source string, mtime_ns long, error string")
+    return out.select("path", "rel_path", "lang", "module", "aliases", "source", F.xxhash64("source").alias("source_hash"), "mtime_ns", "error")
 
 
 def language(path):
@@ -130,11 +189,15 @@ def language(path):
     return table[F.regexp_extract(path, r"\.([^.]+)\z", 1)]
 
 
-def fingerprint(files: DataFrame, version: int = 1) -> DataFrame:
-    """One row: SHA-256 over the sorted `path:mtime` lines and the version of the schema."""
-    line = F.concat("rel_path", F.lit(":"), F.col("mtime_ns").cast("string"))
-    lines = files.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("l"))
-    return lines.select(F.sha2(F.concat("l", F.lit(f"\n{version}")), 256).alias("fingerprint"))
+def fingerprint(files: DataFrame, version: int = 1, more: str = "") -> DataFrame:
+    """One row: a SHA-256 over the `path:mtime` lines of all files, the version of the schema, and `more` (the configuration).
+
+    Lines are digested in at most 4096 groups, by the MD5 of the path, and the digests of groups in order, so that no task holds all lines.
+    """
+    line = F.concat("rel_path", F.lit(":"), F.coalesce(F.col("mtime_ns").cast("string"), F.lit("-")))
+    groups = files.groupBy(F.substring(F.md5(F.col("rel_path").cast("binary")), 1, 3).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("d"))
+    lines = groups.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), "\n").alias("l"))
+    return lines.select(F.sha2(F.concat_ws("\n", "l", F.lit(str(version)), F.lit(more)), 256).alias("fingerprint"))
 
 
 def changed_files(files: DataFrame, seen: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from deploom.api import Project, to_json
 from deploom.functions import ids as I
 from deploom.functions.glob import to_regex
 from deploom.operators import changes, finalize, flow, resolve, selector, view
+from deploom.plans import sample
 from deploom.sources import scan
 from deploom.sources.javascript_events import javascript_events
 from deploom.sources.parse import PARSERS, events_of
@@ -18,63 +19,10 @@ from deploom.sources.python_events import python_events
 from deploom.sources.rust_events import rust_events
 from deploom.streaming import live
 
-APP = '''"""Sample."""
-import math
-
-LIMIT = 7
-
-
-class Motor:
-    def run(self):
-        print("on")
-
-
-class Wagon(Motor):
-    def __init__(self, motor):
-        self.motor = motor
-
-    def go(self):
-        if LIMIT > 3:
-            self.halt()
-
-    def halt(self):
-        print("off")
-
-
-def assemble():
-    m = Motor()
-    w = Wagon(m)
-    return w
-
-
-def main():
-    w = assemble()
-    w.go()
-    return math.sqrt(4)
-'''
-
-EDGES = """app imports math
-app.Motor.run calls print
-app.Wagon is-a Motor
-app.Wagon.halt calls print
-app.Wagon.go calls app.LIMIT
-app.Wagon.go calls app.Wagon.halt
-app.assemble calls app.Motor
-app.assemble calls app.Wagon
-app.assemble.m has-a app.Motor
-app.assemble.w has-a app.Wagon
-app.assemble.w calls app.assemble.m
-app.main calls app.assemble
-app.main calls app.Wagon.go
-app.main calls math.sqrt
-app.main.w has-a app.Wagon
-app.main.w calls app.assemble"""
-
-
 @pytest.fixture(scope="module")
 def project(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("project")
-    (top / "app.py").write_text(APP)
+    (top / "app.py").write_text(sample.PYTHON)
     return Project(spark, str(top))
 
 
@@ -83,7 +31,7 @@ def found(df, *columns):
 
 
 def test_edges_of_the_sample(project):
-    want = {tuple(line.split(" ")) for line in EDGES.split("\n")}
+    want = {e for e in sample.EDGES if e[0].partition(".")[0] == "app"}
     assert found(project.edges, "caller", "type", "callee") == want
 
 
