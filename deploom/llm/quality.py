@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_of
+from .common import SPREAD, slices, table, text_of
 
 #: Labelled rows that the model is fitted on at most: a bounded sample, taken by hashes of doc_id.
 MAX_FIT_ROWS = 20_000
@@ -165,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> A
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     share = min(1.0, 0.9 * max_rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_rows)
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)) < int(share * SPREAD)).limit(max_rows)
 
     def run(batches):
         for batch in batches:

@@ -19,8 +19,10 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_temporal_url_filter": url_filter.ORACLE,
+    "op3_simhash_near_dedup": simhash.ORACLE,
     "op5_suffix_dedup": suffix_dedup.ORACLE,
     "op6_warc_archive": warc_archive.ORACLE,
     "op8_itq_near_dedup": embedding_dedup.ORACLE,
+    "op9_jump_sharding": sharding.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }

@@ -101,9 +101,21 @@ def op9_jump_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> Dat
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def crc_steps() -> list[int]:
+    """What the four lowest bits of a CRC-32 (its reflected polynomial) add to it when they are shifted out."""
+    steps = list(range(16))
+    for _ in range(4):
+        steps = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in steps]
+    return steps
+
+
+#: The CRC takes a text by half bytes, the low half of each first.
 ORACLE = f"""
-WITH RECURSIVE r AS (
-  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_replace(hex(encode(coalesce(text, ''))), '(.)(.)', '\\2\\1', 'g') AS halves FROM documents),
+r AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h,
+    xor(list_reduce(list_transform(regexp_extract_all(halves, '.'), lambda x: ('0x' || x)::BIGINT),
+      lambda c, x: xor(c >> 4, {crc_steps()}[(xor(c, x) & 15) + 1]), {MASK}::BIGINT), {MASK}::BIGINT) AS text_crc32 FROM d),
 k AS (SELECT DISTINCT doc_id, ('0x' || substr(h, 1, 15))::HUGEINT AS x FROM r),
 j AS (
   SELECT doc_id, x, 0::BIGINT AS pos, 0::BIGINT AS now, 0::BIGINT AS last FROM k
@@ -114,7 +126,7 @@ j AS (
         + (x % 4294967296) * {LOW} + 1) % 18446744073709551616 AS y FROM j WHERE pos <= 40))),
 p AS (SELECT doc_id, max(now)::INTEGER AS grown_shard, max(last)::INTEGER AS shard FROM j GROUP BY doc_id),
 n AS (SELECT count(*) AS total FROM r)
-SELECT r.doc_id, r.size, 'key' AS law, p.shard, p.grown_shard,
-  row_number() OVER (PARTITION BY p.shard ORDER BY ('0x' || substr(h, 1, 7))::BIGINT % greatest(16, total // {ROWS_PER_RUN}), r.doc_id) - 1 AS slot
+SELECT r.doc_id, r.size, r.text_crc32, 'key' AS law, p.shard, p.grown_shard,
+  row_number() OVER (PARTITION BY p.shard ORDER BY ('0x' || substr(h, 1, 7))::BIGINT % greatest(16, total // {ROWS_PER_RUN}), r.doc_id, r.text_crc32, r.size) - 1 AS slot
 FROM r JOIN p ON r.doc_id IS NOT DISTINCT FROM p.doc_id CROSS JOIN n
 """

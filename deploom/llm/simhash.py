@@ -175,3 +175,69 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
+
+
+#: Constants of XXH64.
+P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+
+
+def oracle() -> str:
+    """DuckDB SQL of the query: XXH64 in arithmetic of 128 bits, bits by majority, components by a recursive join of all fingerprints.
+
+    A rotation by r is a product with 2**r modulo 2**64 - 1, which names its argument once; it differs for 2**64 - 1 alone.
+    """
+    ring = 1 << BITS
+
+    def mul(a: str, p: int) -> str:
+        return f"(({a})::UHUGEINT * {p}::UHUGEINT % {ring}::UHUGEINT)"
+
+    def add(a: str, b: str | int) -> str:
+        return f"((({a})::UHUGEINT + ({b})::UHUGEINT) % {ring}::UHUGEINT)"
+
+    def turn(a: str, r: int) -> str:
+        return f"(({a})::UHUGEINT * {1 << r}::UHUGEINT % {ring - 1}::UHUGEINT)"
+
+    def xor(a: str, b: str) -> str:
+        return f"xor(({a})::UBIGINT, ({b})::UBIGINT)"
+
+    def taken_in(state: str, lane: str) -> str:
+        return mul(turn(add(state, mul(lane, P2)), 31), P1)
+
+    # r is the hexadecimal text of the bytes from last to first, so that a little-endian number is one piece of it.
+    def fold(count: str, at: str, width: int, step: str, start: str | int) -> str:
+        lane = f"('0x' || substr(r, (n - ({at}) - {width}) * 2 + 1, {2 * width}))::UBIGINT::UHUGEINT"
+        return f"list_reduce(list_transform(generate_series(0, {count} - 1), lambda k: {lane}), lambda a, l: ({step})::UHUGEINT, ({start})::UHUGEINT)"
+
+    starts = [(SEED + P1 + P2) % ring, (SEED + P2) % ring, SEED, (SEED - P1) % ring]
+    states = [f"{fold('n // 32', f'k * 32 + {8 * i}', 8, taken_in('a', 'l'), s)} AS v{i + 1}" for i, s in enumerate(starts)]
+    long_text = add(add(turn("v1", 1), turn("v2", 7)), add(turn("v3", 12), turn("v4", 18)))
+    for i in range(1, 5):
+        long_text = add(mul(xor(long_text, taken_in("0", f"v{i}")), P1), P4)
+    eights = fold("n % 32 // 8", "n // 32 * 32 + k * 8", 8, add(mul(turn(xor("a", taken_in("0", "l")), 27), P1), P4), "h")
+    fours = fold("n % 8 // 4", "n // 8 * 8", 4, add(mul(turn(xor("a", mul("l", P1)), 23), P2), P3), "h")
+    ones = fold("n % 4", "n // 4 * 4 + k", 1, mul(turn(xor("a", mul("l", P5)), 11), P1), "h")
+    bits = " + ".join(f"CASE WHEN 2 * sum(h >> {k} & 1) > count(*) THEN {1 << k}::UHUGEINT ELSE 0 END" for k in range(BITS))
+    upper = "".join(map(chr, range(65, 91)))
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_transform(generate_series(1, greatest(1, len(w) - 2)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM t WHERE len(w) > 0),
+d AS (SELECT s, octet_length(encode(s)) AS n, array_to_string(list_reverse(regexp_extract_all(hex(encode(s)), '..')), '') AS r FROM (SELECT DISTINCT s FROM s)),
+x0 AS (SELECT *, {", ".join(states)} FROM d),
+x1 AS (SELECT s, n, r, {add(f"CASE WHEN n < 32 THEN {SEED + P5}::UHUGEINT ELSE {long_text} END", "n")} AS h FROM x0),
+x2 AS (SELECT s, n, r, {eights} AS h FROM x1),
+x3 AS (SELECT s, n, r, {fours} AS h FROM x2),
+x4 AS (SELECT s, ({ones})::UBIGINT AS h FROM x3),
+x5 AS (SELECT s, {mul("xor(h, h >> 33)", P2)}::UBIGINT AS h FROM x4),
+x6 AS (SELECT s, {mul("xor(h, h >> 29)", P3)}::UBIGINT AS h FROM x5),
+x7 AS (SELECT s, xor(h, h >> 32) AS h FROM x6),
+b AS (SELECT doc_id, {bits} AS f FROM s JOIN x7 USING (s) GROUP BY doc_id),
+f AS (SELECT t.doc_id, coalesce(b.f, 0)::UBIGINT AS f FROM t LEFT JOIN b ON t.doc_id = b.doc_id),
+u AS (SELECT f, min(doc_id) AS least FROM f GROUP BY f),
+e AS (SELECT x.f AS a, y.f AS b FROM u x JOIN u y ON bit_count(xor(x.f, y.f)::BIT) <= 3),
+c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
+g AS (SELECT c.a AS f, min(u.least) AS component_id FROM c JOIN u ON c.b = u.f GROUP BY c.a)
+SELECT f.doc_id, lpad(lower(to_hex(f.f)), 16, '0') AS fingerprint, g.component_id FROM f JOIN g ON f.f = g.f
+"""
+
+
+ORACLE = oracle()

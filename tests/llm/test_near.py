@@ -33,6 +33,21 @@ def test_simhash_query(spark):
     assert got == {r.doc_id: (f"{int(f):016x}", docs[k].doc_id) for r, f, k in zip(docs, fps, label, strict=True)}
 
 
+def test_simhash_sql(duck):
+    """XXH64 in SQL for texts of each length up to several stripes, and components of fingerprints."""
+    rng = np.random.default_rng(3)
+    texts = [None, "", " \t", "a", "A b", "é Ü x y"] + ["".join(map(chr, rng.integers(97, 123, n))) for n in range(1, 140)]
+    texts += [" ".join(f"w{k}" for k in range(n)) for n in range(3, 400, 40)] * 2
+    con = duck()
+    con.execute("DROP VIEW documents")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = {i: (f, c) for i, f, c in con.execute(simhash.ORACLE).fetchall()}
+    prints = [fingerprint(t) for t in texts]
+    label = closure(np.array([[(a ^ b).bit_count() <= 3 for b in prints] for a in prints]))
+    assert got == {i: (f"{p:016x}", int(c)) for i, (p, c) in enumerate(zip(prints, label, strict=True))}
+
+
 def test_simhash_cases(spark):
     data = [(4, None), (2, ""), (3, "  \n"), (9, "A b"), (8, "a B"), (8, "a B"), (None, "a b"), (None, "only here"), (20, "w " * 50_000)]
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in data], "doc_id long, text string, fp int, key string")
