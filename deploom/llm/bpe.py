@@ -39,6 +39,30 @@ def encoder(ranks: dict[bytes, int], pattern: str, added: dict[str, int] | None
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
 
 
+#: Characters up to which the encoder's own pattern matcher is safe: its stack ends at a run of about a million white-space characters.
+SAFE_CHARS = 100_000
+
+
+def token_ids(enc, pattern: str, added: dict[str, int], text: str) -> np.ndarray:
+    """Ids of a whole text of any length, added tokens matched. Texts over SAFE_CHARS are split by a matcher that needs no stack, and their
+    words are encoded one by one; the ids are the same."""
+    if len(text) <= SAFE_CHARS:
+        return enc.encode_to_numpy(text, allowed_special="all")
+    import regex
+
+    findall, known, out = regex.compile(pattern).findall, {}, []
+    cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
+    for part in cut.split(text) if cut else [text]:
+        if part in added:
+            out.append([added[part]])
+            continue
+        for word in findall(part):
+            if word not in known:
+                known[word] = enc._encode_single_piece(word)
+            out.append(known[word])
+    return np.fromiter((i for ids in out for i in ids), np.uint32)
+
+
 def pack(codes: np.ndarray) -> bytes:
     """Non-negative numbers below 2**32 as four compressed planes of bytes (common words have small numbers)."""
     import zstandard
@@ -142,7 +166,8 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish,
             at += batch.column(2).to_pylist()
             for word in batch.column(0).to_pylist():
                 if word != last:
-                    last, ids = word, np.array(enc.encode_ordinary(word), wide).tobytes()
+                    # A word is one match of the pattern already; matching it again would exhaust the pattern's stack on a long run of white space.
+                    last, ids = word, np.array(enc._encode_single_piece(word), wide).tobytes()
                 found.append(ids)
             if len(to) >= FLUSH_WORDS:
                 yield flush()

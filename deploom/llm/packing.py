@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encoder, load_ranks
+from .bpe import encoder, load_ranks, token_ids
 from .common import materialize, table, text_of
 
 WINDOW = 2048
@@ -61,7 +61,7 @@ def tokenise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
                 part = batch.slice(a, 500)
                 blobs, sizes, signs = [], [], []
                 for t in part.column(1):
-                    found = enc.encode_to_numpy(t.as_py(), allowed_special="all")
+                    found = token_ids(enc, pattern, added, t.as_py())
                     ids = np.empty(len(found) + 1, wide)
                     ids[:-1], ids[-1] = found, END_ID
                     seen[np.unique(ids)] += 1

@@ -41,6 +41,45 @@ def test_bpe_batches_share_words(spark, monkeypatch):
     assert not docs
 
 
+def long_texts(n=1_000_000):
+    """A long run of one kind of character between two letters, and one with an added token behind it."""
+    return ["x" + " " * n + "y", "x" + "\n" * n + "y", "a" * n, " \t" * (n // 2) + "<|endoftext|> it's  é" + "\u3000" * 1000, "! " * (n // 2)]
+
+
+def test_bpe_of_a_million_characters(spark, tmp_path):
+    """Ids of op7 on runs that exhaust the library's pattern matcher: its merges on each match of the pattern."""
+    import regex
+
+    texts = long_texts()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    enc, words = bpe.encoder(RANKS, public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN)
+    got = {r.doc_id: r for r in bpe.op7_word_bpe(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        ids = [i for w in words.findall(t) for i in enc._encode_single_piece(w)]
+        assert got[k].n_tokens == len(ids) and got[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[k].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_packing_of_a_million_characters(spark, tmp_path):
+    """Ids are those of tokenizers, which takes such texts."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = long_texts()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {k: t.encode(x, add_special_tokens=False).ids + [1] for k, x in enumerate(texts)}
+    checked_pieces(packing.op4_bm25_packing(spark, str(tmp_path)).collect(), ids)
+
+
+def test_long_texts_have_the_ids_of_short_ones(monkeypatch):
+    enc = bpe.encoder(RANKS, public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    texts = [t or "" for _, t in HARD] + [r"it's <|endoftext|><|endoftext|>  é́\n\n x <|endoftext|"]
+    want = [bpe.token_ids(enc, public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, t).tolist() for t in texts]
+    monkeypatch.setattr(bpe, "SAFE_CHARS", -1)
+    assert want == [bpe.token_ids(enc, public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, t).tolist() for t in texts]
+
+
 def checked_pieces(rows, ids):
     """Each id in one piece, sequences gapless, padding none."""
     for key, doc in ids.items():
