@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, packing, quality, sharding, simhash, suffix_dedup, url_filter, warc_archive
+from . import bpe, embedding_dedup, exact_dedup, packing, periodic_runs, quality, sharding, simhash, suffix_dedup, url_filter, warc_archive
 
 QUERIES = {
     "op1_temporal_url_filter": url_filter.op1_temporal_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_itq_near_dedup": embedding_dedup.op8_itq_near_dedup,
     "op9_jump_sharding": sharding.op9_jump_sharding,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op8_itq_near_dedup": embedding_dedup.ORACLE,
     "op9_jump_sharding": sharding.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_periodic_runs": periodic_runs.ORACLE,
 }
