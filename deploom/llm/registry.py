@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, packing, periodic_runs, quality, sharding, simhash, suffix_dedup, url_filter, warc_archive
+from . import bpe, embedding_dedup, exact_dedup, hard_negatives, metric_tree, packing, periodic_runs, quality, sharding, simhash, suffix_dedup, url_filter, warc_archive
 
 QUERIES = {
     "op1_temporal_url_filter": url_filter.op1_temporal_url_filter,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_jump_sharding": sharding.op9_jump_sharding,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_mtree_top_k": metric_tree.op13_mtree_top_k,
 }
 
 ORACLE_SQL = {
@@ -27,4 +29,6 @@ ORACLE_SQL = {
     "op9_jump_sharding": sharding.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
     "op11_periodic_runs": periodic_runs.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_mtree_top_k": metric_tree.ORACLE,
 }
