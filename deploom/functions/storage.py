@@ -25,7 +25,14 @@ def written(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder, and read again."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def folder_of(df: DataFrame) -> str:
+    """The folder that written() made for a frame."""
+    return df.folder
 
 
 def remove(spark: SparkSession, *folders: str) -> None:
@@ -35,6 +42,12 @@ def remove(spark: SparkSession, *folders: str) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def remove_written(*frames: DataFrame) -> None:
+    """Removes what written() made of frames, or of the frames that they were put together from; nothing may read them any more."""
+    for df in frames:
+        remove(df.sparkSession, *({df.folder} if hasattr(df, "folder") else {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/step-" in f}))
+
+
 def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     """df with a broadcast hint if it is small; df must be a written table, as it is counted."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

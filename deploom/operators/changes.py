@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deploom.functions import ids as I
+from deploom.functions.storage import written
 
 
 def coalesce_events(events: DataFrame, key: str, kind: str, seq: str) -> DataFrame:
@@ -21,6 +22,31 @@ def sessions(events: DataFrame, key: str | None, ts: str, gap: str) -> DataFrame
     return out.select(*([key] if key else []), "first", "last", "n")
 
 
+def global_sessions(events: DataFrame, ts: str, gap: str, parts: int | None = None) -> DataFrame:
+    """(first, last, n) of runs of events less than `gap` apart, of all events as one sequence, with no task that has them all.
+
+    Equal times become one row with a count first. Times are cut into ranges, runs are found within each range, and only the first and the last run of
+    a range can belong together with one of another: these, at most two rows a range, are joined in order. A run may span any number
+    of ranges. Rows with a null time go.
+    """
+    n = parts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    times = events.where(F.col(ts).isNotNull()).groupBy(F.col(ts).alias("t")).agg(F.count("*").alias("n"))
+    cut = written(times.repartitionByRange(n, "t").withColumn("part", F.spark_partition_id()))
+    step = F.expr(f"interval {gap}")
+
+    def runs_by(df: DataFrame, first: str, last: str, w) -> DataFrame:
+        new = F.coalesce(F.col(first) >= F.lag(last).over(w) + step, F.lit(True))
+        return df.withColumn("_new", new.cast("long")).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+    span = [F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")]
+    inside = runs_by(cut.select("part", F.col("t").alias("first"), F.col("t").alias("last"), "n"), "first", "last", Window.partitionBy("part").orderBy("first"))
+    local = written(inside.groupBy("part", "run").agg(*span))
+    ends = local.groupBy("part").agg(F.max("run").alias("top"))
+    local = written(local.join(ends, "part").select("first", "last", "n", ((F.col("run") == 1) | (F.col("run") == F.col("top"))).alias("border")))
+    border = runs_by(local.where("border"), "first", "last", Window.orderBy("first"))  # two rows a range at most
+    return local.where("not border").select("first", "last", "n").unionByName(border.groupBy("run").agg(*span).drop("run"))
+
+
 def flatten_origin(nodes: DataFrame) -> DataFrame:
     """(id, origin): the own origin or that of the nearest ancestor that has one."""
     up = nodes.select("id", F.explode(I.ancestors(F.col("id"), True)).alias("above"))

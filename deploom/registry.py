@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deploom.functions import ids as I
 from deploom.functions.glob import to_regex
-from deploom.functions.storage import written
-from deploom.operators import changes, filters, finalize, flow, resolve, selector, stats, traverse, view
+from deploom.functions.storage import folder_of, shared_dir, written
+from deploom.operators import changes, filters, finalize, flow, incremental, intervals, resolve, search, selector, stats, traverse, types, view
 from deploom.plans import feature_events, features, sample, synth
 from deploom.sources import parse
+from deploom.streaming import status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -360,6 +362,46 @@ def node_diff(spark, sf_dir):
     return changes.node_diff(old, new, prior)
 
 
+#: Orders as nodes of a first snapshot, then: late orders change and those of low priority go; dear orders are dismissed; low ones come back, open ones as
+#: they were, and those of high priority change while medium ones go.
+STEPS = """h AS (SELECT o_orderkey::VARCHAR AS id, md5(o_orderstatus || o_orderpriority) AS a, md5('x' || o_orderpriority) AS x, * FROM orders),
+s1 AS (SELECT *, o_orderpriority = '5-LOW' AS gone1, CASE WHEN o_orderpriority = '5-LOW' THEN 'deleted' WHEN o_orderdate >= TIMESTAMP '1996-01-01' THEN 'modified' END AS t1,
+  CASE WHEN o_orderdate >= TIMESTAMP '1996-01-01' THEN x ELSE a END AS h1 FROM h),
+s2 AS (SELECT *, o_totalprice > 150000 AS seen, CASE WHEN o_totalprice > 150000 THEN NULL ELSE t1 END AS t2 FROM s1),
+s3 AS (SELECT id, CASE WHEN gone1 AND seen THEN 'added' WHEN gone1 AND o_orderstatus = 'O' THEN NULL WHEN gone1 THEN 'modified' WHEN o_orderpriority = '3-MEDIUM' THEN 'deleted'
+  WHEN o_orderpriority = '2-HIGH' THEN 'modified' ELSE t2 END AS status, NOT gone1 AND o_orderpriority = '3-MEDIUM' AS is_ghost FROM s2)"""
+
+
+def _status_streams(spark, sf_dir):
+    """The changes and dismissals of STEPS as two folders of files, to be read as streams, with a last row of each that takes the watermark past the rest."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("id", F.col("o_orderkey").cast("string"))
+    md = lambda s: F.md5(F.concat(s, F.col("o_orderpriority")).cast("binary"))
+    low, late = F.col("o_orderpriority") == "5-LOW", F.col("o_orderdate") >= F.to_timestamp(F.lit("1996-01-01"))
+    own, other = md(F.col("o_orderstatus")), md(F.lit("x"))
+
+    def at(df, hour, kind, hashed):
+        return df.select("id", F.to_timestamp(F.lit(f"2024-01-01 {hour:02}:00:00")).alias("ts"), F.col("o_orderkey").alias("seq"), kind.alias("kind"), hashed.alias("hash"))
+
+    none = F.lit(None).cast("string")
+    first = at(o, 1, F.lit("load"), own)
+    second = at(o.where(low | late), 2, F.when(low, "gone").otherwise("put"), F.when(~low, other))
+    third = at(o.where(low), 4, F.lit("put"), F.when(F.col("o_orderstatus") == "O", own).otherwise(other))
+    third = third.unionByName(at(o.where("o_orderpriority = '3-MEDIUM'"), 4, F.lit("gone"), none)).unionByName(at(o.where("o_orderpriority = '2-HIGH'"), 4, F.lit("put"), F.md5(F.lit("y").cast("binary"))))
+    tick = spark.range(1).select(F.lit("").alias("id"), F.to_timestamp(F.lit("2024-01-09")).alias("ts"), F.lit(0).cast("long").alias("seq"), F.lit("load").alias("kind"), none.alias("hash"))
+    seen = o.where("o_totalprice > 150000").select("id", F.to_timestamp(F.lit("2024-01-01 03:00:00")).alias("ts"), F.col("o_orderkey").alias("seq"))
+    changed = written(third.unionByName(second).unionByName(first).unionByName(tick))  # as it comes: the last change first
+    return changed, written(seen.unionByName(tick.select("id", "ts", "seq")))
+
+
+@query("streamed_statuses", f"WITH {STEPS} SELECT * FROM s3 WHERE status IS NOT NULL")
+def streamed_statuses(spark, sf_dir):
+    changed, seen = _status_streams(spark, sf_dir)
+    base = f"{shared_dir(spark).rstrip('/')}/status-{uuid.uuid4().hex}"
+    stream = lambda df: spark.readStream.schema(df.schema).parquet(folder_of(df))
+    status.run(stream(changed), stream(seen), f"{base}/out", f"{base}/checkpoint")
+    return status.latest(spark.read.schema(status.STATUS).parquet(f"{base}/out"))
+
+
 @query("edge_diff", f"WITH {synth.SQL}, o AS (SELECT DISTINCT caller, callee FROM edges WHERE type <> 'imports'), n AS (SELECT DISTINCT caller, callee FROM edges WHERE type <> 'has-a') SELECT caller, callee, 'deleted' AS status FROM (SELECT * FROM o EXCEPT SELECT * FROM n) UNION ALL SELECT caller, callee, 'added' FROM (SELECT * FROM n EXCEPT SELECT * FROM o)")
 def edge_diff(spark, sf_dir):
     e = written(synth.edges(spark, sf_dir))
@@ -389,6 +431,14 @@ def debounce_sessions(spark, sf_dir):
     return changes.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", "10 minutes")
 
 
+@query("debounce_global", """WITH e AS (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 45 SECOND THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL),
+  g AS (SELECT *, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
+  SELECT min(ts) AS first, max(ts) AS last, count(*) AS n FROM g GROUP BY s""")
+def debounce_global(spark, sf_dir):
+    """All events as one sequence of changes."""
+    return changes.global_sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "45 seconds")
+
+
 @query("inject_ghosts", f"WITH {synth.SQL}, g AS (SELECT id || '.gone' AS id FROM nodes WHERE object_type = 'class' AND contains(id, '.s')), a AS (SELECT id, false AS is_ghost FROM nodes UNION ALL SELECT id, true FROM g), c AS (SELECT id, 'deleted' AS status FROM g UNION ALL SELECT DISTINCT array_to_string(list_slice(string_split(id, '.'), 1, k), '.'), 'modified' FROM g, range(1, 4) t(k)) SELECT a.id, is_ghost, status AS change_status, CASE WHEN contains(a.id, '.') THEN array_to_string(string_split(a.id, '.')[:-2], '.') END AS parent FROM a LEFT JOIN c ON a.id = c.id")
 def inject_ghosts(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
@@ -441,6 +491,116 @@ def resolve_names(spark, sf_dir):
     return resolve.resolve_names(refs, resolve.Names(nodes.select("id", "object_type"), none, none.select(F.col("key").alias("name"))))
 
 
+CHAIN = """o AS (SELECT o_orderkey, o_custkey, lead(o_orderkey) OVER w AS next, first_value(o_orderkey) OVER w AS head FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+b AS (SELECT 'o' || o_orderkey AS key, CASE WHEN next IS NOT NULL THEN 'o' || next WHEN c_acctbal < 0 THEN 'o' || head ELSE 'c' || o_custkey END AS value FROM o JOIN customer ON o_custkey = c_custkey)"""
+
+
+@query("import_chains", f"WITH RECURSIVE {CHAIN}, r AS (SELECT key, value, 0 AS h FROM b UNION ALL SELECT r.key, b.value, h + 1 FROM r JOIN b ON r.value = b.key WHERE h < 20 AND b.value <> r.value) SELECT key, arg_max(value, h) AS value FROM r GROUP BY key")
+def import_chains(spark, sf_dir):
+    """Each order is bound to the customer's next one; the last to the customer, or back to the first, which makes a cycle."""
+    o, c = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = o.select("o_orderkey", "o_custkey", F.lead("o_orderkey").over(w).alias("next"), F.first("o_orderkey").over(w).alias("head"))
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    value = F.when(F.col("next").isNotNull(), name("o", "next")).when(F.col("c_acctbal") < 0, name("o", "head")).otherwise(name("c", "o_custkey"))
+    return resolve.follow_chains(o.join(c, o["o_custkey"] == c["c_custkey"]).select(name("o", "o_orderkey").alias("key"), value.alias("value")))
+
+
+FLOWS = """fact AS (SELECT 's' || s_suppkey AS node, 'n' || s_nationkey AS type FROM supplier WHERE s_acctbal >= 0),
+flow AS (SELECT 's' || l_suppkey AS src, 'o' || l_orderkey AS dst FROM lineitem WHERE l_returnflag = 'R'
+  UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'
+  UNION SELECT 'c' || s_suppkey, 's' || s_suppkey FROM supplier WHERE s_acctbal < 4000)"""
+
+
+@query("chained_types", f"WITH RECURSIVE {FLOWS}, r AS (SELECT node, type FROM fact UNION SELECT dst, type FROM r JOIN flow ON src = node) SELECT node, min(type) AS type FROM r GROUP BY node HAVING count(*) = 1")
+def chained_types(spark, sf_dir):
+    """Suppliers are constructors of their nation's type; orders return what suppliers of returned items make, customers what urgent orders return, and some
+    suppliers what a customer returns, which closes cycles."""
+    s, line, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "lineitem", "orders"))
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    flow = lambda df, a, x, b, y: df.select(name(a, x).alias("src"), name(b, y).alias("dst"))
+    flows = flow(line.where("l_returnflag = 'R'"), "s", "l_suppkey", "o", "l_orderkey").unionByName(flow(o.where("o_orderpriority = '1-URGENT'"), "o", "o_orderkey", "c", "o_custkey"))
+    flows = flows.unionByName(flow(s.where("s_acctbal < 4000"), "c", "s_suppkey", "s", "s_suppkey"))
+    return types.types_to_fixpoint(s.where("s_acctbal >= 0").select(name("s", "s_suppkey").alias("node"), name("n", "s_nationkey").alias("type")), flows)
+
+
+@query("incremental_edges", f"""WITH {synth.SQL} SELECT DISTINCT cus.id AS file, ord.id AS caller, sup.id AS callee
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN ord ON ord.k = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN cus ON cus.k = c_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN sup ON sup.k = s_suppkey JOIN nation ON n_nationkey = s_nationkey
+  WHERE ord.nid = sup.nid AND (c_mktsegment <> 'BUILDING' OR l_returnflag = 'R') AND NOT (c_mktsegment = 'MACHINERY' AND c_acctbal < 0) AND NOT (n_regionkey = 1 AND s_acctbal < 0)""")
+def incremental_edges(spark, sf_dir):
+    """Customers are files that refer to suppliers' short names from their orders, nations files that define them. After the first build some customers
+    refer to less, some are gone, and nations of one region take definitions away; the SQL builds the last state as a whole."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    owned = lambda *a: synth._owned(spark, sf_dir, *a)
+    cust = owned("customer", "c_custkey", "c_nationkey", "c").withColumnRenamed("id", "file").join(t("customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_custkey")
+    orders = synth._orders(spark, sf_dir).withColumnRenamed("id", "scope").join(t("orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    refs = t("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    refs = written(refs.select("file", "scope", F.concat(F.lit("s"), "l_suppkey").alias("name"), "l_returnflag", "c_mktsegment", "c_acctbal"))
+    sup = owned("supplier", "s_suppkey", "s_nationkey", "s").join(t("supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_suppkey")
+    defs = sup.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(I.parent(F.col("id")).alias("file"), "id", F.lit("class").alias("object_type"), "n_regionkey", "s_acctbal")
+    defs = written(defs)
+    graph = incremental.NameGraph(spark, f"{shared_dir(spark).rstrip('/')}/names-{uuid.uuid4().hex}", 16).create()
+    graph.apply(refs.select("file").unionByName(defs.select("file")), defs, refs)
+    less, gone = F.col("c_mktsegment") == "BUILDING", (F.col("c_mktsegment") == "MACHINERY") & (F.col("c_acctbal") < 0)
+    changed = refs.where(less | gone).select("file").unionByName(defs.where("n_regionkey = 1").select("file"))
+    graph.apply(changed, defs.where("n_regionkey = 1 and s_acctbal >= 0"), refs.where(less & (F.col("l_returnflag") == "R")))
+    return graph.load("edges").select("file", "caller", "callee")
+
+
+PLACES = "ord_ids AS (SELECT id, row_number() OVER (ORDER BY string_split(id, '.')) - 1 AS place FROM nodes)"
+
+
+@query("preorder_listing", f"""WITH {synth.SQL}, {STATUS}, {PLACES} SELECT n.id, string_split(n.id, '.')[-1] AS name, object_type AS type, origin, CASE WHEN contains(n.id, '.') THEN array_to_string(string_split(n.id, '.')[:-2], '.') END AS parent,
+  string_split(n.id, '.')[1] || '.src' AS file_path, len(string_split(n.id, '.'))::INTEGER AS line, st.status AS change_status, place FROM nodes n LEFT JOIN st ON st.id = n.id JOIN ord_ids o ON o.id = n.id""")
+def preorder_listing(spark, sf_dir):
+    """The listing with all its keys, in the order of a walk of the tree."""
+    nodes = synth.nodes(spark, sf_dir).withColumn("name", I.last(F.col("id"))).withColumn("file_path", F.concat(I.top(F.col("id")), F.lit(".src"))).withColumn("line", I.depth(F.col("id")))
+    nodes = nodes.join(_statuses(spark, sf_dir).withColumnRenamed("status", "change_status"), "id", "left")
+    nodes = written(finalize.with_parents(nodes))
+    return intervals.listing(nodes, filters.flatten(nodes))
+
+
+@query("subtree_ranges", f"WITH {synth.SQL}, {PLACES}, u AS (SELECT array_to_string(list_slice(string_split(id, '.'), 1, g), '.') AS id FROM nodes, range(1, 5) t(g) WHERE g < len(string_split(id, '.'))), k AS (SELECT id, count(*) AS below FROM u GROUP BY id) SELECT o.id, place AS pre, place + coalesce(below, 0) AS \"end\" FROM ord_ids o LEFT JOIN k ON o.id = k.id")
+def subtree_ranges(spark, sf_dir):
+    return intervals.number(synth.nodes(spark, sf_dir))
+
+
+@query("pruned_by_ranges", f"WITH {synth.SQL}, bad AS (SELECT cus.id FROM cus JOIN customer ON c_custkey = cus.k WHERE c_acctbal < 0 UNION ALL SELECT id FROM nat WHERE id LIKE 'r2.%' UNION ALL SELECT 'parts') SELECT n.id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.id = n.id) AND NOT EXISTS (SELECT 1 FROM bad, range(1, 5) t(g) WHERE bad.id = array_to_string(list_slice(string_split(n.id, '.'), 1, g), '.') AND g < len(string_split(n.id, '.')))")
+def pruned_by_ranges(spark, sf_dir):
+    nodes = synth.nodes(spark, sf_dir)
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal < 0").select("c_custkey")
+    bad = synth._owned(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c").join(c, "c_custkey").select("id")
+    bad = bad.unionByName(nodes.where("(object_type = 'module' and startswith(id, 'r2.')) or id = 'parts'").select("id"))
+    return intervals.prune(written(intervals.number(nodes)), bad).select("id")
+
+
+TERMS = "t AS (SELECT 's' || s_suppkey AS term FROM supplier UNION SELECT 'O' || p_size FROM part UNION SELECT substr(p_brand, 3, 5) FROM part UNION SELECT 'n' || n_nationkey || '.C' FROM nation UNION SELECT 'p' UNION SELECT 'zzzz')"
+
+
+@query("many_terms", f"WITH {synth.SQL}, {TERMS} SELECT term, count(*) AS n, min(id) AS first, max(id) AS last FROM t JOIN nodes ON contains(lower(id), lower(term)) GROUP BY term")
+def many_terms(spark, sf_dir):
+    """Type-ahead for every supplier, size, brand and nation at once; counts and ends of each list."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    one = lambda df, c: df.select(c.alias("term"))
+    terms = one(t("supplier"), F.concat(F.lit("s"), "s_suppkey")).unionByName(one(t("part"), F.concat(F.lit("O"), "p_size"))).unionByName(one(t("part"), F.substring("p_brand", 3, 5)))
+    terms = terms.unionByName(one(t("nation"), F.concat(F.lit("n"), "n_nationkey", F.lit(".C")))).unionByName(one(spark.range(1), F.explode(F.array(F.lit("p"), F.lit("zzzz")))))
+    found = search.find_terms(written(synth.nodes(spark, sf_dir)), terms)
+    return found.groupBy("term").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+GLOBS = "g AS (SELECT '*.s' || s_suppkey AS pattern FROM supplier UNION SELECT 'r?.n*.c' || c_custkey FROM customer WHERE c_acctbal < 0 UNION SELECT 'parts.Brand1[1-3].p*' || p_size FROM part UNION SELECT 'r' || n_regionkey || '.n' || n_nationkey || '.c*1*' FROM nation UNION SELECT 'parts' UNION SELECT '*9*9*')"
+
+
+@query("many_globs", f"WITH {synth.SQL}, {GLOBS} SELECT pattern, id FROM g JOIN nodes ON id GLOB pattern")
+def many_globs(spark, sf_dir):
+    """Patterns of every supplier, many customers, sizes and nations at once."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    one = lambda df, *c: df.select(F.concat(*[F.lit(x) if x[:2] not in ("s_", "c_", "p_", "n_") else F.col(x) for x in c]).alias("pattern"))
+    patterns = one(t("supplier"), "*.s", "s_suppkey").unionByName(one(t("customer").where("c_acctbal < 0"), "r?.n*.c", "c_custkey")).unionByName(one(t("part"), "parts.Brand1[1-3].p*", "p_size"))
+    patterns = patterns.unionByName(one(t("nation"), "r", "n_regionkey", ".n", "n_nationkey", ".c*1*")).unionByName(spark.range(1).select(F.explode(F.array(F.lit("parts"), F.lit("*9*9*"))).alias("pattern")))
+    return search.match_globs(synth.nodes(spark, sf_dir), patterns)
+
+
 @query("sample_edges", sample.values(sample.EDGES, "caller, type, callee"))
 def sample_edges(spark, sf_dir):
     return resolve.build(parse.events_of(sample.files(spark)))[1]
