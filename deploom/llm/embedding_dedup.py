@@ -28,6 +28,8 @@ MAX_FIT_VECTORS = 20_000
 TABLES, MOST_TABLES, WIDTHS = 16, 64, (16, 12, 8, 6, 4)
 #: Share of the sample's pairs at the limit that tables must find; sampled vectors that pairs are made from or looked for among, at most.
 RECALL, TRIALS = 0.97, 4000
+#: Pairs of the sample near the limit that are looked at, at most.
+NEAR_PAIRS = 20_000
 BLOCK = 4096
 RUN = 32
 
@@ -57,6 +59,8 @@ def fit_rotations(x: np.ndarray, steps: int = 20, seed: int = 11):
 
 def codes(x: np.ndarray, mean: np.ndarray, matrix: np.ndarray, width: int) -> np.ndarray:
     """(n, tables) substrings of `width` bits, of vectors scaled to length 1."""
+    if not width:
+        return np.zeros((len(x), 1), np.uint16)
     bits = ((x - mean) @ matrix >= 0).reshape(len(x), -1, width)
     return (bits @ (1 << np.arange(width))).astype(np.uint16)
 
@@ -75,11 +79,15 @@ def pairs_at(x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
     own = x[:TRIALS]
     close = own @ own.T
     i, j = np.nonzero(np.triu((close >= limit) & (close < limit + (1 - limit) / 4), 1))
+    if len(i) > NEAR_PAIRS:
+        chosen = rng.choice(len(i), NEAR_PAIRS, replace=False)
+        i, j = i[chosen], j[chosen]
     return np.concatenate([a, own[i]]), np.concatenate([limit * a + np.sqrt(1 - limit * limit) * away, own[j]])
 
 
 def fitted_tables(x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """(mean, matrix, width): as many tables, and substrings as wide, as find RECALL of pairs_at(x, limit)."""
+    """(mean, matrix, width): as many tables, and substrings as wide, as find RECALL of pairs_at(x, limit). Width 0 is one table for all, by which
+    every pair is compared once; it is taken where other tables would compare as many pairs."""
     d = x.shape[1]
     # Rotations suit the vectors that they were fitted on best, so others measure them.
     held = np.arange(len(x)) % 4 == 0
@@ -93,9 +101,19 @@ def fitted_tables(x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray,
                 columns = np.concatenate([columns, next(more)], axis=1)
             matrix = columns[:, : tables * width]
             if not len(a) or (codes(a, mean, matrix, width) == codes(b, mean, matrix, width)).any(axis=1).mean() >= RECALL:
-                return mean, matrix, width
+                return (mean, matrix, width) if compared(x, mean, matrix, width) < 1 else (mean, matrix, 0)
             tables += 4
-    return mean, matrix, WIDTHS[-1]
+    return mean, matrix, 0
+
+
+def compared(x: np.ndarray, mean: np.ndarray, matrix: np.ndarray, width: int) -> float:
+    """How often the tables compare two vectors of the sample, on average: the share of all vectors that each one meets."""
+    if len(x) < 2:
+        return 0.0
+    rng = np.random.default_rng(13)
+    i, j = rng.integers(0, len(x), (2, TRIALS))
+    own = codes(x, mean, matrix, width)
+    return float((own[i] == own[j])[i != j].sum(axis=1).mean()) if (i != j).any() else 0.0
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -170,7 +188,7 @@ def near_vectors(vectors: DataFrame, limit: float = 0.93, id_col: str = "vec_id"
     fit_on = np.concatenate([padded(c) for c in sample.chunks if len(c)] or [np.zeros((0, d))])
     order = np.lexsort(fit_on.T[:8]) if len(fit_on) else []
     mean, matrix, width = fitted_tables(unit(fit_on[order]) if len(fit_on) else fit_on, limit)
-    tables = matrix.shape[1] // width
+    tables = matrix.shape[1] // width if width else 1
 
     def index(batches):
         for batch in batches:

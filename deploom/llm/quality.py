@@ -161,7 +161,8 @@ def held_out(doc_id):
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> AdditiveModel:
-    """Fits on at most max_rows labelled rows, held-out ids excluded. Labels that are null, or whose doc_id is null or absent, teach nothing."""
+    """Fits on at most max_rows labelled rows, held-out ids excluded. Labels that are null, or whose doc_id is null or absent, teach nothing. Of rows that
+    repeat an id, that of the least text teaches, so that an id counts once for each label however many rows have it."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     share = min(1.0, 0.9 * max_rows / max(1, known.count()))
@@ -172,7 +173,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> A
             x = [features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
-    chosen = docs.select(docs["doc_id"].alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(known), "doc_id").select("text", "quality")
+    chosen = docs.select(docs["doc_id"].alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(known), "doc_id")
+    chosen = chosen.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("text", "quality")
     rows = chosen.mapInArrow(run, "y int, x array<double>").toArrow()
     x = np.array(rows.column("x").combine_chunks().flatten(), float).reshape(-1, len(FEATURES))
     y = rows.column("y").to_numpy().astype(float)

@@ -322,6 +322,15 @@ def test_quality_held_out(spark):
     assert len(unseen) > 50 and np.mean([p == y for p, y in unseen]) > 0.95
 
 
+def test_repeated_ids_teach_once(spark):
+    """However many rows have a labelled id, one is fitted on."""
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(k, f"other {k}") for k in range(2, 40)], "doc_id long, text string").repartition(4)
+    once = docs.groupBy("doc_id").agg({"text": "min"}).toDF("doc_id", "text")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 40)], "doc_id long, quality int, toxic int")
+    a, b = quality.learn(docs, labels), quality.learn(once, labels)
+    assert a.base == b.base and all((x == y).all() for x, y in zip(a.tables, b.tables, strict=True))
+
+
 def test_quality_cases(spark):
     docs = hard(spark)
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0), (99, 0)], "doc_id long, quality int")
