@@ -7,14 +7,12 @@ inner products and norms.
 Rows are dealt by their nearest of a few sampled vectors, in groups of about TREE_ROWS, and each group is a tree. A page holds up to PAGE entries. An
 entry of an inner page is a routing vector with its covering radius and the distance to the routing vector of its page; an entry of a leaf is a row with
 that distance. Search takes pages in order of the least distance they can hold, and passes over entries by |d(q, parent) - d(parent, entry)| before any
-product is computed. It ends when no page can hold a row that ranks among the k best; these are carried from tree to tree of a task. Rows are ranked by exact
-whole numbers; distances only rule out.
+product is computed. It ends when no page can hold a row that ranks among the k best; these are carried from tree to tree of a task. The queries of a block
+search a tree together, so that a page read by many of them is one product of matrices. Rows are ranked by exact whole numbers; distances only rule out.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -111,49 +109,83 @@ class Tree:
         out.order, out.entry_up = np.arange(t.num_rows), t.column("entry_up").to_numpy()
         return out
 
-    def search(self, q: np.ndarray, q_id: int, best: Best) -> int:
-        """Adds to best the rows that rank among its k, but those of the id q_id; the number of products computed."""
-        y = q.astype(np.float64)
-        q2 = float(y @ y)
+    def pages(self, y: np.ndarray, far: np.ndarray, away) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, leaf, distance of the leaf's routing vector, least distance in it) of leaves that may hold a row within far of a query."""
+        every = np.arange(len(y))
+        out, todo = [], [(0, every, away(every, self.row[:1])[:, 0], np.zeros(len(y)))]
+        while todo:
+            node, own, d, least = todo.pop()
+            least = np.maximum(least, d - self.radius[node])
+            at = ~(least > far[own])
+            own, d, least = own[at], d[at], least[at]
+            if not len(own):
+                continue
+            if self.leaf[node]:
+                out.append((own, np.full(len(own), node), d, least))
+                continue
+            kids = np.arange(self.first[node], self.first[node] + self.count[node])
+            near = ~(np.abs(d[:, None] - self.up[kids]) - self.radius[kids] > far[own][:, None])
+            kids, near = kids[near.any(axis=0)], near[:, near.any(axis=0)]
+            to = away(own, self.row[kids])
+            todo += [(int(k), own[m], to[m, j], least[m]) for j, (k, m) in enumerate(zip(kids, near.T, strict=True))]
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))
+
+    def search(self, x: np.ndarray, q_ids: np.ndarray, best: list[Best]) -> int:
+        """Adds to the best of each query, a row of x, the rows that rank among them, but those of its own id; the number of products with rows.
+
+        Every query reads its pages by falling nearness, a few in a round and twice as many in the next, and stops when the nearest one left is too far. The
+        queries that read a page in one round are taken together.
+        """
+        y = x.astype(np.float64)
+        q2 = (y * y).sum(1)
         slack = SLACK * (np.sqrt(q2) + np.sqrt(self.top2))
+        far, floor = np.full(len(y), np.inf), np.full(len(y), -np.inf)
         done = 0
 
-        def away(rows) -> np.ndarray:
-            return np.sqrt(np.maximum(q2 + self.top2 - 2 * (self.floats[rows] @ y), 0))
-
-        def limit() -> float:
-            score = best.floor()
-            return np.inf if score is None else float(np.sqrt(max(q2 + self.top2 - 2 * float(score), 0.0))) + slack
-
-        d = float(away(self.row[:1])[0])
-        heap = [(max(d - self.radius[0], 0.0), 0, d)]
-        bound = limit()
-        while heap:
-            least, node, d = heapq.heappop(heap)
-            if least > bound:
-                break
-            a, b = int(self.first[node]), int(self.first[node] + self.count[node])
-            if self.leaf[node]:
-                near = np.flatnonzero(~(np.abs(d - self.entry_up[a:b]) > bound)) + a
-                done += len(near)
-                near = near[self.ids[near] != q_id]
-                if len(near):
-                    scores, floor = dots(self.x[near], q), best.floor()
-                    if floor is not None:
-                        keep = np.asarray(scores >= floor, bool)
-                        near, scores = near[keep], scores[keep]
-                    if len(near):
-                        best.add(scores, self.ids[near])
-                        bound = limit()
-                continue
-            kids = np.arange(a, b)
-            kids = kids[~(np.abs(d - self.up[a:b]) - self.radius[a:b] > bound)]
-            if len(kids):
-                done += len(kids)
-                to = away(self.row[kids])
-                for k, dist, low in zip(kids.tolist(), to.tolist(), np.maximum(to - self.radius[kids], least).tolist(), strict=True):
-                    if not low > bound:
-                        heapq.heappush(heap, (low, k, dist))
+        def away(own, rows) -> np.ndarray:
+            return np.sqrt(np.maximum(q2[own][:, None] + self.top2 - 2 * (y[own] @ self.floats[rows].T), 0))
+
+        def limit(own) -> None:
+            for i in own:
+                score = best[i].floor()
+                if score is not None:
+                    floor[i] = float(score) - abs(float(score)) * 1e-12
+                    far[i] = float(np.sqrt(max(q2[i] + self.top2 - 2 * float(score), 0.0))) + slack[i]
+
+        limit(range(len(y)))
+        own, leaf, dist, least = self.pages(y, far, away)
+        order = np.lexsort((least, own))
+        own, leaf, dist, least = own[order], leaf[order], dist[order], least[order]
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        low, high = 0, 4
+        while low <= place.max(initial=-1):
+            now = np.flatnonzero((place >= low) & (place < high) & ~(least > far[own]))
+            low, high = high, 2 * high
+            if not len(now):
+                break  # pages further on are no nearer
+            now = now[np.argsort(leaf[now], kind="stable")]
+            cuts = np.flatnonzero(np.r_[True, np.diff(leaf[now]) > 0, True])
+            found = []
+            for c, e in zip(cuts[:-1], cuts[1:], strict=True):
+                qs, a = own[now[c:e]], int(self.first[leaf[now[c]]])
+                b = a + int(self.count[leaf[now[c]]])
+                near = ~(np.abs(dist[now[c:e]][:, None] - self.entry_up[a:b]) > far[qs][:, None])
+                rows = np.flatnonzero(near.any(axis=0))
+                if not len(rows):
+                    continue
+                done += len(rows) * len(qs)
+                scores = dots(self.x[a:b][rows], x[qs].T)
+                ids = self.ids[a:b][rows]
+                r, q = np.nonzero(near[:, rows].T & (ids[:, None] != q_ids[qs]) & ~(scores.astype(np.float64) < floor[qs]))
+                found.append((qs[q], scores[r, q], ids[r]))
+            if found:
+                qs, scores, ids = (np.concatenate(f) for f in zip(*found, strict=True))
+                by = np.argsort(qs, kind="stable")
+                qs, scores, ids = qs[by], scores[by], ids[by]
+                cuts = np.flatnonzero(np.r_[True, np.diff(qs) > 0, True]) if len(qs) else [0]
+                for c, e in zip(cuts[:-1], cuts[1:], strict=True):
+                    best[qs[c]].add(scores[c:e], ids[c:e])
+                limit(np.unique(qs).tolist())
         return done
 
 
@@ -256,8 +288,7 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, scale: int = 1024, id_c
             held.clear()
             held[no] = Tree.of(t, d, scale)
         state = state or Top(query_rows, d, scale, k)
-        for x, own, best in zip(state.x, state.ids.tolist(), state.best, strict=True):
-            held[no].search(x, own, best)
+        held[no].search(state.x, state.ids, state.best)
         return state
 
     found = meet(trees, blocks, work, "qno long, score long, vec_id long", "mtree-found")

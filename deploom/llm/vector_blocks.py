@@ -54,9 +54,9 @@ def whole(x: np.ndarray, scale: int) -> np.ndarray:
 
 
 def dots(x: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of x with a, both made by whole()."""
+    """Exact inner products of the rows of x with a vector, or with the columns of a matrix, both made by whole()."""
     if not x.size:
-        return np.zeros(len(x), np.int64)
+        return np.zeros((len(x), *a.shape[1:]), np.int64)
     if x.dtype != object and a.dtype != object:
         bound = float(np.abs(x).max()) * float(np.abs(a).max()) * len(a)
         if bound < 1 << 53:
@@ -114,8 +114,9 @@ def meet(blocks: DataFrame, queries: DataFrame, work: Callable, out_schema: str,
     n = partitions(spark)
     right = queries.select(F.col("no").alias("q_no"), F.col("data").alias("q_data"))
     if size <= BROADCAST_BYTES:
-        left = blocks.select("no", "data").repartition(n, "no").withColumn("salt", F.lit(0))
-        pairs = left.join(F.broadcast(right.withColumn("salt", F.lit(0))), "salt")
+        one = F.lit(1)  # one group, by an expression of the row, so that this stays a hash join
+        left = blocks.select("no", "data").repartition(n, "no").withColumn("salt", F.pmod("no", one))
+        pairs = left.join(F.broadcast(right.withColumn("salt", F.pmod("q_no", one))), "salt")
     else:
         groups = max(n, -(-blocks.count() // GROUP_BLOCKS))
         left = blocks.select("no", "data", F.pmod(F.xxhash64("no"), F.lit(groups)).alias("salt"))
