@@ -13,7 +13,7 @@ from deploom.functions import ids as I
 from deploom.functions.glob import to_regex
 from deploom.functions.storage import folder_of, shared_dir, written
 from deploom.operators import changes, filters, finalize, flow, incremental, intervals, resolve, search, selector, stats, traverse, types, view
-from deploom.plans import feature_events, features, sample, synth
+from deploom.plans import feature_events, features, projected_sources, sample, synth
 from deploom.sources import parse
 from deploom.streaming import status
 
@@ -601,6 +601,57 @@ def many_globs(spark, sf_dir):
     return search.match_globs(synth.nodes(spark, sf_dir), patterns)
 
 
+def _projected(spark, sf_dir) -> DataFrame:
+    return parse.events_of(projected_sources.files(spark, sf_dir))
+
+
+def _by_tables(name: str, sql: str):
+    return query(name, f"WITH {projected_sources.SQL} {sql}")
+
+
+@_by_tables("source_scopes", projected_sources.SCOPES)
+def source_scopes(spark, sf_dir):
+    s = parse.scopes(_projected(spark, sf_dir))
+    return s.select("file", "qualname", "parent_qualname", "name", "scope_type", F.array_join("parameters", ",").alias("parameters"), F.array_join("bases", ",").alias("bases"), "docstring", "line", "end_line")
+
+
+@_by_tables("source_definitions", projected_sources.DEFINITIONS)
+def source_definitions(spark, sf_dir):
+    return parse.definitions(_projected(spark, sf_dir)).select("file", "scope", "qualname", "name", "def_type", "line").distinct()
+
+
+@_by_tables("source_imports", projected_sources.IMPORTS)
+def source_imports(spark, sf_dir):
+    i = parse.imports(_projected(spark, sf_dir))
+    return i.select("file", "source_module", F.array_join("imported_names", ",").alias("names"), F.col("aliases")[F.col("source_module")].alias("alias"), "is_type_checking", "line")
+
+
+@_by_tables("source_uses", projected_sources.USES)
+def source_uses(spark, sf_dir):
+    return parse.uses(_projected(spark, sf_dir)).drop("seq")
+
+
+@_by_tables("source_bindings", projected_sources.BINDINGS)
+def source_bindings(spark, sf_dir):
+    return parse.bindings(_projected(spark, sf_dir)).drop("seq")
+
+
+@_by_tables("source_edges", projected_sources.EDGES)
+def source_edges(spark, sf_dir):
+    """Uses, calls through the types of variables, types of what functions return, superclasses and imports of all files."""
+    return resolve.build(_projected(spark, sf_dir))[1]
+
+
+@_by_tables("source_nodes", projected_sources.NODES)
+def source_nodes(spark, sf_dir):
+    return resolve.build(_projected(spark, sf_dir))[0].select("id", "object_type", "origin")
+
+
+@_by_tables("source_flow_nodes", projected_sources.FLOW_NODES)
+def source_flow_nodes(spark, sf_dir):
+    return flow.flow_graphs(_projected(spark, sf_dir))[0].select("owner", "type", "text", "line")
+
+
 @query("sample_edges", sample.values(sample.EDGES, "caller, type, callee"))
 def sample_edges(spark, sf_dir):
     return resolve.build(parse.events_of(sample.files(spark)))[1]

@@ -22,12 +22,16 @@ FILES = "path string, rel_path string, lang string, module string, aliases map<s
 JS_MANIFESTS, RS_MANIFESTS = {"package.json", "tsconfig.json"}, {"Cargo.toml"}
 
 
+#: Folders that are not read, fixed values; names that begin with a dot are left out besides.
+EXCLUDED = ("__pycache__", "venv", "node_modules", "dist", "build", "static", "coverage", "target")
+
+
 @dataclass
 class Config:
     """What a scan takes. Keys of a configuration file replace defaults as a whole."""
 
     extensions: list[str] = field(default_factory=lambda: [".py", ".js", ".jsx", ".ts", ".tsx", ".rs"])
-    exclude_dirs: list[str] = field(default_factory=lambda: ["node_modules", "__pycache__", "venv", "env", "dist", "build", "target", "site-packages"])
+    exclude_dirs: list[str] = field(default_factory=lambda: list(EXCLUDED))
     exclude_patterns: list[str] = field(default_factory=list)
 
 

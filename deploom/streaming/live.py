@@ -18,7 +18,8 @@ from deploom.operators.resolve import build
 from deploom.sources.parse import events_of
 
 CHANGES = "path string, event_type string, ts timestamp, seq long"
-IGNORED = [".git", ".hg", ".svn", "node_modules", "__pycache__", "venv", ".venv", "env", "dist", "build", "target", ".idea"]
+#: Folders whose changes are passed over, fixed values.
+IGNORED = ["__pycache__", ".git", ".venv", "venv", "node_modules", ".mypy_cache", ".pytest_cache", ".tox", "dist", "build", "egg-info", "target"]
 TABLES = ("events", "nodes", "edges", "statuses", "edge_statuses")
 
 
