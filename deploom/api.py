@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,15 +16,13 @@ from deploom.sources.scan import Config, fingerprint, load_config, scan
 
 
 class Project:
-    """A parsed project; nodes and edges are written once and kept by fingerprint."""
+    """A project whose nodes and edges are kept by fingerprint. Where a snapshot of the files as they are exists, none is read or parsed; texts and events
+    are then made when they are first asked for."""
 
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None, cache: str | None = None):
-        self.spark = spark
-        config = config or load_config(path)
-        files = scan(spark, path, config)
-        self.files = written(files)
-        self.events = written(events_of(self.files))
-        mark = fingerprint(self.files, more=repr(config)).first()[0]
+        self.spark, self.path = spark, path
+        self.config = config = config or load_config(path)
+        mark = fingerprint(scan(spark, path, config, texts=False), more=repr(config)).first()[0]
         folder = f"{(cache or shared_dir(spark)).rstrip('/')}/graph-{mark}"
         try:
             self.nodes, self.edges = spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
@@ -35,6 +34,14 @@ class Project:
             edges.write.mode("overwrite").parquet(f"{folder}/edges")
             self.nodes, self.edges = spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
 
+    @cached_property
+    def files(self) -> DataFrame:
+        return written(scan(self.spark, self.path, self.config))
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return written(events_of(self.files))
+
     def graph(self, select: str | None = None, exclude: str | None = None, states: list[str] | None = None, include_standard: bool = False, include_third_party: bool = False) -> tuple[DataFrame, DataFrame]:
         """Origins first, then the selection, then states."""
         nodes, edges = filters.origin_tree(self.nodes, self.edges, include_standard, include_third_party)

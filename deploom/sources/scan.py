@@ -138,8 +138,8 @@ def rust_module(rel: str, manifests: set[str], project_name: str) -> str:
     return ".".join([crate, *below, *([] if stem in ("main", "lib", "mod") else [stem])])
 
 
-def scan(spark: SparkSession, project: str, config: Config | None = None) -> DataFrame:
-    """One row for each file with its text; a file that can't be read as UTF-8 has an error and no text."""
+def scan(spark: SparkSession, project: str, config: Config | None = None, texts: bool = True) -> DataFrame:
+    """One row for each file with its text; a file that can't be read as UTF-8 has an error and no text. Without texts files aren't opened."""
     config = config or load_config(project)
     found, js, rs = walk(project, config)
     known, rows = set(found), []
@@ -152,7 +152,7 @@ def scan(spark: SparkSession, project: str, config: Config | None = None) -> Dat
             above = rel.split("/")[:-1]
             own = next((aliases[f] for f in ("/".join(above[:k]) for k in range(len(above), -1, -1)) if f in js), {}) if lang not in ("python", "rust") else {}
             rows.append((os.path.abspath(os.path.join(project, rel)), rel, lang, module, own))
-    return read_files(spark, rows)
+    return read_files(spark, rows, texts)
 
 
 def open_file(spark: SparkSession, project: str, rel: str, config: Config | None = None) -> DataFrame:
@@ -164,8 +164,8 @@ def open_file(spark: SparkSession, project: str, rel: str, config: Config | None
     return scan(spark, project, one).where(F.col("rel_path") == rel)
 
 
-def read_files(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """FILES of (path, rel_path, lang, module, aliases); contents are read in tasks."""
+def read_files(spark: SparkSession, rows: list[tuple], texts: bool = True) -> DataFrame:
+    """FILES of (path, rel_path, lang, module, aliases); contents are read in tasks, and times alone without texts."""
     head = "path string, rel_path string, lang string, module string, aliases map<string,string>"
     listed = spark.createDataFrame(rows, head).repartition(max(1, len(rows) // 64 + 1))
 
@@ -174,7 +174,7 @@ def read_files(spark: SparkSession, rows: list[tuple]) -> DataFrame:
             sources, times, errors = [], [], []
             for p in batch.column(0).to_pylist():
                 try:
-                    sources.append(Path(p).read_bytes().decode("utf-8"))
+                    sources.append(Path(p).read_bytes().decode("utf-8") if texts else None)
                     times.append(os.stat(p).st_mtime_ns)
                     errors.append(None)
                 except (OSError, UnicodeDecodeError) as e:

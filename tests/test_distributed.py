@@ -213,3 +213,23 @@ def test_many_terms_and_globs(spark):
     globs = ["*", "", None, "a", "a*", "*b", "pkg*.Class", "pkg.mod.*", "p?g.*", "*mod*", "[ap]*", "x[[]1].y", "*[]]z", "[!a]*", "pkg.mod.Clas[s-t]", "a[*]b", "*.[Cé]*", "pkg.mod.OTHER", "x[1"]
     got = {tuple(r) for r in search.match_globs(df, spark.createDataFrame([(g,) for g in globs], "pattern string")).collect()}
     assert got == {(g, i) for g in globs if g is not None for i in ids if fnmatch.fnmatchcase(i, g)}
+
+
+def test_cache_hit_parses_nothing(spark, tmp_path, monkeypatch):
+    """A second look at unchanged files takes the kept graph without opening one; a changed file is parsed again."""
+    from deploom import api
+
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.py").write_text("def f():\n    return 1\n")
+    first = api.Project(spark, str(tmp_path / "p"), cache=str(tmp_path / "c"))
+    want = {r.id for r in first.nodes.collect()}
+
+    def never(*_):
+        raise AssertionError("parsed")
+
+    with monkeypatch.context() as m:
+        m.setattr(api, "events_of", never)
+        assert {r.id for r in api.Project(spark, str(tmp_path / "p"), cache=str(tmp_path / "c")).nodes.collect()} == want
+    (tmp_path / "p" / "a.py").write_text("def g():\n    return 1\n")
+    os.utime(tmp_path / "p" / "a.py", ns=(1, 1))
+    assert "a.g" in {r.id for r in api.Project(spark, str(tmp_path / "p"), cache=str(tmp_path / "c")).nodes.collect()}
