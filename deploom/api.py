@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from deploom.operators import filters, finalize, selector, stats
+from deploom.operators import document, filters, selector, stats
 from deploom.operators.flow import attach, flow_graphs
 from deploom.operators.resolve import build
 from deploom.functions.storage import shared_dir, written
@@ -61,27 +63,41 @@ class Project:
         """Nodes with the flow graphs of functions and modules."""
         return attach(self.nodes, *self.flow())
 
-    def export(self, output: str | None = None, pretty: bool = False, edges_only: bool = False, **options) -> str:
-        """The JSON of graph(**options), without flow graphs; written to a file as well if one is named."""
+    def export(self, output: str | None = None, pretty: bool = False, edges_only: bool = False, **options) -> str | None:
+        """The JSON of graph(**options), without flow graphs. With an output file it goes there line by line and none is returned; a pretty one passes through the driver whole."""
         nodes, edges = self.graph(**options)
-        text = to_json(filters.strip_flow(nodes), edges, pretty, edges_only)
-        if output:
-            with open(output, "w", encoding="utf-8") as f:
-                f.write(text)
-        return text
+        nodes = filters.strip_flow(nodes)
+        if not output:
+            return to_json(nodes, edges, pretty, edges_only)
+        with open(output, "w", encoding="utf-8") as f:
+            if pretty:
+                f.write(to_json(nodes, edges, pretty, edges_only))
+            else:
+                f.writelines(f"{x}\n" for x in json_lines(nodes, edges, edges_only))
+        return None
+
+    def export_folder(self, path: str, **options) -> None:
+        """The same document as text files in a folder of shared storage, written by tasks: joined by name they are the JSON."""
+        nodes, edges = self.graph(**options)
+        document.write_document(document.document(filters.strip_flow(nodes), edges), path)
+
+    def catalog_document(self, include_standard: bool = True, include_third_party: bool = True, states: list[str] | None = None) -> DataFrame:
+        """(section, place, text): lines of the nested catalog with the number of its nodes."""
+        return document.catalog_document(filters.api_catalog(self.nodes, self.edges, include_standard, include_third_party, states))
+
+
+def json_lines(nodes: DataFrame, edges: DataFrame, edges_only: bool = False) -> Iterator[str]:
+    """The lines of a graph's document, or of the list of its edges, a partition at a time on the driver."""
+    lines = document.document(nodes, edges)
+    if not edges_only:
+        yield from document.stream(lines)
+        return
+    yield "["
+    yield from document.stream(lines.where(F.col("section") == document.EDGES))
+    yield "]"
 
 
 def to_json(nodes: DataFrame, edges: DataFrame, pretty: bool = False, edges_only: bool = False) -> str:
-    """The nested document of a graph that fits the driver: what an export is for. Null fields are left out."""
-    links = [{k: v for k, v in r.asDict().items() if v is not None} for r in edges.orderBy("caller", "callee", "type").toLocalIterator()]
-    if edges_only:
-        return json.dumps(links, indent=2 if pretty else None)
-    known = finalize.with_parents(nodes.drop("parent", "depth")).orderBy("depth", "id")
-    items = {r["id"]: {k: v for k, v in r.asDict().items() if v is not None and k not in ("parent", "depth")} | {"_p": r["parent"]} for r in known.toLocalIterator()}
-    roots, kinds = [], {}
-    for x in items.values():
-        kinds[x.get("object_type", "unknown")] = kinds.get(x.get("object_type", "unknown"), 0) + 1
-        above = items.get(x.pop("_p"))
-        (above.setdefault("children", []) if above else roots).append(x)
-    data = {"nodes": roots, "edges": links, "metadata": {"node_count": len(items), "edge_count": len(links), "node_types": kinds}}
-    return json.dumps(data, indent=2 if pretty else None, default=str)
+    """The nested document as one text, for a graph that fits the driver. Null fields are left out."""
+    text = "".join(json_lines(nodes, edges, edges_only))
+    return json.dumps(json.loads(text), indent=2) if pretty else text

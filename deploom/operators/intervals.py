@@ -46,6 +46,11 @@ def prune(numbered: DataFrame, bad: DataFrame) -> DataFrame:
     return numbered.join(gone, "id", "left_anti")
 
 
+def sizes(numbered: DataFrame) -> DataFrame:
+    """(id, n_below): how many ids lie below each, at any depth."""
+    return numbered.select("id", (F.col("end") - F.col("pre")).alias("n_below"))
+
+
 def listing(nodes: DataFrame, flat: DataFrame) -> DataFrame:
     """flat, which has `id`, with its number in pre-order as `place`, the order that a walk of the tree gives."""
     return flat.join(number(nodes).select("id", F.col("pre").alias("place")), "id")

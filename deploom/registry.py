@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from deploom.functions import ids as I
 from deploom.functions.glob import to_regex
 from deploom.functions.storage import folder_of, shared_dir, written
-from deploom.operators import changes, filters, finalize, flow, incremental, intervals, resolve, search, selector, stats, traverse, types, view
+from deploom.operators import changes, document, filters, finalize, flow, incremental, intervals, resolve, search, selector, stats, traverse, types, view
 from deploom.plans import feature_events, features, projected_sources, sample, synth
 from deploom.sources import parse
 from deploom.streaming import status
@@ -144,6 +144,63 @@ def catalog_api(spark, sf_dir):
     return filters.api_catalog(nodes, edges, True, False)
 
 
+#: Nested texts, built from the deepest level up; their lines are those of the document.
+NESTED = f"""{synth.SQL},
+obj AS (SELECT id, array_to_string(string_split(id, '.')[:-2], '.') AS parent, len(string_split(id, '.')) AS d, FIELDS AS head FROM nodes WHERE KEPT),
+t4 AS (SELECT id, parent, head || 'LEAF}}' AS text FROM obj WHERE d = 4)""" + "".join(
+    f""",
+t{d} AS (SELECT o.id, o.parent, o.head || coalesce(',"children":[' || chr(10) || k.text || ']', 'LEAF') || '}}' AS text FROM obj o
+  LEFT JOIN (SELECT parent, string_agg(text, chr(10) || ',' ORDER BY id) AS text FROM t{d + 1} GROUP BY parent) k ON k.parent = o.id WHERE d = {d})"""
+    for d in (3, 2, 1)
+) + """,
+roots AS (SELECT string_agg(text, chr(10) || ',' ORDER BY id) AS text FROM t1)"""
+
+
+def _nested(fields: str, kept: str = "true", leaf: str = "") -> str:
+    return NESTED.replace("FIELDS", fields).replace("KEPT", kept).replace("LEAF", leaf)
+
+
+def _lines(section: int, source: str) -> str:
+    return f"SELECT {section} AS section, unnest(range(len(string_split(text, chr(10))))) AS place, unnest(string_split(text, chr(10))) AS text FROM {source}"
+
+
+GRAPH_FIELDS = """'{"id":"' || id || '","object_type":"' || object_type || '"' || coalesce(',"origin":"' || origin || '"', '')"""
+CATALOG_FIELDS = """'{"id":"' || id || '","name":"' || string_split(id, '.')[-1] || '","label":"' || string_split(id, '.')[-1] || '","type":"' || object_type || '","origin":"'
+  || coalesce(origin, 'local') || '","parent":' || CASE WHEN contains(id, '.') THEN '"' || array_to_string(string_split(id, '.')[:-2], '.') || '"' ELSE 'null' END"""
+
+
+@query(
+    "graph_document",
+    f"""WITH {_nested(GRAPH_FIELDS)},
+links AS (SELECT string_agg('{{"caller":"' || caller || '","callee":"' || callee || '","type":"' || type || '"}}', chr(10) || ',' ORDER BY caller, callee, type) AS text FROM edges),
+kinds AS (SELECT string_agg('"' || object_type || '":' || n, ',' ORDER BY object_type) AS text FROM (SELECT object_type, count(*) AS n FROM nodes GROUP BY 1)),
+tail AS (SELECT '],"metadata":{{"node_count":' || (SELECT count(*) FROM nodes) || ',"edge_count":' || (SELECT count(*) FROM edges) || ',"node_types":{{' || text || '}}}}}}' AS text FROM kinds)
+SELECT 0 AS section, 0 AS place, '{{"nodes":[' AS text UNION ALL {_lines(1, 'roots')} UNION ALL SELECT 2, 0, '],"edges":[' UNION ALL {_lines(3, 'links')} UNION ALL SELECT 4, 0, text FROM tail""",
+)
+def graph_document(spark, sf_dir):
+    return document.document(*graph(spark, sf_dir))
+
+
+@query(
+    "catalog_document",
+    f"""WITH {_nested(CATALOG_FIELDS, "NOT starts_with(id, 'parts')", ',"children":[]')}
+SELECT 0 AS section, 0 AS place, '{{"nodes":[' AS text UNION ALL {_lines(1, 'roots')}
+UNION ALL SELECT 4, 0, '],"metadata":{{"node_count":' || count(*) || '}}}}' FROM obj""",
+)
+def catalog_document(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    return document.catalog_document(filters.api_catalog(nodes, edges, True, False))
+
+
+@query(
+    "catalog_counts",
+    f"""WITH {synth.SQL}, up AS (SELECT array_to_string(list_slice(string_split(id, '.'), 1, g), '.') AS id FROM nodes, range(1, 4) t(g) WHERE g < len(string_split(id, '.'))),
+c AS (SELECT id, count(*) AS n FROM up GROUP BY id) SELECT n.id, coalesce(c.n, 0) AS n_below FROM nodes n LEFT JOIN c USING (id)""",
+)
+def catalog_counts(spark, sf_dir):
+    return intervals.sizes(intervals.number(synth.nodes(spark, sf_dir)))
+
+
 @query("flat_listing", f"WITH {synth.SQL} SELECT id, object_type AS type, origin FROM nodes")
 def flat_listing(spark, sf_dir):
     return filters.flatten(synth.nodes(spark, sf_dir))

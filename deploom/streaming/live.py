@@ -95,7 +95,7 @@ class LiveGraph:
         self.save(version, log=self.spark.createDataFrame([(version, batch, source)], "version long, batch long, source string").coalesce(1))
         self.version = version
         old = [v for v, _, _ in log if v <= version - self.keep]
-        remove(self.spark, *[f"{self.folder}/{name}/v={v}" for v in old for name in ("log", *TABLES)])
+        remove(self.spark, *[f"{self.folder}/{name}/v={v}" for v in old for name in ("log", "document", *TABLES)])
         for call in self.after:
             call()
 

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import fnmatch
+import json
 import os
 import random
 
 import pytest
 
-from deploom.operators import changes, incremental, intervals, resolve, search, types
+from deploom.operators import changes, document, incremental, intervals, resolve, search, types
 from deploom.streaming import status
 
 START = dt.datetime(2024, 1, 1)
@@ -233,3 +234,50 @@ def test_cache_hit_parses_nothing(spark, tmp_path, monkeypatch):
     (tmp_path / "p" / "a.py").write_text("def g():\n    return 1\n")
     os.utime(tmp_path / "p" / "a.py", ns=(1, 1))
     assert "a.g" in {r.id for r in api.Project(spark, str(tmp_path / "p"), cache=str(tmp_path / "c")).nodes.collect()}
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_nested_document(spark, tmp_path, parts):
+    """Any forest, with ids whose parents are no nodes, against one nested in Python; written by tasks and read by the names of the files."""
+    rng = random.Random(parts)
+    ids = {".".join(rng.choice(["a", "b", "b1", "b-x", 'q"', "\u00e9"]) for _ in range(rng.randint(1, 6))) for _ in range(300)} | {"deep" + ".d" * k for k in range(40)} | {"gap.x.y", "gap.x.y.z"}
+    rows = [(i, rng.choice(["class", "module", None]), rng.choice([None, "p"])) for i in sorted(ids)]
+    edges = [(rng.choice(rows)[0], rng.choice(rows)[0], rng.choice(["calls", None])) for _ in range(200)]
+    n = spark.createDataFrame([*rows, rows[5], (None, "class", None)], "id string, object_type string, origin string")
+    e = spark.createDataFrame([*edges, edges[0]], "caller string, callee string, type string")
+
+    def bare(pairs):
+        return {k: v for k, v in pairs if v is not None}
+
+    def nest(i, full):
+        kids = [nest(k, full) for k in sorted(x for x in ids if x.rpartition(".")[0] == i)]
+        return full(i) | ({"children": kids} if kids or full is shown else {})
+
+    kinds = {i: (t, o) for i, t, o in rows}
+    plain = lambda i: bare([("id", i), ("object_type", kinds[i][0]), ("origin", kinds[i][1])])
+    roots = sorted((i for i in ids if i.rpartition(".")[0] not in ids), key=lambda i: (i.count("."), i))
+    document.write_document(document.document(n, e, parts), str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("part-*"))
+    data = json.loads("".join(f.read_text() for f in files))
+    counts = {}
+    for t, _ in kinds.values():
+        counts[t or "unknown"] = counts.get(t or "unknown", 0) + 1
+    shown = None
+    assert data["nodes"] == [nest(i, plain) for i in roots]
+    assert [tuple(map(x.get, ("caller", "callee", "type"))) for x in data["edges"]] == sorted([*edges, edges[0]], key=lambda x: (x[0], x[1], x[2] or ""))
+    assert data["metadata"] == {"node_count": len(ids), "edge_count": 201, "node_types": counts}
+
+    def shown(i):  # noqa: F811
+        name = i.rpartition(".")[2]
+        return {"id": i, "name": name, "label": name, "type": kinds[i][0], "origin": kinds[i][1] or "local", "parent": i.rpartition(".")[0] or None}
+
+    data = json.loads("".join(document.stream(document.catalog_document(n, parts))))
+    assert data == {"nodes": [nest(i, shown) for i in roots], "metadata": {"node_count": len(ids)}}
+    got = {r.id: r.n_below for r in intervals.sizes(intervals.number(n, parts)).collect()}
+    assert got == {i: sum(x.startswith(i + ".") for x in ids) for i in ids}
+
+
+def test_empty_document(spark):
+    n, e = spark.createDataFrame([], "id string, object_type string"), spark.createDataFrame([], "caller string, callee string, type string")
+    assert json.loads("".join(document.stream(document.document(n, e)))) == {"nodes": [], "edges": [], "metadata": {"node_count": 0, "edge_count": 0, "node_types": {}}}
+    assert json.loads("".join(document.stream(document.catalog_document(n)))) == {"nodes": [], "metadata": {"node_count": 0}}

@@ -1,6 +1,7 @@
 """Live analysis over restarts, clients, aliases of imports, the command line, inference through constructors."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,13 @@ def test_clients(spark, tmp_path):
     for text in ("", "[]", "{", '{"type": 1}', '{"action": "dismiss_change"}'):
         clients.receive(text, got.append)
     assert len(got) == n + 1
+    told = []
+    clients.connect(told.append, by_folder=True)
+    clients.receive('{"type": "request_graph"}', told.append)
+    assert len(told) == 2 and told[0] == told[1]
+    parts = sorted(Path(json.loads(told[0])["folder"]).glob("part-*"))
+    assert json.loads("".join(x.read_text() for x in parts)) == json.loads(clients.document())["data"]
+    clients.connected.remove(told.append)
 
 
 def test_import_aliases(spark, tmp_path):
