@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 
 import numpy as np
@@ -54,24 +55,24 @@ def materialize(df: DataFrame, tag: str, codec: str = "zstd", batch_rows: int |
             conf.unset(k) if v is None else conf.set(k, v)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.folder = path
-    for folders in _open:
+    for folders in _open.get():
         folders.add(path)
     return out
 
 
-#: Folders written inside each block of scratch() that is open.
-_open: list[set[str]] = []
+#: Folders written inside each block of scratch() that is open in this thread.
+_open: contextvars.ContextVar[tuple[set[str], ...]] = contextvars.ContextVar("open", default=())
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Removes the folders that materialize wrote inside the block when it ends, but for those taken out of the set that it gives."""
     folders: set[str] = set()
-    _open.append(folders)
+    token = _open.set((*_open.get(), folders))
     try:
         yield folders
     finally:
-        _open.remove(folders)
+        _open.reset(token)
         discard(spark, *folders)
 
 

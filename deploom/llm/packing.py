@@ -198,7 +198,8 @@ def pack_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_co
     """
     added = added or {}
     tokens = materialize(tokenise(docs, ranks, pattern, id_col, text_col, added), "pack-tokens")
-    texts = tokens.where("token is null")
+    # The place in its file tells repeated rows apart, and rows of null ids, so that no shard gets all of them.
+    texts = tokens.select("*", F.col("_metadata.row_index").alias("at")).where("token is null")
     # Bounded by the vocabulary and by SIGNATURES.
     counts = tokens.where("token is not null").groupBy("token").agg(F.sum("n").alias("df")).toArrow()
     layout = texts.groupBy("sig").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")).orderBy("sig").toPandas()
@@ -210,7 +211,7 @@ def pack_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_co
     shards = max(1, int(before[-1]) // SHARD_TOKENS)
     spark = docs.sparkSession
     places = spark.createDataFrame([(int(s), int(b), int(t)) for s, b, t in zip(layout["sig"], before, layout["tokens"], strict=False)], "sig int, before long, span long")
-    spread = F.pmod(F.xxhash64("id", "n"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    spread = F.pmod(F.xxhash64("id", "n", "at"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     shard = F.least(F.floor((F.col("before") + spread * F.col("span")) / F.lit(max(1.0, int(before[-1]) / shards))), F.lit(shards - 1)).cast("long")
     placed = texts.join(F.broadcast(places), "sig").select(shard.alias("shard"), "id", "n", "ids")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -75,16 +75,26 @@ def number_slots(df: DataFrame, shard: str, order: list[str], total: int) -> Dat
     """df with `slot`, gapless from 0 within each shard.
 
     A shard may hold any number of rows, so each is numbered in runs: a run is a range of hashes, its rows are numbered by a window,
-    and the rows before it come from the counts of the runs, which are few. total: rows of df, for the number of runs.
+    and the rows before it come from the counts of the runs, which are few. total: rows of df, for the number of runs. Rows that are equal in
+    all columns are one row with a count until they have their numbers, so that many copies of one are no long run; maps can't be
+    compared, so a df with one is numbered row by row.
     Ties (rows equal in all of `order`) get successive slots in any order. A column named slot is replaced; a null shard has slot null.
     """
     runs = max(16, total // ROWS_PER_RUN)
     # Columns of df travel in a struct, so that none can clash with those made here.
-    spread = df.select(F.struct(*[df[c] for c in df.columns if c != "slot"]).alias("row"), df[shard].alias("s"), F.pmod(digest(df[order[0]], 7), F.lit(runs)).cast("int").alias("r"))
-    counts = spread.groupBy("s", "r").agg(F.count("*").alias("n"))
+    run = F.pmod(digest(F.concat_ws(",", *[F.coalesce(df[c].cast("string"), F.lit("")) for c in order]), 7), F.lit(runs)).cast("int")
+    spread = df.select(F.struct(*[df[c] for c in df.columns if c != "slot"]).alias("row"), df[shard].alias("s"), run.alias("r"))
+    if "map<" in df.drop("slot").schema.simpleString():
+        spread = spread.withColumn("k", F.lit(1).cast("long"))
+    else:
+        spread = spread.groupBy("s", "r", "row").agg(F.count("*").alias("k"))
+    counts = spread.groupBy("s", "r").agg(F.sum("k").alias("n"))
     before = counts.select("s", "r", F.expr("sum(n) over (partition by s order by r rows between unbounded preceding and current row) - n").alias("before"))
-    numbered = spread.withColumn("at", F.expr(f"row_number() over (partition by s, r order by {', '.join(f'row.`{c}`' for c in order)})"))
-    return numbered.join(before, ["s", "r"]).select("row.*", (F.col("before") + F.col("at") - 1).cast("long").alias("slot"))
+    inside = f"partition by s, r order by {', '.join(f'row.`{c}`' for c in order)} rows between unbounded preceding and current row"
+    numbered = spread.withColumn("at", F.expr(f"sum(k) over ({inside})") - F.col("k"))
+    first = F.col("before") + F.col("at")
+    slots = F.coalesce(F.sequence(first, first + F.col("k") - 1), F.array_repeat(F.lit(None).cast("long"), F.col("k").cast("int")))
+    return numbered.join(before, ["s", "r"], "left").select("row", F.explode(slots).alias("slot")).select("row.*", "slot")
 
 
 def op9_jump_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
@@ -127,6 +137,6 @@ j AS (
 p AS (SELECT doc_id, max(now)::INTEGER AS grown_shard, max(last)::INTEGER AS shard FROM j GROUP BY doc_id),
 n AS (SELECT count(*) AS total FROM r)
 SELECT r.doc_id, r.size, r.text_crc32, 'key' AS law, p.shard, p.grown_shard,
-  row_number() OVER (PARTITION BY p.shard ORDER BY ('0x' || substr(h, 1, 7))::BIGINT % greatest(16, total // {ROWS_PER_RUN}), r.doc_id, r.text_crc32, r.size) - 1 AS slot
+  row_number() OVER (PARTITION BY p.shard ORDER BY ('0x' || substr(md5(concat(r.doc_id::VARCHAR, ',', text_crc32, ',', size)), 1, 7))::BIGINT % greatest(16, total // {ROWS_PER_RUN}), r.doc_id, r.text_crc32, r.size) - 1 AS slot
 FROM r JOIN p ON r.doc_id IS NOT DISTINCT FROM p.doc_id CROSS JOIN n
 """

@@ -58,8 +58,13 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     best = hits.groupBy("_u", "_t").agg(F.max(F.struct(F.length("_key").alias("n"), F.col("_key").alias("key"), F.col("_on")[0]["valid_from"].alias("since"), F.col("_on")[0]["action"].alias("action"))).alias("_b"))
     # Columns of captures travel in a struct, so that none can clash with those of the join.
     held = captures.select(captures[url].alias("_u"), captures[fetched].alias("_t"), F.struct(*[captures[c] for c in kept]).alias("_row"))
-    best = best.select(F.col("_u").alias("_bu"), F.col("_t").alias("_bt"), "_b")
-    out = held.join(best, (F.col("_u") == F.col("_bu")) & (F.col("_t") == F.col("_bt")), "left")
+    # Written, so that the join's side is a table, which a hot URL's captures are dealt over; those without a URL or date meet nothing and are
+    # dealt by their rows.
+    apart = F.when(F.col("_u").isNull() | F.col("_t").isNull(), F.xxhash64(F.to_json("_row"))).otherwise(0)
+    held = held.withColumn("_salt", apart)
+    best = best.select(F.col("_u").alias("_bu"), F.col("_t").alias("_bt"), "_b", F.lit(0).cast("long").alias("_bs"))
+    best = materialize(best, "url-best")
+    out = held.join(best, (F.col("_u") == F.col("_bu")) & (F.col("_t") == F.col("_bt")) & (F.col("_salt") == F.col("_bs")), "left")
     return out.select(
         "_row.*", F.col("_b.key").alias("matched_pattern"), F.col("_b.since").alias("listed_since"),
         F.coalesce(F.col("_b.action") == "block", F.lit(False)).alias("blocked"),

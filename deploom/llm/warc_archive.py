@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,15 @@ def payload_head(sha256: str, sha1: str, size: int) -> str:
     )
 
 
+def page_urn(page_id) -> str:
+    """The id as part of a URN: characters that a header can't hold, and the per cent sign, are written by their bytes."""
+    return quote(str(page_id), safe="")
+
+
 def record_head(page_id, url: str, sha1: str, kind: str, refers_to, size: int) -> bytes:
     """WARC and HTTP header blocks of a capture; a revisit's block has the HTTP headers alone."""
     target = "".join(c for c in (url or "urn:none") if c not in "\r\n")
+    page_id, refers_to = page_urn(page_id), page_urn(refers_to)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     more = f"WARC-Refers-To: <urn:page:{refers_to}>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n" if kind == "revisit" else ""
     length = len(http) + (size if kind == "response" else 0)
@@ -79,6 +86,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 0, file_bytes:
     Of records with equal payloads of at least min_revisit bytes, the one with the smallest page_id is a response and the others are
     revisits of it. Null html: an empty payload. Null url: urn:none. Null page_ids are preferred last; a group of only null ids is
     all responses. Rows that repeat the smallest page_id are all responses. Columns besides the three are ignored.
+    Ids may be any text: headers hold them with bytes other than letters, digits and `_.-~` as %XX, and reading undoes it.
     """
     data = F.encode(text_of(pages, "html"), "utf-8")
     rows = pages.select("page_id", text_of(pages, "html").alias("html"), F.sha2(data, 256).alias("digest"))
@@ -185,7 +193,7 @@ def read_records(spark: SparkSession, path: str, with_bytes: bool = True) -> Dat
                 payload = payload.as_py()
                 record, found = rebuilt(head.as_py(), payload)
                 refers = found.get("WARC-Refers-To")
-                row = (found["WARC-Type"], refers and refers.removeprefix("<urn:page:").removesuffix(">"), len(payload), found["WARC-Payload-Digest"].removeprefix("sha1:"))
+                row = (found["WARC-Type"], refers and unquote(refers.removeprefix("<urn:page:").removesuffix(">")), len(payload), found["WARC-Payload-Digest"].removeprefix("sha1:"))
                 out.append((*row, record) if with_bytes else row)
             types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()][: len(names) - 1]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in out], t) for k, t in enumerate(types)]], names)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 from helpers import DATA, rows
+from pyspark.sql import functions as F
 
 from deploom.llm import exact_dedup, sharding, url_filter
 from deploom.llm.exact_dedup import CountingQuotientFilter
@@ -113,6 +114,30 @@ def test_sharding_cases(spark):
     assert all(r.grown_shard == 500 for r in moved) and len(moved) < 30
 
 
+def test_slots_of_hot_keys(spark):
+    """A third of all rows repeats one row, a third has no id, some have no shard: numbers are gapless, and runs hold few distinct rows."""
+    data = [(7, "same")] * 300 + [(None, f"t{k}") for k in range(300)] + [(k, "x") for k in range(300)]
+    df = sharding.shard_rows(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", 3)
+    df = df.withColumn("shard", F.when(F.col("text") != "t5", F.col("shard")))
+    out = sharding.number_slots(df, "shard", ["doc_id", "text"], len(data)).collect()
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.shard].append(r.slot)
+    assert len(out) == 900 and by.pop(None) == [None]
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    maps = spark.sql("select id as doc_id, map('a', id % 2) as m, 0 as shard from range(20)")
+    assert sorted(r.slot for r in sharding.number_slots(maps, "shard", ["doc_id"], 20).collect()) == list(range(20))
+
+
+def test_hot_urls(spark):
+    """Most captures are of one URL, or of none: each comes back once, judged."""
+    entries = spark.sql("select 'a.com' as pattern, 'block' as action, date'2024-01-01' as listed_on")
+    urls = "case when id % 3 = 0 then 'http://a.com/' when id % 3 = 1 then null else concat('http://b.com/', id) end"
+    captures = spark.sql(f"select id, {urls} as url, date'2024-02-01' as fetched_on from range(900)")
+    out = url_filter.judge(captures, entries).collect()
+    assert sorted((r.id, r.blocked) for r in out) == [(k, k % 3 == 0) for k in range(900)]
+
+
 def test_url_query(spark, duck):
     got = url_filter.op1_temporal_url_filter(spark, f"{DATA}/sf0.001").toPandas()
     want = duck().sql(url_filter.ORACLE).df()

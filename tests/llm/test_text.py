@@ -301,6 +301,15 @@ def test_archive_least_size_and_empty(spark, tmp_path):
     assert warc_archive.read_records(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_archive_of_any_ids(spark, tmp_path):
+    """Ids that would break a header come back as they are."""
+    ids = ["a\r\nX: y", "b>", "c %41 é", "d"]
+    df = spark.createDataFrame([(i, "u", h) for i in ids for h in (i, "same")], "page_id string, url string, html string")
+    warc_archive.write_archive(df, str(tmp_path / "a"))
+    out = warc_archive.read_records(spark, str(tmp_path / "a")).collect()
+    assert len(out) == 8 and sorted((r.page_id, r.refers_to) for r in out if r.refers_to is not None) == [(i, ids[0]) for i in ids[1:]]
+
+
 def test_archive_query(spark, duck):
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     first = {}
