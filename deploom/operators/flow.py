@@ -187,13 +187,13 @@ def fold(events: list[dict]) -> tuple[list[dict], list[dict]]:
     return [n for f in done for n in f.nodes], [x for f in done for x in f.edges]
 
 
+#: Kinds and columns of the events that graphs are folded from.
+KINDS = ("EnterScope", "ExitScope", "UseName", "Assignment", "CallExpression", "Return", "RaiseStatement", "BreakStatement", "ContinueStatement", "ControlBlock", "ElseBlock", "EndControlBlock")
 USED = ["file", "seq", "kind", "scope", "qualname", "scope_type", "parameters", "name", "callee", "arguments", "block_type", "condition", "value", "value_type", "target", "line"]
 
 
 def flow_graphs(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of all functions and modules; each file is folded on its own, and a file's events fit in a task."""
-    kinds = ("EnterScope", "ExitScope", "UseName", "Assignment", "CallExpression", "Return", "RaiseStatement", "BreakStatement", "ContinueStatement", "ControlBlock", "ElseBlock", "EndControlBlock")
-
     def run(group: pa.Table) -> pa.Table:
         nodes, edges = fold(group.sort_by("seq").to_pylist())
         rows = [(n["owner"], n["id"], n["type"], n["text"], n["line"], n["uses"], n.get("defines"), n.get("callee_text"), n["block_id"], None, None) for n in nodes]
@@ -202,7 +202,7 @@ def flow_graphs(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         names = ["owner", "id", "type", "text", "line", "uses", "defines", "callee_text", "block_id", "from", "to"]
         return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, kinds_, strict=True))})
 
-    both = written(events.where(F.col("kind").isin(*kinds)).select(*USED).groupBy("file").applyInArrow(run, NODES + ", from string, to string"))
+    both = written(events.where(F.col("kind").isin(*KINDS)).select(*USED).groupBy("file").applyInArrow(run, NODES + ", from string, to string"))
     return both.where("id is not null").drop("from", "to"), both.where("id is null").select("owner", "from", "to", "type")
 
 

@@ -12,7 +12,7 @@ from deploom.functions import ids as I
 from deploom.functions.glob import to_regex
 from deploom.operators import changes, finalize, flow, resolve, selector, view
 from deploom.plans import sample
-from deploom.sources import scan
+from deploom.sources import parse, scan
 from deploom.sources.javascript_events import javascript_events
 from deploom.sources.parse import PARSERS, events_of
 from deploom.sources.python_events import python_events
@@ -229,3 +229,24 @@ def test_live(spark, tmp_path):
     graph.dismiss("app.g")
     assert "app.g" not in {r[0] for r in found(graph.load("statuses"), "id")}
     shutil.rmtree(tmp_path / "snapshots")
+
+
+def test_relations_read_the_files_once(spark):
+    """A relation is made in one pass of the parser, asks it for its own kinds and columns only, and many small files leave as one batch."""
+    rows = [(f"f{k}.py", "python", f"f{k}", f"import json\nx: int = {k}\ndef g(a):\n    return json.dumps(a)\n") for k in range(300)]
+    files = spark.createDataFrame(rows, "rel_path string, lang string, module string, source string").coalesce(1)
+    whole = parse.events_of(files)
+    for name, (kinds, fields) in parse.NEEDED.items():
+        part = parse.events_for(files, name)
+        assert set(part.columns) == set(fields) and {r.kind for r in part.select("kind").distinct().collect()} <= set(kinds)
+        if name != "values":
+            make = getattr(parse, name)
+            plan = make(part)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("MapInArrow") == 1
+            assert sorted(map(str, make(part).collect())) == sorted(map(str, make(whole).collect())) != []
+
+    def sizes(batches):
+        for b in batches:
+            yield b.from_pydict({"n": [b.num_rows]})
+
+    assert parse.events_for(files, "uses").mapInArrow(sizes, "n long").count() <= 10
