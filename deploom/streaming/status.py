@@ -1,7 +1,8 @@
 """The status machine of nodes as a stream: changes of snapshots and dismissals by clients, applied in order of event time.
 
-Both streams are united, each with its own watermark, and keyed by node. What a key has received waits in its state until the watermark, the lesser of the
-two streams', has passed it, and is then applied in order of time and sequence, however it came in. The rules are those of changes.node_diff
+Both streams are united, each with its own watermark, and keyed by the bucket of a node's id: a call of the state function costs far more than a change,
+so that it takes many nodes. What a node has received waits in its bucket's state until the watermark, the lesser of the two streams', has passed it, and
+is then applied in order of time and sequence, however it came in. The rules are those of changes.node_diff
 and changes.dismiss, one node at a time. State and output go on from the checkpoint after a restart.
 """
 
@@ -18,8 +19,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: load: the node is in the first snapshot; put: it is in a new one with this hash; gone: it is no longer there; dismiss: a client has seen its status.
 KINDS = ("load", "put", "gone", "dismiss")
 STATUS = "id string, ts timestamp, seq long, status string, is_ghost boolean"
-#: waiting: changes that the watermark has not passed; the rest is what the node is.
-STATE = "waiting string, here boolean, hash string, status string, ghost boolean, ghost_hash string"
+#: By id: changes that the watermark has not passed, and what the node is (here, hash, status, ghost, ghost_hash), as JSON.
+STATE = "nodes string"
+#: Buckets of ids; fixed, as the state of a checkpoint is kept by them.
+BUCKETS = 8192
 
 
 def apply_one(node: tuple, kind: str, new_hash: str | None) -> tuple:
@@ -41,24 +44,36 @@ def apply_one(node: tuple, kind: str, new_hash: str | None) -> tuple:
 
 
 def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Puts new changes to those that wait, and applies all that the watermark has passed; a row for each that was applied."""
-    waiting, *node = state.get if state.exists else ("[]", False, None, None, False, None)
-    waiting = json.loads(waiting)
+    """Puts new changes of a bucket's nodes to those that wait, and applies all that the watermark has passed; a row for each that was applied."""
+    nodes = json.loads(state.get[0]) if state.exists else {}
     if not state.hasTimedOut:
         for f in frames:
-            waiting += [[int(t), int(s), k, h if isinstance(h, str) else None] for t, s, k, h in zip(f["us"], f["seq"], f["kind"], f["hash"], strict=True)]
-    waiting.sort(key=lambda w: (w[0], w[1]))
+            for i, t, s, k, h in zip(f["id"], f["us"], f["seq"], f["kind"], f["hash"], strict=True):
+                nodes.setdefault(i, [[], [False, None, None, False, None]])[0].append([int(t), int(s), k, h if isinstance(h, str) else None])
     passed = state.getCurrentWatermarkMs() * 1000
-    out = []
-    while waiting and waiting[0][0] < passed:
-        us, seq, kind, new_hash = waiting.pop(0)
-        node = list(apply_one(tuple(node), kind, new_hash))
-        out.append((key[0], pd.Timestamp(us, unit="us"), seq, node[2], bool(node[3])))
-    state.update((json.dumps(waiting), *node))
-    if waiting:
-        state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+    out, first = [], None
+    for i, own in nodes.items():
+        waiting, node = own
+        if not waiting:
+            continue
+        waiting.sort(key=lambda w: (w[0], w[1]))
+        n = 0
+        for us, seq, kind, new_hash in waiting:
+            if us >= passed:
+                break
+            node = apply_one(tuple(node), kind, new_hash)
+            out.append((i, us, seq, node[2], bool(node[3])))
+            n += 1
+        own[0], own[1] = waiting[n:], list(node)
+        if own[0]:
+            first = own[0][0][0] if first is None else min(first, own[0][0][0])
+    state.update((json.dumps(nodes),))
+    if first is not None:
+        state.setTimeoutTimestamp(max(first // 1000 + 1, state.getCurrentWatermarkMs() + 1))
     if out:
-        yield pd.DataFrame(out, columns=["id", "ts", "seq", "status", "is_ghost"])
+        done = pd.DataFrame(out, columns=["id", "ts", "seq", "status", "is_ghost"])
+        done["ts"] = pd.to_datetime(done["ts"], unit="us")
+        yield done
 
 
 def statuses(changes: DataFrame, controls: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -71,7 +86,8 @@ def statuses(changes: DataFrame, controls: DataFrame, late: str = "1 hour") -> D
     seen = controls.select("id", "ts", "seq", F.lit("dismiss").alias("kind"), F.lit(None).cast("string").alias("hash"))
     both = wanted.select("id", "ts", "seq", "kind", "hash").withWatermark("ts", late).unionByName(seen.withWatermark("ts", late))
     rows = both.where("id is not null and ts is not null").withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy("id").applyInPandasWithState(advance, STATUS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int"))
+    return rows.groupBy("bucket").applyInPandasWithState(advance, STATUS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest(history: DataFrame) -> DataFrame:

@@ -281,3 +281,26 @@ def test_empty_document(spark):
     n, e = spark.createDataFrame([], "id string, object_type string"), spark.createDataFrame([], "caller string, callee string, type string")
     assert json.loads("".join(document.stream(document.document(n, e)))) == {"nodes": [], "edges": [], "metadata": {"node_count": 0, "edge_count": 0, "node_types": {}}}
     assert json.loads("".join(document.stream(document.catalog_document(n)))) == {"nodes": [], "metadata": {"node_count": 0}}
+
+
+def test_status_takes_many_nodes_a_call():
+    """One call of the state function applies the changes of all nodes of a bucket."""
+
+    class State:
+        exists, hasTimedOut, kept, due = False, False, None, None
+
+        def getCurrentWatermarkMs(self):
+            return 1
+
+        def update(self, value):
+            self.kept = value
+
+        def setTimeoutTimestamp(self, ms):
+            self.due = ms
+
+    import pandas as pd
+
+    frame = pd.DataFrame([(f"n{k}", us, k, "put", "h") for k in range(3) for us in (5, 9000)], columns=["id", "us", "seq", "kind", "hash"])
+    state = State()
+    out = list(status.advance((0,), iter([frame]), state))
+    assert [(r.id, r.status) for d in out for r in d.itertuples()] == [(f"n{k}", "added") for k in range(3)] and state.due == 10
