@@ -1,7 +1,7 @@
 """A graph of resolved names that is kept up to date file by file.
 
-Tables lie in buckets: what a file defines, what it refers to and the edges that it gave by the file's name; definitions and the keys that references
-try by the key. A change of some files reads and overwrites only the buckets that it touches: rows of these files go and come anew, and of all other files only
+Tables lie in buckets: what a file defines, what it refers to and the edges that it gave by the file's name; definitions by their id, and references
+once more by the last segment of their name, which every key that they try ends in. A change of some files reads and overwrites only the buckets that it touches: rows of these files go and come anew, and of all other files only
 those references resolve again that try a key which was defined or taken away.
 """
 
@@ -18,7 +18,7 @@ from .resolve import Names, resolve_names
 #: Columns of each table, and the one that its bucket comes from.
 TABLES = {
     "edges": ("file string, caller string, name string, callee string", "file"),
-    "tries": ("key string, file string, scope string, name string", "key"),
+    "tries": ("last string, file string, scope string, name string", "last"),
     "refs": ("file string, scope string, name string", "file"),
     "names": ("id string, object_type string, file string", "id"),
     "defs": ("file string, id string, object_type string", "file"),
@@ -56,9 +56,9 @@ class NameGraph:
         return sorted(found)
 
     def replace(self, name: str, buckets: list[int], rows: DataFrame) -> None:
-        """Overwrites buckets of a table with rows; buckets without a row are removed."""
+        """Overwrites buckets of a table with rows, which are distinct; buckets without a row are removed."""
         key = TABLES[name][1]
-        staged = written(rows.distinct().withColumn("bucket", self.bucket(F.col(key))).repartition("bucket"))
+        staged = written(rows.withColumn("bucket", self.bucket(F.col(key))).repartition("bucket"))
         staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/{name}")
         filled = {r[0] for r in staged.select("bucket").distinct().collect()}
         remove(self.spark, *[f"{self.folder}/{name}/bucket={b}" for b in buckets if b not in filled])
@@ -87,22 +87,22 @@ class NameGraph:
         # Keys that were defined or taken away, or are of another kind now.
         a, b = old_defs.select("id", "object_type"), new_defs.select("id", "object_type")
         moved = written(a.exceptAll(b).unionByName(b.exceptAll(a)).select(F.col("id").alias("key")).distinct())
-        again = others(self.load("tries", self.buckets_of(moved)).join(moved, "key", "left_semi")).select("file", "scope", "name").distinct()
-        again = written(again)
+        ends = written(moved.select(I.last(F.col("key")).alias("last")).distinct())
+        near = others(self.load("tries", self.buckets_of(ends)).join(ends, "last", "left_semi"))
+        again = written(self.keys(near).join(moved, "key", "left_semi").select("file", "scope", "name").distinct())
         todo = written(new_refs.unionByName(again))
-        tried = written(self.keys(todo))
-        by_tried = self.buckets_of(tried.select("key"))
+        by_tried = self.buckets_of(self.keys(todo).select("key"))
         # Definitions as they are after this step, in the buckets that are looked up.
         names = others(self.load("names", by_tried)).unionByName(new_defs.select("id", "object_type", "file").where(self.bucket(F.col("id")).isin(by_tried)))
         edges = written(self.resolve(todo, names))
         by_edge = sorted({*by_file, *self.buckets_of(again.select("file"))})
         stay = others(self.load("edges", by_edge)).join(again.select("file", F.col("scope").alias("caller"), "name"), ["file", "caller", "name"], "left_anti")
         self.replace("edges", by_edge, stay.select("file", "caller", "name", "callee").unionByName(edges))
-        old_keys, new_keys = self.keys(old_refs), self.keys(new_refs)
-        by_key = self.buckets_of(old_keys.select("key"), new_keys.select("key"))
-        self.replace("tries", by_key, others(self.load("tries", by_key)).select("key", "file", "scope", "name").unionByName(new_keys))
+        ended = lambda df: df.select(I.last(F.col("name")).alias("last"), "file", "scope", "name")
+        by_key = self.buckets_of(ended(old_refs).select("last"), ended(new_refs).select("last"))
+        self.replace("tries", by_key, others(self.load("tries", by_key)).select("last", "file", "scope", "name").unionByName(ended(new_refs)))
         self.replace("refs", by_file, others(self.load("refs", by_file)).select("file", "scope", "name").unionByName(new_refs))
         by_id = self.buckets_of(old_defs.select("id"), new_defs.select("id"))
         self.replace("names", by_id, others(self.load("names", by_id)).select("id", "object_type", "file").unionByName(new_defs.select("id", "object_type", "file")))
         self.replace("defs", by_file, others(self.load("defs", by_file)).select("file", "id", "object_type").unionByName(new_defs))
-        remove_written(files, new_defs, new_refs, old_defs, old_refs, moved, again, todo, tried, edges)
+        remove_written(files, new_defs, new_refs, old_defs, old_refs, moved, ends, again, todo, edges)

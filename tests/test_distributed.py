@@ -304,3 +304,15 @@ def test_status_takes_many_nodes_a_call():
     state = State()
     out = list(status.advance((0,), iter([frame]), state))
     assert [(r.id, r.status) for d in out for r in d.itertuples()] == [(f"n{k}", "added") for k in range(3)] and state.due == 10
+
+
+def test_incremental_keeps_a_reference_once(spark, tmp_path):
+    """References are kept by the end of their name, not once for each key that they try; a definition at any level still finds them."""
+    graph = incremental.NameGraph(spark, f"{tmp_path}/g", 4).create()
+    refs = spark.createDataFrame([("f", "a.b.c.d", "x"), ("f", "a.b.c.d", "m.x")], "file string, scope string, name string")
+    apply = lambda file, ids: graph.apply(spark.createDataFrame([(file,)], "file string"), spark.createDataFrame([(file, i, "class") for i in ids], "file string, id string, object_type string"), refs)
+    apply("f", [])
+    assert graph.load("tries").count() == 2
+    for ids in (["a.x"], ["a.x", "a.b.c.x", "a.b.m.x"], []):
+        apply("g", ids)
+        assert {tuple(r) for r in graph.load("edges").select("name", "callee").collect()} == ({("x", max(ids[:2], key=len))} if ids else set()) | ({("m.x", "a.b.m.x")} if len(ids) > 1 else set())
