@@ -5,10 +5,13 @@ import fnmatch
 import json
 import os
 import random
+import re
 
 import pytest
+from helpers import DATA
 
-from deploom.operators import changes, document, incremental, intervals, resolve, search, types
+from deploom.operators import changes, document, incremental, intervals, resolve, search, selector, traverse, types
+from deploom.plans import synth
 from deploom.streaming import status
 
 START = dt.datetime(2024, 1, 1)
@@ -316,3 +319,40 @@ def test_incremental_keeps_a_reference_once(spark, tmp_path):
     for ids in (["a.x"], ["a.x", "a.b.c.x", "a.b.m.x"], []):
         apply("g", ids)
         assert {tuple(r) for r in graph.load("edges").select("name", "callee").collect()} == ({("x", max(ids[:2], key=len))} if ids else set()) | ({("m.x", "a.b.m.x")} if len(ids) > 1 else set())
+
+
+def shuffles_of(df):
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_line_items_move_as_bare_keys(spark):
+    """Line items are dealt by one key, that of the join behind, and once more for parts; nothing else of their size moves."""
+    keys = shuffles_of(synth.edges(spark, f"{DATA}/sf0.01"))
+    assert any(k.startswith("l_orderkey") for k in keys) and any(k.startswith("l_partkey") for k in keys)
+    assert not [k for k in keys if k.startswith("l_") and ("l_suppkey" in k)]
+
+
+def test_components_move_numbers(spark):
+    ids = ["a", "b", "c", "d", "e", None]
+    pairs = [("b", "a"), ("c", "b"), ("c", "c"), ("e", "d"), ("d", "z"), ("z", "a"), (None, "a"), ("a", None), ("b", "a")]
+    nodes, edges = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(pairs, "caller string, callee string")
+    links = traverse.links_of(edges, traverse.numbered(nodes))
+    assert [t for _, t in links.dtypes] == ["bigint", "bigint"] and links.count() == 4
+    got = {r.id: r.component for r in traverse.all_components(nodes, edges).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", None: None}
+
+
+def test_context_looks_up_what_is_left(spark):
+    """Chosen nodes aren't looked up again by their prefixes: where all are chosen, nothing is."""
+    nodes = spark.createDataFrame([(i,) for i in ("a", "a.b", "a.b.c", "d", "d.e", "d.e.f")], "id string")
+    assert sorted(r.id for r in traverse.context_closure(nodes.where("id in ('a.b', 'd')"), nodes).collect()) == ["a", "a.b", "a.b.c", "d", "d.e", "d.e.f"]
+    assert sorted(r.id for r in traverse.context_closure(nodes, nodes).collect()) == sorted(r.id for r in nodes.collect())
+    plan = traverse.context_closure(nodes, nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") >= 2
+
+def test_terms_are_looked_up_whole(spark):
+    """Repeated ids, and terms that are longer than what is looked up."""
+    ids = ["Alpha.beta", "Alpha.beta", "x" * 15 + "yz", "x" * 15 + "yw", None]
+    nodes, terms = (spark.createDataFrame([(v,) for v in c], f"{n} string") for n, c in (("id", ids), ("term", ["BETA", "beta", "x" * 15 + "Yz", "q", "", None])))
+    got = sorted(tuple(r) for r in search.find_terms(nodes, terms).collect())
+    assert got == [("BETA", "Alpha.beta"), ("beta", "Alpha.beta"), ("x" * 15 + "Yz", "x" * 15 + "yz")]
