@@ -350,9 +350,18 @@ def test_context_looks_up_what_is_left(spark):
     plan = traverse.context_closure(nodes, nodes)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftAnti") >= 2
 
-def test_terms_are_looked_up_whole(spark):
-    """Repeated ids, and terms that are longer than what is looked up."""
-    ids = ["Alpha.beta", "Alpha.beta", "x" * 15 + "yz", "x" * 15 + "yw", None]
-    nodes, terms = (spark.createDataFrame([(v,) for v in c], f"{n} string") for n, c in (("id", ids), ("term", ["BETA", "beta", "x" * 15 + "Yz", "q", "", None])))
-    got = sorted(tuple(r) for r in search.find_terms(nodes, terms).collect())
-    assert got == [("BETA", "Alpha.beta"), ("beta", "Alpha.beta"), ("x" * 15 + "Yz", "x" * 15 + "yz")]
+
+def test_callees_are_looked_up_first(spark):
+    edges, ids = spark.createDataFrame([("a", "b", "calls")], "caller string, callee string, type string"), spark.createDataFrame([("a",)], "id string")
+    plan = selector.induced_edges(edges, ids)._jdf.queryExecution().optimizedPlan().toString()
+    joins = re.findall(r"Join LeftSemi, \((\w+)#", plan)
+    assert joins == ["caller", "callee"]  # the outer one comes last
+
+def test_names_take_one_pass(spark):
+    """A fallback is one more candidate: references aren't joined with what was found."""
+    refs = spark.createDataFrame([("m.f", "len"), ("m.f", "os"), ("m.f", "g"), ("m", "g"), ("m.f", "zz"), (None, "len")], "scope string, name string")
+    defs = spark.createDataFrame([("m", "module"), ("m.g", "function"), ("m.f.g", "function"), ("m.os", "variable")], "id string, object_type string")
+    none = spark.createDataFrame([], "key string, value string")
+    out = resolve.resolve_names(refs, resolve.Names(defs, none, none))
+    assert {(r.scope, r.name): r.resolved for r in out.collect()} == {("m.f", "len"): "builtins.len", ("m.f", "os"): "m.os", ("m.f", "g"): "m.f.g", ("m", "g"): "m.g", (None, "len"): "builtins.len"}
+    assert "LeftOuter" not in out._jdf.queryExecution().optimizedPlan().toString()
