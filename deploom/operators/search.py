@@ -3,43 +3,31 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deploom.functions.glob import to_regex
+from deploom.functions.storage import small, written
 
-#: Length of grams, posting lists of a term that are intersected, and characters of a literal prefix or suffix that patterns are indexed by.
-GRAM, LISTS, LITERAL = 3, 3, 16
+#: Characters that a term, and the literal prefix or suffix of a pattern, are looked up by.
+LITERAL = 16
 
 
-def grams(c, least: int = 1):
-    """Distinct substrings of lengths from least to GRAM."""
-    of = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.array(*[of(n) for n in range(least, GRAM + 1)])))
+def find_terms(nodes: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, id): distinct ids that hold a term, in any case. terms: (term); empty and null ones find nothing.
 
-
-def postings(nodes: DataFrame) -> DataFrame:
-    """(gram, id): substrings of one to GRAM characters of the ids in lower case."""
-    return nodes.select("id", F.explode(grams(F.lower("id"))).alias("gram"))
-
-
-def find_terms(nodes: DataFrame, terms: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """(term, id): ids that hold a term, in any case. terms: (term); empty and null ones find nothing.
-
-    A term's rarest LISTS grams are looked up and their lists intersected; what is left is checked. A term no longer than a gram is its own list.
+    A term is looked up whole, by its first LITERAL characters if it is longer: ids give their substrings of the lengths in use, which meet the terms in an
+    equi-join. So the work follows the ids and what is found, however many ids share a short piece of many terms.
     """
-    index = postings(nodes) if index is None else index
     low = F.lower("term")
-    wanted = terms.select("term").where("term <> ''").distinct()
-    looked = wanted.select("term", F.explode(F.when(F.length(low) <= GRAM, F.array(low)).otherwise(grams(low, GRAM))).alias("gram"))
-    known = index.join(looked.select("gram").distinct(), "gram", "left_semi")
-    sizes = known.groupBy("gram").agg(F.count("*").alias("size"))
-    # A gram that no id has leaves its term without a result, so it counts as the rarest.
-    ranked = looked.join(sizes, "gram", "left").withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy(F.coalesce("size", F.lit(0)), "gram"))).where(F.col("n") <= LISTS)
-    need = ranked.groupBy("term").agg(F.count("*").alias("need"))
-    met = ranked.select("term", "gram").join(known, "gram").groupBy("term", "id").agg(F.count("*").alias("met"))
-    both = met.join(need, "term").where("met = need")
-    return both.where(F.contains(F.lower("id"), low)).select("term", "id")
+    wanted = written(terms.select("term", low.alias("low"), F.substring(low, 1, LITERAL).alias("piece")).where("term <> ''").distinct())
+    lengths = wanted.select(F.length("piece").alias("size")).distinct()  # LITERAL rows at most
+    # Pieces take far longer than their bytes tell, so ids are dealt over a set number of tasks.
+    own = nodes.select("id").where("id is not null").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").distinct().withColumn("low_id", F.lower("id"))
+    own = own.join(F.broadcast(lengths), F.length("low_id") >= F.col("size"))
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low_id") - F.col("size") + 1), lambda i: F.substr("low_id", i, F.col("size"))))
+    met = own.select("id", "low_id", F.explode(pieces).alias("piece")).join(small(wanted, 40), "piece")
+    return met.where((F.length("low") <= LITERAL) | F.contains("low_id", F.col("low"))).select("term", "id")
 
 
 def regex_of(column):
