@@ -115,18 +115,8 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndar
     return node[node != root], root[node != root]
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 3) -> DataFrame:
-    """(id, fingerprint, component_id) for each row of docs; texts link if their fingerprints differ in at most `limit` bits.
-
-    limit is 3 or less, as the bucket keys are made for it. Null and empty texts, and texts of white space alone, have fingerprint zero
-    and link with each other like any other. Null ids never name a component; one of only null ids has a null component_id. Repeated
-    rows each come back. Only id_col and text_col are read. Whole texts are hashed, however long.
-    """
-    if not 0 <= limit <= 3:
-        raise ValueError("limit must be from 0 to 3")
-    prints = materialize(fingerprints(docs, id_col, text_col), "simhash-prints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
-    spark = docs.sparkSession
+def print_links(classes: DataFrame, limit: int = 3) -> DataFrame:
+    """(a, b): links between the distinct fingerprints `fp` of classes, by which the components are those of all pairs that differ in at most `limit` bits."""
 
     def links(batches):
         keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -142,9 +132,24 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             a, b = bucket_links(keys, fps, limit)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = classes.select(F.explode(bucket_keys(F.col("fp"))).alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key")
-    roots = components(keyed.mapInArrow(links, "a long, b long"))
+    return keyed.mapInArrow(links, "a long, b long")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 3) -> DataFrame:
+    """(id, fingerprint, component_id) for each row of docs; texts link if their fingerprints differ in at most `limit` bits.
+
+    limit is 3 or less, as the bucket keys are made for it. Null and empty texts, and texts of white space alone, have fingerprint zero
+    and link with each other like any other. Null ids never name a component; one of only null ids has a null component_id. Repeated
+    rows each come back. Only id_col and text_col are read. Whole texts are hashed, however long.
+    """
+    if not 0 <= limit <= 3:
+        raise ValueError("limit must be from 0 to 3")
+    prints = materialize(fingerprints(docs, id_col, text_col), "simhash-prints")
+    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
+    spark = docs.sparkSession
+    roots = components(print_links(classes, limit))
     linked = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = materialize(linked, "simhash-roots")
     # Written, so that the rows of a large component are dealt over several tasks.

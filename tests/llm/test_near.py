@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 from helpers import DATA
+from pyspark.sql import functions as F
 
 from deploom.llm import embedding_dedup, near_text, simhash
 from deploom.llm.components import components, local_components
@@ -277,3 +278,25 @@ def test_query_reports_every_vector(spark, duck):
     assert collections.Counter(tuple(r) for r in out) == collections.Counter(brute(vectors))
     found = duck().sql(embedding_dedup.ORACLE).select("vec_id, n_links, component_id, kept").fetchall()
     assert collections.Counter(tuple(r) for r in found) == collections.Counter(brute(vectors))
+
+
+def test_simhash_proposes_pairs(spark):
+    """Classes whose fingerprints are equal or differ in up to 3 bits are paired, whatever their shingles are; others aren't."""
+    prints = {1: 0, 2: 0, 3: 0b111, 4: 0xFF, 5: 1 << 40, 6: -1}
+    pairs = near_text.simhash_pairs(spark.createDataFrame(list(prints.items()), "node long, fp long")).collect()
+    root = {i: i for i in prints}
+    for r in pairs:
+        assert r.a < r.b
+        low, high = sorted((root[r.a], root[r.b]))
+        root = {i: low if x == high else x for i, x in root.items()}
+    assert root == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 6}
+
+
+def test_simhash_pairs_are_checked(spark, monkeypatch):
+    """What SimHash proposes counts only if the shingles agree."""
+    texts = ["a b c d e f g h", "q r s t u v w x", "a b c d e f g h i"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = []
+    monkeypatch.setattr(near_text, "simhash_pairs", lambda c: asked.append(1) or c.alias("x").crossJoin(c.alias("y")).where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    assert {r.doc_id: r.group_id for r in near_text.near_groups(df).collect()} == {0: 0, 1: 1, 2: 0}
+    assert asked
