@@ -10,7 +10,9 @@ import re
 import pytest
 from helpers import DATA
 
-from deploom.operators import changes, document, incremental, intervals, resolve, search, selector, traverse, types
+from deploom import registry
+from deploom.functions import storage
+from deploom.operators import changes, document, filters, finalize, incremental, intervals, resolve, search, selector, traverse, types, view
 from deploom.plans import synth
 from deploom.streaming import status
 
@@ -374,3 +376,11 @@ def test_names_take_one_pass(spark):
     out = resolve.resolve_names(refs, resolve.Names(defs, none, none))
     assert {(r.scope, r.name): r.resolved for r in out.collect()} == {("m.f", "len"): "builtins.len", ("m.f", "os"): "m.os", ("m.f", "g"): "m.f.g", ("m", "g"): "m.g", (None, "len"): "builtins.len"}
     assert "LeftOuter" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 10_000)
+    keys = [k.split(", ") for k in shuffles_of(registry.QUERIES["drop_ancestor_edges"](spark, f"{DATA}/sf0.01"))]
+    lines = spark.read.parquet(f"{DATA}/sf0.01/lineitem.parquet").count()
+    for first, each in (("l_orderkey", 1), ("l_partkey", 1), ("caller", 2)):
+        assert max(int(k[-1]) for k in keys if k[0].startswith(first)) == -(-each * lines // 10_000)
