@@ -8,30 +8,34 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deploom.functions import ids as I
-from deploom.functions.storage import remove_written, small, written
+from deploom.functions.storage import remove_written, small, tasks, written
 
 #: Parts of a document, in order.
 HEAD, NODES, MIDDLE, EDGES, TAIL = range(5)
 
 
-def in_order(df: DataFrame, keys: list[str], level: str, parts: int | None = None) -> DataFrame:
-    """df with `place`, from 0 in the order of keys, and the levels of the rows before and after as `level_before` and `level_after`.
+def in_order(df: DataFrame, keys: list[str | Column], level: str | None = None, parts: int | None = None) -> DataFrame:
+    """df with `place`, from 0 in the order of keys; with level, also the levels of the rows before and after as `level_before` and `level_after`.
 
-    Rows are cut into ranges. Each range numbers its own; one row a range tells how many lie before it and which levels meet at its ends.
+    df is counted and should be written. Rows are cut into ranges and written in order, numbered by the tasks that write them. One row a range tells how many
+    lie before it and which levels meet at its ends. Only neighbours take another shuffle.
     """
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = written(df.repartitionByRange(n, *keys).withColumn("part", F.spark_partition_id()))
-    order = F.struct(*keys)
-    ends = cut.groupBy("part").agg(F.count("*").alias("size"), F.min_by(level, order).alias("first"), F.max_by(level, order).alias("last"))
+    n = parts or tasks(df.sparkSession, df.count())
+    cut = written(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
+    cut = cut.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND((1 << 33) - 1))
+    ends = cut.groupBy("part").agg(F.count("*").alias("size"), *([F.min_by(level, "at").alias("first"), F.max_by(level, "at").alias("last")] if level else []))
     w = Window.orderBy("part")  # a row for each range
-    ends = ends.select("part", (F.sum("size").over(w) - F.col("size")).alias("earlier"), F.lag("last").over(w).alias("left"), F.lead("first").over(w).alias("right"))
-    inside = Window.partitionBy("part").orderBy(*keys)
-    out = cut.withColumn("at", F.row_number().over(inside)).withColumn("level_before", F.lag(level).over(inside)).withColumn("level_after", F.lead(level).over(inside))
-    out = out.join(F.broadcast(ends), "part").withColumn("place", F.col("earlier") + F.col("at") - 1)
+    sides = [F.lag("last").over(w).alias("left"), F.lead("first").over(w).alias("right")] if level else []
+    ends = F.broadcast(ends.select("part", (F.sum("size").over(w) - F.col("size")).alias("earlier"), *sides))
+    place = F.col("earlier") + F.col("at")
+    if not level:
+        return cut.join(ends, "part").withColumn("place", place).drop("part", "at", "earlier")
+    inside = Window.partitionBy("part").orderBy("at")
+    out = cut.repartition(n, "part").withColumn("level_before", F.lag(level).over(inside)).withColumn("level_after", F.lead(level).over(inside)).join(ends, "part").withColumn("place", place)
     return out.withColumn("level_before", F.coalesce("level_before", "left")).withColumn("level_after", F.coalesce("level_after", "right")).drop("part", "at", "earlier", "left", "right")
 
 
@@ -40,7 +44,10 @@ def with_levels(nodes: DataFrame) -> DataFrame:
     without its last segment is no node."""
     ids = written(nodes.select("id"))
     above = ids.withColumn("parent", I.parent(F.col("id"))).where("parent is not null")
-    loose = small(written(above.join(ids.select(F.col("id").alias("parent")), "parent", "left_anti").select(F.col("id").alias("above"))), 256)
+    loose = written(above.join(ids.select(F.col("id").alias("parent")), "parent", "left_anti").select(F.col("id").alias("above")))
+    if loose.isEmpty():
+        return nodes.withColumn("root_depth", F.lit(1)).withColumn("level", I.depth(F.col("id")) - 1)
+    loose = small(loose, 256)
     under = ids.select("id", F.explode(I.ancestors(F.col("id"), True)).alias("above")).join(loose, "above", "left_semi")
     under = under.groupBy("id").agg(F.max(I.depth(F.col("above"))).alias("deepest"))
     out = nodes.join(under, "id", "left").withColumn("root_depth", F.coalesce("deepest", F.lit(1))).drop("deepest")
@@ -54,9 +61,10 @@ def node_lines(nodes: DataFrame, all_fields: bool = False, parts: int | None = N
     hold U+0000 or U+0001.
     """
     fields = F.to_json(F.struct(*[c for c in nodes.columns]), {"ignoreNullFields": str(not all_fields).lower()})
-    objects = nodes.where("id is not null").select("id", fields.alias("object")).groupBy("id").agg(F.min("object").alias("object"))
-    objects = with_levels(written(objects)).withColumn("root", I.prefix(F.col("id"), F.col("root_depth"))).withColumn("key", F.translate("id", ".", "\x01"))
-    rows = in_order(objects, ["root_depth", "root", "key"], "level", parts)
+    parts = parts or tasks(nodes.sparkSession, nodes.count())
+    objects = nodes.where("id is not null").select("id", fields.alias("object")).repartition(parts, "id")  # dealt before they are sorted, and sorted once
+    objects = written(objects.groupBy("id").agg(F.min("object").alias("object")))
+    rows = in_order(with_levels(objects), ["root_depth", I.prefix(F.col("id"), F.col("root_depth")), F.translate("id", ".", "\x01")], "level", parts)
     opened = F.expr("substring(object, 1, length(object) - 1)")
     deeper = F.coalesce(F.col("level_after") > F.col("level"), F.lit(False))
     up = F.greatest(F.col("level") - F.coalesce("level_after", F.lit(0)), F.lit(0))
@@ -67,10 +75,9 @@ def node_lines(nodes: DataFrame, all_fields: bool = False, parts: int | None = N
 
 
 def edge_lines(edges: DataFrame, parts: int | None = None) -> DataFrame:
-    """(place, text) of the edges by caller, callee and type, repeats included."""
-    rows = edges.select("caller", "callee", "type", F.to_json(F.struct("caller", "callee", "type")).alias("object"), F.lit(0).alias("level"))
-    rows = in_order(rows, ["caller", "callee", "type"], "level", parts)
-    return rows.select("place", F.concat(F.when(F.col("level_before").isNotNull(), ",").otherwise(""), "object").alias("text"))
+    """(place, text) of the edges by caller, callee and type, repeats included. Bare columns move; texts are made of them in place."""
+    rows = in_order(edges.select("caller", "callee", "type"), ["caller", "callee", "type"], None, parts)
+    return rows.select("place", F.concat(F.when(F.col("place") > 0, ",").otherwise(""), F.to_json(F.struct("caller", "callee", "type"))).alias("text"))
 
 
 def _single(spark, section: int, text: str) -> DataFrame:

@@ -384,3 +384,12 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
     lines = spark.read.parquet(f"{DATA}/sf0.01/lineitem.parquet").count()
     for first, each in (("l_orderkey", 1), ("l_partkey", 1), ("caller", 2)):
         assert max(int(k[-1]) for k in keys if k[0].startswith(first)) == -(-each * lines // 10_000)
+
+
+def test_edges_of_a_document_move_once(spark):
+    """Sorted rows are numbered where they are written; no shuffle by range follows, and no text moves."""
+    rows = [(rng, f"b{k}", "calls") for k in range(50) for rng in ("a", "c")] * 2
+    out = document.edge_lines(spark.createDataFrame(rows, "caller string, callee string, type string"), 5)
+    assert len([k for k in shuffles_of(out) if k.startswith("part")]) == 1  # that of the counts, a row a range
+    lines = [r["text"] for r in out.sort("place").collect()]
+    assert [tuple(json.loads(t.lstrip(",")).values()) for t in lines] == sorted(rows) and [t[0] for t in lines] == ["{"] + [","] * 199
