@@ -393,3 +393,16 @@ def test_edges_of_a_document_move_once(spark):
     assert len([k for k in shuffles_of(out) if k.startswith("part")]) == 1  # that of the counts, a row a range
     lines = [r["text"] for r in out.sort("place").collect()]
     assert [tuple(json.loads(t.lstrip(",")).values()) for t in lines] == sorted(rows) and [t[0] for t in lines] == ["{"] + [","] * 199
+
+
+@pytest.mark.parametrize("deep", [4, 14])
+def test_general_has_a_looks_itself_up(spark, deep):
+    """Only callers of has-a edges are looked for among ancestors; what goes is broadcast. Over eight different depths, all ancestors are looked up."""
+    rng = random.Random(deep)
+    name = lambda: ".".join(rng.choice("ab") for _ in range(rng.randint(1, deep)))
+    edges = {(name(), rng.choice("xyz") + rng.choice(["", ".k"]), rng.choice(["has-a", "calls"])) for _ in range(300)} | {("a", None, "has-a"), (None, "x", "has-a"), ("a.b", "x", None)}
+    out = finalize.drop_general_has_a(storage.written(spark.createDataFrame(list(edges), "caller string, callee string, type string")))
+    told = {(a[:k], b.split(".")[0]) for a, b, _ in edges if a and b for k in range(len(a)) if a[k] == "."}
+    want = {(a, b, t) for a, b, t in edges if not (t == "has-a" and a and b and (a, b.split(".")[0]) in told)}
+    assert {tuple(r) for r in out.collect()} == want
+    assert not [k for k in shuffles_of(out) if k.startswith("caller")]
