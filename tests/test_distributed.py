@@ -406,3 +406,16 @@ def test_general_has_a_looks_itself_up(spark, deep):
     want = {(a, b, t) for a, b, t in edges if not (t == "has-a" and a and b and (a, b.split(".")[0]) in told)}
     assert {tuple(r) for r in out.collect()} == want
     assert not [k for k in shuffles_of(out) if k.startswith("caller")]
+
+
+def test_large_frontiers_are_hashed_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(storage, "TASK_ROWS", 2)
+    plans = []
+    monkeypatch.setattr(traverse, "written", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), storage.written(df))[1])
+    pairs = [(f"a{k}", f"a{k + 10}") for k in range(40)] + [("a3", "a3"), (None, "a1"), ("a1", None)]
+    edges = storage.written(spark.createDataFrame(pairs, "caller string, callee string"))
+    got = traverse.reach(spark.createDataFrame([(f"a{k}",) for k in range(10)], "id string"), edges)
+    assert sorted(r[0] for r in got.collect()) == sorted(f"a{k}" for k in range(50))
+    assert all("ShuffledHashJoin" in p and "SortMergeJoin [caller" not in p for p in plans[1:6])
+    assert "hashpartitioning(id" in plans[1] and ", 5), REPARTITION_BY_NUM" in plans[1]  # ten ids, two a task
