@@ -30,10 +30,15 @@ def to_visible(edges: DataFrame, visible: DataFrame) -> DataFrame:
     return out.select(F.col("a").alias("caller"), F.col("b").alias("callee"), "type").distinct()
 
 
-def best_edge(edges: DataFrame) -> DataFrame:
-    """One edge for each pair: the type of highest priority, by name among equals."""
+def best_edge(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """One edge for each pair: the type of highest priority, by name among equals.
+
+    Texts that are compared want their rows sorted. parts: the number of tasks that rows are dealt to first, so that they are sorted once, in bounded shares.
+    """
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[F.col("type")], F.lit(0))
-    return edges.groupBy("caller", "callee").agg(F.max_by("type", F.struct(rank, F.col("type"))).alias("type"))
+    edges = edges.select("caller", "callee", "type")
+    dealt = edges.repartition(parts, "caller", "callee") if parts else edges
+    return dealt.groupBy("caller", "callee").agg(F.max(F.struct(rank.alias("rank"), F.col("type"))).alias("best")).select("caller", "callee", "best.type")
 
 
 def neighbourhood(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:

@@ -419,3 +419,11 @@ def test_large_frontiers_are_hashed_in_shares(spark, monkeypatch):
     assert sorted(r[0] for r in got.collect()) == sorted(f"a{k}" for k in range(50))
     assert all("ShuffledHashJoin" in p and "SortMergeJoin [caller" not in p for p in plans[1:6])
     assert "hashpartitioning(id" in plans[1] and ", 5), REPARTITION_BY_NUM" in plans[1]  # ten ids, two a task
+
+
+def test_best_edge_sorts_once(spark):
+    rows = [("a", "b", "imports"), ("a", "b", "calls"), ("a", "c", "x"), ("a", "c", "y"), ("a", "c", None), ("b", "c", None), ("b", None, "has-a"), ("b", None, "is-a")]
+    out = view.best_edge(spark.createDataFrame(rows, "caller string, callee string, type string"), 3)
+    assert {tuple(r) for r in out.collect()} == {("a", "b", "calls"), ("a", "c", "y"), ("b", "c", None), ("b", None, "is-a")}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Sort [") == 1 and [k.rsplit(", ", 1)[1] for k in shuffles_of(out)][0] == "3"
