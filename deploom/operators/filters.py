@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from deploom.functions import ids as I
 from deploom.functions.glob import to_regex
-from deploom.functions.storage import written
+from deploom.functions.storage import BROADCAST_BYTES, small, written
 
 from .selector import induced_edges, state_ids
 
@@ -18,15 +18,29 @@ def _hidden(include_standard: bool, include_third_party: bool) -> list[str]:
     return [o for o, keep in zip(FOREIGN, (include_standard, include_third_party), strict=True) if not keep]
 
 
+def _without(nodes: DataFrame, bad: DataFrame) -> DataFrame:
+    """nodes but for the bad ones and all below them. Only bad ids with no bad one above count; each of their depths is a look-up of the prefix of that many
+    segments, or all prefixes are looked up at once if depths are many."""
+    up = bad.select("id", F.explode(I.ancestors(F.col("id"))).alias("above"))
+    covered = up.join(small(bad.select(F.col("id").alias("above")), 40), "above", "left_semi").select("id")
+    tops = written(bad.join(covered, "id", "left_anti").select(F.col("id").alias("above"), I.depth(F.col("id")).alias("d")))
+    depths = I.depths(tops, "above")
+    if depths is None:
+        up = nodes.select("id", F.explode(I.ancestors(F.col("id"), True)).alias("above"))
+        return nodes.join(written(up.join(tops, "above", "left_semi").select("id").distinct()), "id", "left_anti")
+    n = tops.count()
+    for d in depths:
+        at = tops.where(F.col("d") == d).select("above")
+        nodes = nodes.join(F.broadcast(at) if n * 40 <= BROADCAST_BYTES else at, I.prefix(F.col("id"), F.lit(d)) == F.col("above"), "left_anti")
+    return nodes
+
+
 def origin_tree(nodes: DataFrame, edges: DataFrame, include_standard: bool = False, include_third_party: bool = False) -> tuple[DataFrame, DataFrame]:
     """Prunes nodes of hidden origins with everything below them, and edges that lose an end."""
     hidden = _hidden(include_standard, include_third_party)
     if not hidden:
         return nodes, edges
-    bad = written(nodes.where(F.col("origin").isin(hidden)).select(F.col("id").alias("above")))
-    up = nodes.select("id", F.explode(I.ancestors(F.col("id"), True)).alias("above"))
-    gone = written(up.join(bad, "above", "left_semi").select("id").distinct())
-    kept = nodes.join(gone, "id", "left_anti")
+    kept = _without(nodes, written(nodes.where(F.col("origin").isin(hidden)).select("id")))
     return kept, induced_edges(edges, kept.select("id"))
 
 

@@ -427,3 +427,28 @@ def test_best_edge_sorts_once(spark):
     assert {tuple(r) for r in out.collect()} == {("a", "b", "calls"), ("a", "c", "y"), ("b", "c", None), ("b", None, "is-a")}
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Sort [") == 1 and [k.rsplit(", ", 1)[1] for k in shuffles_of(out)][0] == "3"
+
+
+@pytest.mark.parametrize("deep", [3, 14])
+def test_hidden_subtrees_are_looked_up_by_depth(spark, deep):
+    rng = random.Random(deep)
+    ids = {".".join(rng.choice("abcd") for _ in range(rng.randint(1, deep))) for _ in range(400)}
+    if deep > 8:
+        ids |= {".".join("e" * k + "f") for k in range(12)}
+    nodes = [(i, "third-party" if rng.random() < 0.05 or i[-1] == "f" else None) for i in sorted(ids)] + [(None, None)]
+    frame = storage.written(spark.createDataFrame(nodes, "id string, origin string"))
+    edges = spark.createDataFrame([], "caller string, callee string, type string")
+    kept = filters.origin_tree(frame, edges)[0]
+    bad = [i for i, o in nodes if o]
+    assert {r["id"] for r in kept.collect()} == {i for i, _ in nodes if i is None or not any(i == b or i.startswith(b + ".") for b in bad)}
+    if deep <= 8:
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and not shuffles_of(kept)
+
+
+def test_catalogs_write_no_edges(spark, monkeypatch):
+    frames = []
+    monkeypatch.setattr(registry, "written", lambda df: (frames.append(df.columns), storage.written(df))[1])
+    for name in ("catalog_document", "catalog_api", "origin_tree", "exclude_only"):
+        registry.QUERIES[name](spark, f"{DATA}/sf0.001")
+    assert len(frames) == 4 and not [c for c in frames if "caller" in c]
