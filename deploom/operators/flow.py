@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deploom.functions.storage import written
+from deploom.sources import parse
 
 from .traverse import reach, reversed_edges
 
@@ -192,6 +193,17 @@ KINDS = ("EnterScope", "ExitScope", "UseName", "Assignment", "CallExpression", "
 USED = ["file", "seq", "kind", "scope", "qualname", "scope_type", "parameters", "name", "callee", "arguments", "block_type", "condition", "value", "value_type", "target", "line"]
 
 
+def flow_nodes(files: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """These columns of the nodes that flow_graphs makes of the events of files. A file is folded where it is parsed, so that its events aren't shuffled."""
+    none = dict.fromkeys(USED)
+
+    def derive(events: list[dict]) -> list[dict]:
+        return fold([none | e for e in events if e["kind"] in KINDS])[0]
+
+    columns = [tuple(c.split(" ")) for c in NODES.split(", ") if c.split(" ")[0] in fields]
+    return parse.rows_of(files, columns, derive, distinct=frozenset(["uses"]))
+
+
 def flow_graphs(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of all functions and modules; each file is folded on its own, and a file's events fit in a task."""
     def run(group: pa.Table) -> pa.Table:
