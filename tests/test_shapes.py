@@ -81,7 +81,7 @@ def test_files_of_one_shape_are_parsed_once(monkeypatch):
     assert n == 3000 and len(parsed) <= 4
 
 
-@pytest.mark.parametrize("name", ["source_uses", "source_imports", "source_bindings", "source_flow_nodes", "source_scopes"])
+@pytest.mark.parametrize("name", ["source_definitions", "source_uses", "source_imports", "source_bindings", "source_flow_nodes", "source_scopes"])
 def test_only_tables_are_shuffled(spark, name):
     """A file is one task's: after the parser nothing is exchanged or sorted."""
     from helpers import DATA
