@@ -91,3 +91,14 @@ def test_only_tables_are_shuffled(spark, name):
     plan = registry.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("MapInArrow")]
     assert not any(x in above for x in ("Aggregate", "Window", "Sort", "Join", "Repartition")) and "Scan" not in above
+
+
+def test_scopes_of_all_items(spark):
+    """source_scopes takes every item, whatever its flag."""
+    from helpers import DATA
+
+    from deploom import registry
+
+    items = spark.read.parquet(f"{DATA}/sf0.001/lineitem.parquet").count()
+    assert registry.QUERIES["source_scopes"](spark, f"{DATA}/sf0.001").where("file like 'o%' and scope_type = 'function'").count() == items
+    assert "l_returnflag" not in registry.ORACLE_SQL["source_scopes"] and "l_returnflag" in registry.ORACLE_SQL["source_uses"]
