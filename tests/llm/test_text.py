@@ -351,3 +351,14 @@ def test_quality_cases(spark):
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     assert ((quality.fit(x, y, n_pairs=3).score(x) > 0.5) == y).mean() > 0.95  # only a pair can tell
     assert len(quality.features("")) == len(quality.FEATURES) == len(quality.features("a b"))
+
+
+def test_suffix_blocks_grow_with_ranges():
+    """A block is sent to each range, so messages don't shrink as both grow, up to the largest block."""
+    from deploom.llm import suffix_dedup as s
+
+    assert s.block_sizes(1) == (s.BLOCK_ANCHORS, s.BLOCK_CONTEXTS)
+    for ranges in (1000, 1700):
+        anchors, contexts = s.block_sizes(ranges)
+        assert anchors >= s.MESSAGE_ANCHORS * ranges and contexts >= s.MESSAGE_CONTEXTS * ranges
+    assert s.block_sizes(10**6) == (s.LARGEST_BLOCK * s.BLOCK_ANCHORS, s.LARGEST_BLOCK * s.BLOCK_CONTEXTS)
